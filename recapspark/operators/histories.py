@@ -339,11 +339,10 @@ def pivot_captures(
 
 
 def occasion_labels(caught: DataFrame) -> DataFrame:
-    """Position, month, wide column name, year and month number of every column."""
+    """The columns of the table: position ``t``, month, name, year, month, interval."""
     return (
-        caught.select(F.posexplode("months").alias("p", "m"))
-        .distinct()
-        .select((F.col("p") + 1).alias("t"), _month_text(F.col("m")).alias("dateYM"))
+        interval_vector(caught)
+        .withColumnRenamed("j", "t")
         .withColumn("column", scalar.occasion_column(F.col("dateYM")))
         .withColumns(
             {
