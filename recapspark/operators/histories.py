@@ -21,6 +21,8 @@ from recapspark.operators.skew import CAPTURE_SPREAD, attach_facts
 UNDATED = "~"
 _NO_TIME = "9999-12-31 23:59:59.999999"
 
+INTERVAL = "dateMedianDiffMonth"
+
 #: Columns carried into a history and the value of a month without a capture.
 CELL_FILL = {
     "enc": 0,
@@ -28,7 +30,7 @@ CELL_FILL = {
     "riverN": 0,
     "state": 0,
     "sizeState": 0,
-    "dateMedianDiffMonth": None,
+    INTERVAL: None,
 }
 
 
@@ -45,10 +47,10 @@ def never_captured(captures: DataFrame) -> DataFrame:
     )
 
 
-def _last_occasion(rows: DataFrame, first: str = "occ") -> Column:
+def _last_occasion(captures: DataFrame) -> Column:
     """Largest occasion as a scalar subquery; NULL as soon as one occasion is missing."""
-    return rows.agg(
-        F.when(F.bool_or(F.col(first).isNull()), None).otherwise(F.max(first))
+    return captures.agg(
+        F.when(F.bool_or(F.col("occ").isNull()), None).otherwise(F.max("occ"))
     ).scalar()
 
 
@@ -67,38 +69,61 @@ def gt1_obs_per_occasion(captures: DataFrame) -> DataFrame:
     )
 
 
-def thin_occasions(
-    captures: DataFrame, mode: str = "reference", **skew
-) -> DataFrame:
-    """Thin out fish caught several times in a month.
+def month_facts(captures: DataFrame) -> DataFrame:
+    """Per (tag, month) what decides which of its captures stay.
 
-    ``mode='reference'`` removes the capture(s) at the latest time of such a month, so
-    two of three stay. Where a time is missing the latest is unknown: then all
-    captures of that fish without a time go, in any month.
-    ``mode='first'`` keeps the earliest capture of each month and nothing else.
+    Captures are folded to months first, so the window over the months of a fish sees
+    one row per month.
     """
-    if mode not in ("reference", "first"):
-        raise ValueError("mode is 'reference' or 'first'")
+    per_fish = Window.partitionBy("tag")
     months = captures.groupBy("tag", "dateYM").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("dateTime").isNull()).alias("_untimed"),
         F.max("dateTime").alias("_latest"),
         F.min(F.struct(*_order())).alias("_first"),
     )
-    # at most one row per month and fish
-    per_fish = Window.partitionBy("tag")
-    months = months.withColumn(
-        "_drop_untimed",
-        F.bool_or((F.col("n") > 1) & (F.col("_untimed") > 0)).over(per_fish),
+    unclear = (F.col("n") > 1) & (F.col("_untimed") > 0)
+    return months.withColumns(
+        {
+            "_n": F.col("n"),
+            "_drop_untimed": F.bool_or(unclear).over(per_fish),
+            "_first_month": F.min("dateYM").over(per_fish),
+        }
     )
+
+
+def _stays() -> Column:
+    """Thinning rule in terms of :func:`month_facts`, never NULL."""
     latest = (F.col("_n") > 1) & (F.col("_untimed") == 0)
     latest = latest & (F.col("dateTime") == F.col("_latest"))
-    removed = F.when(F.col("dateTime").isNull(), F.col("_drop_untimed")).otherwise(latest)
-    keep = ~removed if mode == "reference" else F.struct(*_order()) == F.col("_first")
-    months = months.withColumn("_n", F.col("n"))
-    payload = ["_n", "_untimed", "_latest", "_drop_untimed", "_first"]
+    return ~F.when(F.col("dateTime").isNull(), F.col("_drop_untimed")).otherwise(latest)
+
+
+def _is_first() -> Column:
+    return F.struct(*_order()) == F.col("_first")
+
+
+def thin_occasions(captures: DataFrame, mode: str = "reference", **skew) -> DataFrame:
+    """Thin out fish caught several times in a month.
+
+    ``mode='reference'`` removes the capture(s) at the latest time of such a month, so
+    two of three stay. Where a time is missing the latest is unknown: then all
+    captures of that fish without a time go, in any month.
+    ``mode='first'`` keeps the earliest capture of each month and nothing else.
+    """
+    return _attach_and_keep(captures, month_facts(captures), _rule(mode), (), skew)
+
+
+def _rule(mode: str) -> Column:
+    if mode not in ("reference", "first"):
+        raise ValueError("mode is 'reference' or 'first'")
+    return _stays() if mode == "reference" else _is_first()
+
+
+def _attach_and_keep(captures, facts, keep, more, skew):
+    payload = ["_n", "_untimed", "_latest", "_drop_untimed", "_first", *more]
     out = attach_facts(
-        captures, months, ["tag", "dateYM"], payload, "n", CAPTURE_SPREAD, keep, **skew
+        captures, facts, ["tag", "dateYM"], payload, "n", CAPTURE_SPREAD, keep, **skew
     )
     return out.drop(*payload)
 
@@ -118,15 +143,30 @@ def history_rows(
     ops: Sequence[str] = (),
     vals: Sequence = (),
     mode: str = "reference",
+    same_day: DataFrame | None = None,
+    **skew,
 ) -> DataFrame:
     """Capture rows behind the histories, before the species filter.
 
-    Fish first seen on the last occasion go and months are thinned before the river
-    filter applies. A fish without captures cannot have a row here.
+    Fish first seen in the last month go and months are thinned before the river
+    filter applies; both rules are facts of a fish's months, attached in one join. A
+    fish without captures cannot have a row here. ``same_day`` are per-fish facts (see
+    ``same_day_facts``): fish to be removed for same-day doubles leave in the same join.
     """
-    last = _last_occasion(captures)
-    d = captures.filter(~F.coalesce(F.col("firstObserved") == last, F.lit(False)))
-    return thin_occasions(d, mode).filter(predicates.all_of(cols, ops, vals))
+    facts = month_facts(captures)
+    if same_day is None:
+        facts = facts.withColumn("_removed", F.lit(False))
+    else:
+        removed = same_day.select("tag", F.col("sameDay").alias("_removed"))
+        facts = facts.join(removed, "tag", "left")
+    last = facts.filter(~F.col("_removed")).agg(
+        F.when(F.bool_or(F.col("dateYM").isNull()), None).otherwise(F.max("dateYM"))
+    )
+    late = F.coalesce(F.col("_first_month") == last.scalar(), F.lit(False))
+    facts = facts.withColumn("_removed", F.col("_removed") | late)
+    keep = ~F.col("_removed") & _rule(mode)
+    out = _attach_and_keep(captures, facts, keep, ("_removed",), skew)
+    return out.filter(predicates.all_of(cols, ops, vals))
 
 
 def month_medians_of(rows: DataFrame) -> DataFrame:
@@ -157,13 +197,15 @@ def caught_months(
     species: str = MODEL_SPECIES,
     excluded_tags: Sequence[str] = EXCLUDED_TAGS,
     drop: DataFrame | None = None,
+    intervals: DataFrame | None = None,
     values: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Per fish the months of its history: ``tag``, ``cells`` and all ``months``.
+    """Per fish the months of its history: ``tag``, ``cells``, ``months``, ``intervals``.
 
-    ``cells`` is sorted by month and holds what the wide table shows there, ``months``
+    ``cells`` is sorted by month and holds what the wide table shows there. ``months``
     are the columns of the whole table: the months in which any fish of the subset has
-    a cell, undated captures (if any) last.
+    a cell, undated captures (if any) last. ``intervals`` has the months until the next
+    sampling month for each of them, if ``intervals`` (see ``month_intervals``) is given.
 
     Captures are folded to one row per (tag, month) first; the removal rules then work
     on these rows. That is possible because the cell shows the earliest capture of the
@@ -171,74 +213,92 @@ def caught_months(
     row-level join is needed and a fish with very many captures is spread over its
     months before it meets its fish-level row.
 
+    Everything about a fish goes into one list. The largest month and the list of
+    months are then read from the same aggregation as the result, which Spark runs once.
+
     ``drop``: tags to leave out entirely (see ``gt_once_per_day_tags``). Whole fish
     leave, so this may happen after the folding, on one row per fish.
     """
-    values = [c for c in CELL_FILL if c in captures.columns] if values is None else values
+    if values is None:
+        values = [c for c in CELL_FILL if c in captures.columns and c != INTERVAL]
     subset = predicates.all_of(cols, ops, vals)
     subset = subset & predicates.enters_histories(species, excluded_tags)
-    first = F.min(F.when(subset, F.struct(*_order(), "dateTime", *values)))
     months = captures.groupBy("tag", "dateYM").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("dateTime").isNull()).alias("untimed"),
         F.max("dateTime").alias("latest"),
-        F.min("occ").alias("occ"),
         F.sum("enc").alias("enc"),
-        first.alias("cell"),
+        F.min(F.when(subset, F.struct(*_order(), "dateTime", *values))).alias("cell"),
     )
     time = F.col("cell.dateTime")
-    survives = (
-        time.isNull() | (F.col("n") == 1) | (F.col("untimed") > 0) | (time < F.col("latest"))
+    survives = F.col("cell").isNotNull() & (
+        time.isNull()
+        | (F.col("n") == 1)
+        | (F.col("untimed") > 0)
+        | (time < F.col("latest"))
     )
-    cell = F.struct(
+    entry = F.struct(
         F.coalesce("dateYM", F.lit(UNDATED)).alias("month"),
+        ((F.col("n") > 1) & (F.col("untimed") > 0)).alias("unclear"),
+        F.coalesce("enc", F.lit(0)).alias("caught"),
+        survives.alias("shown"),
         time.isNull().alias("untimed"),
         *[F.col(f"cell.{v}").alias(v) for v in values],
     )
     fish = months.groupBy("tag").agg(
-        F.sort_array(
-            F.collect_list(F.when(F.col("cell").isNotNull() & survives, cell))
-        ).alias("cells"),
-        F.bool_or((F.col("n") > 1) & (F.col("untimed") > 0)).alias("drop_untimed"),
-        F.sum("enc").alias("enc"),
-        F.min("occ").alias("firstObserved"),
-        F.max("occ").alias("lastObserved"),
-        F.bool_or(F.col("occ").isNull()).alias("undated"),
+        F.sort_array(F.collect_list(entry)).alias("entries")
     )
     if drop is not None:
         fish = fish.join(drop.select("tag"), "tag", "left_anti")
-    last = fish.agg(
-        F.when(F.bool_or("undated"), None).otherwise(F.max("lastObserved"))
+    # an undated capture sorts last and leaves the last month unknown
+    last = fish.agg(F.max(F.element_at("entries", -1)["month"])).scalar()
+    last = F.nullif(last, F.lit(UNDATED))
+    shown = F.filter(
+        "entries",
+        lambda e: e["shown"]
+        & ~(e["untimed"] & F.exists("entries", lambda o: o["unclear"])),
+    )
+    cells = F.transform(
+        shown, lambda e: F.struct(e["month"].alias("month"), *[e[v].alias(v) for v in values])
+    )
+    fish = fish.filter(
+        F.exists("entries", lambda e: e["caught"] > 0)
+        & ~F.coalesce(F.element_at("entries", 1)["month"] == last, F.lit(False))
+    )
+    fish = fish.select("tag", cells.alias("cells")).filter(F.size("cells") > 0)
+    present = fish.select(F.explode("cells.month").alias("month")).distinct()
+    gap = F.lit(None).cast("double")
+    if intervals is not None:
+        gaps = intervals.select(F.col("dateYM").alias("month"), INTERVAL)
+        present, gap = present.join(F.broadcast(gaps), "month", "left"), F.col(INTERVAL)
+    columns = present.agg(
+        F.array_sort(F.collect_list(F.struct("month", gap.alias("gap"))))
     ).scalar()
-    fish = fish.select(
+    return fish.withColumn("columns", columns).select(
         "tag",
-        F.filter(
-            "cells", lambda c: ~(F.col("drop_untimed") & c["untimed"])
-        ).alias("cells"),
-        "enc",
-        "firstObserved",
-    ).filter(
-        (F.col("enc") > 0)
-        & ~F.coalesce(F.col("firstObserved") == last, F.lit(False))
-        & (F.size("cells") > 0)
+        "cells",
+        F.col("columns.month").alias("months"),
+        F.col("columns.gap").alias("intervals"),
     )
-    present = fish.select(F.explode("cells.month").alias("month"))
-    present = present.agg(F.array_sort(F.collect_set("month"))).scalar()
-    return fish.select("tag", "cells", present.alias("months"))
+
+
+def _cell_values(caught: DataFrame) -> list[str]:
+    names = caught.schema["cells"].dataType.elementType.names
+    return [n for n in names if n != "month"]
 
 
 def history_cells(caught: DataFrame) -> DataFrame:
     """Filled cells only: (tag, j, dateYM, values...), ``j`` counts the table's months."""
-    names = [
-        n
-        for n in caught.schema["cells"].dataType.elementType.names
-        if n not in ("month", "untimed")
-    ]
-    return caught.select("tag", "months", F.explode("cells").alias("c")).select(
-        "tag",
-        F.array_position("months", F.col("c.month")).cast("int").alias("j"),
-        _month_text(F.col("c.month")).alias("dateYM"),
-        *[F.col(f"c.{n}").alias(n) for n in names],
+    return (
+        caught.select("tag", "months", "intervals", F.explode("cells").alias("c"))
+        .withColumn("j", F.array_position("months", F.col("c.month")).cast("int"))
+        .select(
+            "tag",
+            "j",
+            _month_text(F.col("c.month")).alias("dateYM"),
+            *[F.col(f"c.{n}").alias(n) for n in _cell_values(caught)],
+            F.element_at("intervals", F.col("j")).alias(INTERVAL),
+        )
     )
 
 
@@ -253,8 +313,7 @@ def encounter_histories(caught: DataFrame) -> DataFrame:
     A cell without a capture gets the fill value, a captured but missing value stays
     NULL. Each array is laid out as runs: the gap before a cell, then the cell.
     """
-    fields = caught.schema["cells"].dataType.elementType
-    names = [n for n in fields.names if n not in ("month", "untimed")]
+    kinds = caught.schema["cells"].dataType.elementType
     d = caught.withColumn(
         "_at",
         F.transform(
@@ -262,29 +321,28 @@ def encounter_histories(caught: DataFrame) -> DataFrame:
         ),
     ).withColumn("last", F.size("months"))
 
-    def dense(name):
-        fill = F.lit(CELL_FILL.get(name)).cast(fields[name].dataType)
-        runs = F.transform(
-            "cells",
-            lambda c, i: F.concat(
-                F.array_repeat(
-                    fill,
-                    F.get("_at", i)
-                    - 1
-                    - F.when(i == 0, 0).otherwise(F.get("_at", i - 1)),
-                ),
-                F.array(c[name]),
-            ),
-        )
+    def dense(name, kind, value):
+        fill = F.lit(CELL_FILL.get(name)).cast(kind)
+
+        def run(cell, i):
+            before = F.when(i == 0, 0).otherwise(F.get("_at", i - 1))
+            gap = F.get("_at", i) - 1 - before
+            return F.concat(F.array_repeat(fill, gap), F.array(value(cell, i)))
+
         tail = F.array_repeat(fill, F.col("last") - F.element_at("_at", -1))
-        return F.concat(F.flatten(runs), tail).alias(f"y_{name}")
+        runs = F.flatten(F.transform("cells", run))
+        return F.concat(runs, tail).alias(f"y_{name}")
 
     return d.select(
         "tag",
         F.element_at("_at", 1).alias("first"),
         "last",
         F.transform("months", _month_text).alias("months"),
-        *[dense(n) for n in names],
+        *[
+            dense(n, kinds[n].dataType, lambda c, i, n=n: c[n])
+            for n in _cell_values(caught)
+        ],
+        dense(INTERVAL, "double", lambda c, i: F.get("intervals", F.get("_at", i) - 1)),
     )
 
 
@@ -300,13 +358,17 @@ def history_long(histories: DataFrame) -> DataFrame:
     )
 
 
-def history_wide(histories: DataFrame, value: str = "enc") -> DataFrame:
+def history_wide(
+    histories: DataFrame, value: str = "enc", months: Sequence | None = None
+) -> DataFrame:
     """Wide form: one row per fish, columns ``date_<yyyy-MM>`` in month order.
 
-    The column names are data, so the list of months is read first.
+    The column names are data: unless ``months`` is given, they are read from the first
+    history, so ``histories`` should be stored or checkpointed by then.
     """
-    months = histories.select("months").first()
-    months = [] if months is None else months[0]
+    if months is None:
+        row = histories.select("months").first()
+        months = [] if row is None else row["months"]
     return histories.select(
         "tag",
         *[

@@ -189,6 +189,7 @@ def prepare_captures(
     derived: DataFrame,
     main_river: str = MAIN_RIVER,
     size_cutoffs: tuple[float, float] = SIZE_CUTOFFS,
+    occasions: bool = True,
     river_number: bool = True,
     first_last: bool = True,
     drop_same_day: bool = False,
@@ -196,12 +197,16 @@ def prepare_captures(
 ) -> DataFrame:
     """All captures of tagged fish with every derived column.
 
-    ``river_number`` and ``first_last`` can be left out by an analysis that does not
-    read those columns; both cost a pass over the captures.
+    ``occasions`` (month number and intervals), ``river_number`` and ``first_last``
+    (needs the occasions) can be left out by an analysis that does not read those
+    columns; each costs a pass over the captures.
     """
+    if first_last and not occasions:
+        raise ValueError("first and last occasion need the occasions")
     d = remove_uncaptured(remove_untagged(derived))
     d = classify(d, main_river, size_cutoffs)
-    d = join_month_intervals(d)
+    if occasions:
+        d = join_month_intervals(d)
     if river_number:
         d = add_river_number(d)
     if first_last:

@@ -32,16 +32,34 @@ def all_captures(first: DataFrame, second: DataFrame, **options) -> DataFrame:
 
 
 def caught_months(
-    first: DataFrame, second: DataFrame, subset: str = "all", river_number: bool = False
+    first: DataFrame,
+    second: DataFrame,
+    subset: str = "all",
+    river_number: bool = False,
+    intervals: bool = False,
 ) -> DataFrame:
     """Capture files to the sparse histories of one part of the river system.
 
     Fish with same-day doubles leave after the captures are folded to months, which
-    saves the join of that removal with every capture row.
+    saves the join of that removal with every capture row. River numbers and intervals
+    are worked out only on request.
     """
-    d = all_captures(first, second, river_number=river_number, first_last=False)
-    drop = dedup.gt_once_per_day_tags(d)
-    return histories.caught_months(d, *SUBSETS[subset], drop=drop)
+    d = all_captures(
+        first, second, occasions=False, river_number=river_number, first_last=False
+    )
+    return histories.caught_months(
+        d,
+        *SUBSETS[subset],
+        drop=dedup.gt_once_per_day_tags(d),
+        intervals=prepare.month_intervals(d) if intervals else None,
+    )
+
+
+def history_rows(first: DataFrame, second: DataFrame, subset: str = "all") -> DataFrame:
+    """Capture files to the capture rows behind the histories, with their intervals."""
+    d = all_captures(first, second, river_number=False, first_last=False)
+    same_day = dedup.same_day_facts(d)
+    return histories.history_rows(d, *SUBSETS[subset], same_day=same_day)
 
 
 def model_input(caught: DataFrame) -> DataFrame:

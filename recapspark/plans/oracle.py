@@ -514,7 +514,7 @@ SELECT count(*) FILTER (incomplete) AS nIncomplete, count(*) AS nFish FROM fish"
         *DRAWS, ("phi", "SELECT * FROM draws WHERE name = 'betaPhi'")
     ) + summary("phi")
     quantiles = ", ".join(
-        six(f"quantile_cont(value, {q})", n)
+        three(f"quantile_cont(value, {q})", n).replace(", 3)", ", 6)")
         for q, n in (
             (0.025, "lo95"), (0.25, "lo50"), (0.5, "med"), (0.75, "hi50"), (0.975, "hi95"),
         )

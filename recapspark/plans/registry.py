@@ -47,17 +47,10 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: six(c) for c in columns})
 
 
-def _clean(spark, sf, river_number=False, first_last=False) -> DataFrame:
+def _clean(spark, sf, occasions=False, river_number=False, first_last=False):
     return flows.clean_captures(
         *standin.capture_files(spark, sf),
-        river_number=river_number,
-        first_last=first_last,
-    )
-
-
-def _all(spark, sf, river_number=False, first_last=False) -> DataFrame:
-    return flows.all_captures(
-        *standin.capture_files(spark, sf),
+        occasions=occasions or first_last,
         river_number=river_number,
         first_last=first_last,
     )
@@ -70,8 +63,22 @@ def _tagged(spark, sf) -> DataFrame:
     return prepare.classify(prepare.remove_untagged(derived))
 
 
-def _caught(spark, sf, subset, river_number=False) -> DataFrame:
-    return flows.caught_months(*standin.capture_files(spark, sf), subset, river_number)
+def _caught(spark, sf, subset, **options) -> DataFrame:
+    return flows.caught_months(*standin.capture_files(spark, sf), subset, **options)
+
+
+def _rows(spark, sf, subset) -> DataFrame:
+    return flows.history_rows(*standin.capture_files(spark, sf), subset)
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """Computed once and read back, for a result that several steps start from."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def _model_input(spark, sf) -> DataFrame:
+    return _stored(flows.model_input(_caught(spark, sf, "main")))
 
 
 # --- preparation -----------------------------------------------------------------
@@ -89,7 +96,7 @@ def _(spark, sf):
 
 @query("prepare_captures")
 def _(spark, sf):
-    d = _all(spark, sf, True, True).select(*CLEAN_OUT)
+    d = flows.all_captures(*standin.capture_files(spark, sf)).select(*CLEAN_OUT)
     return rounded(d, "dateMedianDiff", "dateMedianDiffMonth")
 
 
@@ -111,7 +118,7 @@ def _(spark, sf):
 
 @query("target_d")
 def _(spark, sf):
-    d = _clean(spark, sf, True, True).select(*CLEAN_OUT)
+    d = _clean(spark, sf, True, True, True).select(*CLEAN_OUT)
     return rounded(d, "dateMedianDiff", "dateMedianDiffMonth")
 
 
@@ -171,7 +178,7 @@ def _(spark, sf):
 
 @query("xtab_water_river")
 def _(spark, sf):
-    return tables.contingency(_clean(spark, sf, True), "Water", "riverN")
+    return tables.contingency(_clean(spark, sf, river_number=True), "Water", "riverN")
 
 
 def _xtab_n(spark, sf, *by):
@@ -311,8 +318,7 @@ def _(spark, sf):
 
 @query("eh_data_main")
 def _(spark, sf):
-    d = _clean(spark, sf, first_last=True)
-    rows = histories.history_rows(d, *flows.SUBSETS["main"])
+    rows = _rows(spark, sf, "main")
     return rows.select("tag", "FishNum", "date", "species", "sizeState").orderBy(
         "tag", F.asc_nulls_last("date"), "FishNum"
     )
@@ -321,7 +327,8 @@ def _(spark, sf):
 def _register_long(subset):
     @query(f"eh_long_{subset}")
     def _(spark, sf):
-        dense = histories.encounter_histories(_caught(spark, sf, subset, True))
+        caught = _caught(spark, sf, subset, river_number=True, intervals=True)
+        dense = histories.encounter_histories(caught)
         return rounded(histories.history_long(dense), "dateMedianDiffMonth")
 
 
@@ -331,14 +338,14 @@ for _subset in flows.SUBSETS:
 
 @query("eh_cells_main")
 def _(spark, sf):
-    out = histories.history_cells(_caught(spark, sf, "main"))
+    out = histories.history_cells(_caught(spark, sf, "main", intervals=True))
     return rounded(out, "dateMedianDiffMonth")
 
 
 @query("eh_wide_main")
 def _(spark, sf):
     dense = histories.encounter_histories(_caught(spark, sf, "main"))
-    return histories.history_wide(dense, "sizeState")
+    return histories.history_wide(_stored(dense), "sizeState")
 
 
 @query("eh_head")
@@ -356,7 +363,7 @@ def _(spark, sf):
 
 @query("occasion_labels")
 def _(spark, sf):
-    out = histories.occasion_labels(_caught(spark, sf, "main"))
+    out = histories.occasion_labels(_caught(spark, sf, "main", intervals=True))
     return rounded(out, "dateMedianDiffMonth")
 
 
@@ -369,23 +376,19 @@ def _(spark, sf):
 
 @query("interval_vector")
 def _(spark, sf):
-    out = histories.interval_vector(_caught(spark, sf, "main"))
+    out = histories.interval_vector(_caught(spark, sf, "main", intervals=True))
     return rounded(out, "dateMedianDiffMonth")
 
 
 @query("date_median")
 def _(spark, sf):
-    d = _clean(spark, sf, first_last=True)
-    out = histories.month_medians_of(
-        histories.history_rows(d, *flows.SUBSETS["main"])
-    )
+    out = histories.month_medians_of(_rows(spark, sf, "main"))
     return rounded(out, "dateMedianDiffMonth")
 
 
 @query("n_states")
 def _(spark, sf):
-    d = _clean(spark, sf, first_last=True)
-    return histories.n_size_states(histories.history_rows(d, *flows.SUBSETS["main"]))
+    return histories.n_size_states(_rows(spark, sf, "main"))
 
 
 @query("state_proportions")
@@ -434,7 +437,7 @@ def example_params(n_occasions: int) -> hmm.ModelParams:
 
 @query("hmm_loglik")
 def _(spark, sf):
-    observed = flows.model_input(_caught(spark, sf, "main"))
+    observed = _model_input(spark, sf)
     params = example_params(hmm.n_occasions(observed))
     return rounded(
         hmm.hmm_loglik(observed, params).select("tag", "first", "loglik"), "loglik"
@@ -443,7 +446,7 @@ def _(spark, sf):
 
 @query("hmm_loglik_total")
 def _(spark, sf):
-    observed = flows.model_input(_caught(spark, sf, "main"))
+    observed = _model_input(spark, sf)
     params = example_params(hmm.n_occasions(observed))
     total = hmm.total_loglik(histories.collapse_histories(observed), params)
     return total.select(F.round("loglik", 4).alias("loglik"), "nFish")
@@ -451,21 +454,21 @@ def _(spark, sf):
 
 @query("hmm_expected_counts")
 def _(spark, sf):
-    observed = flows.model_input(_caught(spark, sf, "main"))
+    observed = _model_input(spark, sf)
     params = example_params(hmm.n_occasions(observed))
     return hmm.hmm_expected_counts(histories.collapse_histories(observed), params)
 
 
 @query("fit_map")
 def _(spark, sf):
-    observed = flows.model_input(_caught(spark, sf, "main"))
+    observed = _model_input(spark, sf)
     fit = hmm.fit_map(observed, DELTA, max_iter=5)
     return hmm.params_table(spark, fit.params)
 
 
 @query("fit_gibbs")
 def _(spark, sf):
-    observed = flows.model_input(_caught(spark, sf, "main"))
+    observed = _model_input(spark, sf)
     return hmm.fit_gibbs(observed, DELTA, n_iter=10, n_burnin=4, thin=2)
 
 
@@ -478,8 +481,9 @@ def _draws(spark, sf) -> DataFrame:
 
 def _occasions(spark, sf) -> DataFrame:
     """Labels and intervals of the main river's months, computed once (one row each)."""
-    ensure_checkpoint_dir(spark)
-    return histories.occasion_labels(_caught(spark, sf, "main")).checkpoint()
+    return _stored(
+        histories.occasion_labels(_caught(spark, sf, "main", intervals=True))
+    )
 
 
 def _runs(spark, sf) -> DataFrame:
@@ -525,8 +529,7 @@ def _(spark, sf):
 
 @query("caterpillar")
 def _(spark, sf):
-    out = posterior.caterpillar(_draws(spark, sf))
-    return rounded(out, "lo95", "lo50", "med", "hi50", "hi95")
+    return posterior.caterpillar(_draws(spark, sf), digits=6)
 
 
 @query("posterior_rhat")
