@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recapspark.config import BROADCAST_LEVELS
-from recapspark.operators.levels import ensure_checkpoint_dir
+from recapspark.operators.levels import stored
 
 #: Up to this many rows a group is summarised by one task.
 GROUP_LIMIT = 1_000_000
@@ -40,7 +40,7 @@ def grouped_quantiles(
     n_large = large.count()
     if n_large == 0:
         return df.groupBy(*keys).agg(percentiles(value, probs).alias("quantiles"))
-    large = _checkpoint(large)
+    large = stored(large)
     side = large.select(*names)
     side = F.broadcast(side) if n_large <= BROADCAST_LEVELS else side
     same = _same(keys, names)
@@ -89,11 +89,6 @@ def _same(keys: Sequence[str], names: Sequence[str]) -> Column:
     return reduce(operator.and_, pairs)
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def _by_refinement(hot, sizes, n_groups, keys, names, value, probs, bins):
     place = F.explode(
         F.array(
@@ -109,7 +104,7 @@ def _by_refinement(hot, sizes, n_groups, keys, names, value, probs, bins):
     ranks = wanted.withColumn(
         "_rank", F.explode(F.array(F.floor("_h"), F.ceil("_h")))
     )
-    state = _checkpoint(
+    state = stored(
         ranks.select(
             *names,
             F.col("_rank").cast("long"),
@@ -158,7 +153,7 @@ def _by_refinement(hot, sizes, n_groups, keys, names, value, probs, bins):
             (F.col("_below") + F.col("_upto") - F.col("_c")).alias("_below"),
         )
         done = state.filter(F.col("_lo") >= F.col("_hi"))
-        state = _checkpoint(done.unionByName(narrowed))
+        state = stored(done.unionByName(narrowed))
 
     found = [F.col(n).alias(f"{n}r") for n in names]
     out = wanted

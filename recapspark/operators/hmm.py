@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from recapspark.config import DIRICHLET_OTHER, DIRICHLET_SAME
 from recapspark.functions import forward as fwd
 from recapspark.operators.histories import collapse_histories
-from recapspark.operators.levels import ensure_checkpoint_dir
+from recapspark.operators.levels import stored
 from recapspark.sources.schema import DRAWS, PARAMS
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -214,9 +214,8 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
 
 def reusable_histories(observed: DataFrame) -> DataFrame:
     """Collapsed histories, cut from their lineage and cached for an iterative fit."""
-    ensure_checkpoint_dir(observed.sparkSession)
-    collapsed = _spread(collapse_histories(observed), "first", "y").checkpoint()
-    return collapsed.persist()
+    collapsed = _spread(collapse_histories(observed), "first", "y")
+    return stored(collapsed).persist()
 
 
 @dataclass(frozen=True)
@@ -343,7 +342,7 @@ def pack_blocks(observed: DataFrame, block_rows: int = 2048) -> DataFrame:
         .groupBy("block")
         .agg(F.sort_array(F.collect_list(F.struct("first", "y", "n"))).alias("rows"))
     )
-    packed = _spread(blocks, "block").checkpoint().persist()
+    packed = stored(_spread(blocks, "block")).persist()
     data.unpersist()
     return packed
 

@@ -30,6 +30,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Compute once into the shared checkpoint folder and continue from there.
+
+    For a result that several steps start from; it survives the loss of executors.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def number_levels(
     df: DataFrame, column: str, number: str, limit: int = BROADCAST_LEVELS
 ) -> tuple[DataFrame, bool]:
@@ -40,20 +49,18 @@ def number_levels(
     its place within its range, and the sizes of the ranges give the offset.
     """
     levels = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    if levels.limit(limit + 1).count() <= limit:
+    levels = stored(levels)
+    if levels.count() <= limit:
         rank = F.row_number().over(Window.orderBy(column))
         return levels.withColumn(number, rank), True
 
-    ensure_checkpoint_dir(df.sparkSession)
     mono = F.monotonically_increasing_id()
-    placed = (
-        levels.orderBy(column)
-        .select(
+    placed = stored(
+        levels.orderBy(column).select(
             column,
             F.shiftright(mono, _ROW_BITS).alias("_range"),
             mono.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_place"),
         )
-        .checkpoint()
     )
     offsets = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

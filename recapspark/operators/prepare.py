@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recapspark.config import DAYS_PER_MONTH, MAIN_RIVER, SIZE_CUTOFFS
 from recapspark.functions import predicates, scalar
 from recapspark.operators.dedup import remove_same_day, same_day_facts
-from recapspark.operators.levels import number_levels
+from recapspark.operators.levels import number_levels, stored
 from recapspark.operators.skew import CAPTURE_SPREAD, attach_facts
 from recapspark.sources.schema import CAPTURE_COLUMNS
 
@@ -128,6 +128,7 @@ def join_month_intervals(
 ) -> DataFrame:
     """Add occasion number and interval columns by sampling month."""
     intervals = month_intervals(captures) if intervals is None else intervals
+    # fewer than 120,000 months, see month_intervals
     return captures.join(F.broadcast(intervals.drop("dateMedian")), "dateYM", "left")
 
 
@@ -206,7 +207,8 @@ def prepare_captures(
     d = remove_uncaptured(remove_untagged(derived))
     d = classify(d, main_river, size_cutoffs)
     if occasions:
-        d = join_month_intervals(d)
+        # one row per month, read again by every step that needs occasions
+        d = join_month_intervals(d, stored(month_intervals(d)))
     if river_number:
         d = add_river_number(d)
     if first_last:

@@ -37,8 +37,7 @@ def attach_facts(
     rejected rows of heavy keys are never shuffled.
 
     That key is a function of stored columns: a recomputed task sends every row to the
-    same reducer as before. The weight travels with the payload so that both uses of
-    ``facts`` have the same plan and Spark computes it once.
+    same reducer as before.
     """
     aliases = [f"_k{i}" for i in range(len(keys))]
     facts = facts.select(
@@ -77,10 +76,15 @@ def attach_facts(
     # <=> throughout: with = Spark would push "is not NULL" into this branch only
     same_bucket = F.col("_bucket").eqNullSafe(F.col("_cold_bucket"))
     joined = served.join(cold, same_key() & same_bucket, "left")
+    # A weight is never zero. Asking for it keeps the column in this use of ``facts``
+    # too; without it the two uses would be two plans and Spark would compute both.
+    is_cold = F.col("_cold._weight") > 0
     joined = joined.select(
         *columns,
         *[
-            F.when(is_hot, F.col(f"_hot.{p}")).otherwise(F.col(f"_cold.{p}")).alias(p)
+            F.when(is_hot, F.col(f"_hot.{p}"))
+            .when(is_cold, F.col(f"_cold.{p}"))
+            .alias(p)
             for p in payload
         ],
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recapspark.operators import dedup, growth, histories, hmm, posterior, prepare, tables
-from recapspark.operators.levels import ensure_checkpoint_dir
+from recapspark.operators.levels import stored
 from recapspark.plans import flows
 from recapspark.sources import files, standin
 from recapspark.sources.schema import CAPTURE_COLUMNS
@@ -71,14 +71,8 @@ def _rows(spark, sf, subset) -> DataFrame:
     return flows.history_rows(*standin.capture_files(spark, sf), subset)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Computed once and read back, for a result that several steps start from."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def _model_input(spark, sf) -> DataFrame:
-    return _stored(flows.model_input(_caught(spark, sf, "main")))
+    return stored(flows.model_input(_caught(spark, sf, "main")))
 
 
 # --- preparation -----------------------------------------------------------------
@@ -345,7 +339,7 @@ def _(spark, sf):
 @query("eh_wide_main")
 def _(spark, sf):
     dense = histories.encounter_histories(_caught(spark, sf, "main"))
-    return histories.history_wide(_stored(dense), "sizeState")
+    return histories.history_wide(stored(dense), "sizeState")
 
 
 @query("eh_head")
@@ -481,7 +475,7 @@ def _draws(spark, sf) -> DataFrame:
 
 def _occasions(spark, sf) -> DataFrame:
     """Labels and intervals of the main river's months, computed once (one row each)."""
-    return _stored(
+    return stored(
         histories.occasion_labels(_caught(spark, sf, "main", intervals=True))
     )
 
