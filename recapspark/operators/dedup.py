@@ -20,7 +20,7 @@ def gt_one_capture(captures: DataFrame) -> DataFrame:
 
 
 def same_day_facts(captures: DataFrame) -> DataFrame:
-    """Per tag: row count, first/last occasion and whether the fish must be removed.
+    """Per tag: row count, first/last occasion, undated rows, and removal (``sameDay``).
 
     A fish is removed if it has more than one capture on some date (known or not)
     and a capture on a date on which any fish has more than one. The two conditions
@@ -29,10 +29,11 @@ def same_day_facts(captures: DataFrame) -> DataFrame:
     Everything is computed from counts per (tag, date). The dates with a double are
     at most one row per calendar day and are broadcast.
     """
-    has_occ = "occ" in captures.columns
-    occ = F.min("occ") if has_occ else F.lit(None).cast("int")
-    days = captures.groupBy("tag", "date").agg(
-        F.count(F.lit(1)).alias("n"), occ.alias("occ")
+    # The occasion follows from the date. As a key it adds no groups, and unlike a
+    # measure it stays in both uses of the counts, which Spark therefore runs once.
+    occ = F.col("occ") if "occ" in captures.columns else F.lit(None).cast("int")
+    days = captures.groupBy("tag", "date", occ.alias("occ")).agg(
+        F.count(F.lit(1)).alias("n")
     )
     # An unknown date stays in here and is ruled out below: filtering it would give
     # this branch a scan of its own instead of the counts computed above.
@@ -49,6 +50,7 @@ def same_day_facts(captures: DataFrame) -> DataFrame:
         F.sum("n").alias("n"),
         F.min("occ").alias("firstObserved"),
         F.max("occ").alias("lastObserved"),
+        F.bool_or(F.col("date").isNull()).alias("undated"),
         (F.bool_or(F.col("n") > 1) & F.bool_or(on_double_date)).alias("sameDay"),
     )
 

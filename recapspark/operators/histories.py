@@ -111,17 +111,20 @@ def thin_occasions(captures: DataFrame, mode: str = "reference", **skew) -> Data
     captures of that fish without a time go, in any month.
     ``mode='first'`` keeps the earliest capture of each month and nothing else.
     """
-    return _attach_and_keep(captures, month_facts(captures), _rule(mode), (), skew)
+    keep, payload = _rule(mode)
+    return _attach_and_keep(captures, month_facts(captures), keep, payload, skew)
 
 
-def _rule(mode: str) -> Column:
-    if mode not in ("reference", "first"):
-        raise ValueError("mode is 'reference' or 'first'")
-    return _stays() if mode == "reference" else _is_first()
+def _rule(mode: str) -> tuple[Column, list[str]]:
+    """The thinning rule and the month facts it reads."""
+    if mode == "reference":
+        return _stays(), ["_n", "_untimed", "_latest", "_drop_untimed"]
+    if mode == "first":
+        return _is_first(), ["_first"]
+    raise ValueError("mode is 'reference' or 'first'")
 
 
-def _attach_and_keep(captures, facts, keep, more, skew):
-    payload = ["_n", "_untimed", "_latest", "_drop_untimed", "_first", *more]
+def _attach_and_keep(captures, facts, keep, payload, skew):
     out = attach_facts(
         captures, facts, ["tag", "dateYM"], payload, "n", CAPTURE_SPREAD, keep, **skew
     )
@@ -155,17 +158,23 @@ def history_rows(
     """
     facts = month_facts(captures)
     if same_day is None:
-        facts = facts.withColumn("_removed", F.lit(False))
+        last = facts.agg(
+            F.when(F.bool_or(F.col("dateYM").isNull()), None).otherwise(F.max("dateYM"))
+        )
+        late = F.coalesce(F.col("_first_month") == last.scalar(), F.lit(False))
+        facts = facts.withColumn("_removed", late)
     else:
-        removed = same_day.select("tag", F.col("sameDay").alias("_removed"))
-        facts = facts.join(removed, "tag", "left")
-    last = facts.filter(~F.col("_removed")).agg(
-        F.when(F.bool_or(F.col("dateYM").isNull()), None).otherwise(F.max("dateYM"))
-    )
-    late = F.coalesce(F.col("_first_month") == last.scalar(), F.lit(False))
-    facts = facts.withColumn("_removed", F.col("_removed") | late)
-    keep = ~F.col("_removed") & _rule(mode)
-    out = _attach_and_keep(captures, facts, keep, ("_removed",), skew)
+        if "occ" not in captures.columns:
+            raise ValueError("same_day needs captures with occasions")
+        last = same_day.filter(~F.col("sameDay")).agg(
+            F.when(F.bool_or("undated"), None).otherwise(F.max("lastObserved"))
+        )
+        late = F.coalesce(F.col("firstObserved") == last.scalar(), F.lit(False))
+        removed = same_day.select("tag", (F.col("sameDay") | late).alias("_removed"))
+        facts = facts.join(removed, "tag")
+    keep, payload = _rule(mode)
+    keep, payload = ~F.col("_removed") & keep, [*payload, "_removed"]
+    out = _attach_and_keep(captures, facts, keep, payload, skew)
     return out.filter(predicates.all_of(cols, ops, vals))
 
 

@@ -42,11 +42,10 @@ def attach_facts(
     aliases = [f"_k{i}" for i in range(len(keys))]
     facts = facts.select(
         *[F.col(k).alias(a) for k, a in zip(keys, aliases)],
-        F.col(weight).alias("_weight"),
         F.struct(*payload, F.col(weight).alias("_weight")).alias("_fact"),
     )
     hot = (
-        facts.orderBy(F.desc("_weight"), *aliases)
+        facts.orderBy(F.desc("_fact._weight"), *aliases)
         .limit(hot_keys)
         .select(*aliases, F.col("_fact").alias("_hot"))
     )
