@@ -436,15 +436,49 @@ def fit_gibbs(
                     kept.append((c + 1, sweep, chains[c]))
     finally:
         blocks.unpersist()
-    rows = []
-    for chain, sweep, params in kept:
-        rows += [(chain, sweep, *r[1:]) for r in params.rows()]
-        if months is not None:
-            rows += [
-                (chain, sweep, "betaPhiMonthly", a + 1, None, t + 1,
-                 float(params.phi[t, a] ** months[t]))
-                for t in range(width - 1)
-                if months[t] is not None
-                for a in range(s)
-            ]
-    return spark.createDataFrame(rows, DRAWS)
+    return spark.createDataFrame(_draws_table(kept, width - 1, s, months), DRAWS)
+
+
+def _draws_table(kept, steps: int, s: int, months) -> pa.Table:
+    """Kept draws in long form; their number is draws times parameters."""
+    t, a = (i.ravel() + 1 for i in np.indices((steps, s)))
+    t3, a3, b3 = (i.ravel() + 1 for i in np.indices((steps, s, s)))
+    none = np.zeros(len(t), dtype=np.int64)
+    blocks = [
+        ("betaPhi", t, a, none, lambda p: p.phi),
+        ("betaP", t, a, none, lambda p: p.beta_p),
+        ("psi", t3, a3, b3, lambda p: p.psi),
+    ]
+    if months is not None:
+        known = np.array([m is not None for m in months[:steps]])
+        length = np.array([m for m in months[:steps] if m is not None], dtype=float)
+        rows = np.repeat(known, s)
+        blocks.append(
+            (
+                "betaPhiMonthly", t[rows], a[rows], none[rows],
+                lambda p: p.phi[known] ** length[:, None],
+            )
+        )
+    tables = []
+    for name, bt, ba, bb, values in blocks:
+        n, k = len(bt), len(kept)
+        to = np.tile(bb, k)
+        tables.append(
+            pa.table(
+                {
+                    "chain": pa.array(np.repeat([c for c, _, _ in kept], n), pa.int32()),
+                    "iter": pa.array(np.repeat([i for _, i, _ in kept], n), pa.int32()),
+                    "name": pa.array([name] * (n * k), pa.string()),
+                    "s_from": pa.array(np.tile(ba, k), pa.int32()),
+                    "s_to": pa.array(to, pa.int32(), mask=to == 0),
+                    "t": pa.array(np.tile(bt, k), pa.int32()),
+                    "value": pa.array(
+                        np.concatenate([np.ravel(values(p)) for _, _, p in kept])
+                        if kept
+                        else np.empty(0),
+                        pa.float64(),
+                    ),
+                }
+            )
+        )
+    return pa.concat_tables(tables)

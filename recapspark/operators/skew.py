@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recapspark.config import HOT_KEY_SALTS, HOT_KEYS
+from recapspark.config import HOT_KEY_SALTS, HOT_KEYS, HOT_MIN_ROWS
 
 #: Columns that tell the captures of one frequent fish or river apart.
 CAPTURE_SPREAD = ("date", "FishNum", "tblSL_SL_ID")
@@ -24,13 +24,15 @@ def attach_facts(
     spread: Sequence[str],
     keep: Column | None = None,
     hot_keys: int = HOT_KEYS,
+    min_rows: int = HOT_MIN_ROWS,
     salts: int = HOT_KEY_SALTS,
 ) -> DataFrame:
     """Left join ``facts`` (one row per key, NULL keys match) onto ``rows``.
 
-    ``weight`` is the number of ``rows`` per key. The ``hot_keys`` heaviest keys are
-    broadcast; any key outside them owns less than ``1/hot_keys`` of the rows, so the
-    shuffle join that serves those is balanced. Rows already served by the broadcast
+    ``weight`` is the number of ``rows`` per key. The ``hot_keys`` heaviest keys with at
+    least ``min_rows`` rows are broadcast; any other key has fewer than ``min_rows`` rows
+    or less than ``1/hot_keys`` of all, so the shuffle join that serves those is
+    balanced. Rows already served by the broadcast
     need no partner there: their second join key is made of the ``spread`` columns and
     negative, so they scatter over many reducers and meet nothing.
     ``keep`` is a predicate over the payload; it runs right after the broadcast, so
@@ -45,7 +47,8 @@ def attach_facts(
         F.struct(*payload, F.col(weight).alias("_weight")).alias("_fact"),
     )
     hot = (
-        facts.orderBy(F.desc("_fact._weight"), *aliases)
+        facts.filter(F.col("_fact._weight") >= min_rows)
+        .orderBy(F.desc("_fact._weight"), *aliases)
         .limit(hot_keys)
         .select(*aliases, F.col("_fact").alias("_hot"))
     )

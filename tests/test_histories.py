@@ -52,7 +52,7 @@ def test_thin_occasions(spark):
     want = [("a1", "05-07"), ("a1", "10-06"), ("b2", "02-09"), ("b2", "11-06"),
             ("d4", "01-07"), ("d4", "08-07"), ("f6", "21-07")]
     assert days(histories.thin_occasions(d)) == want
-    assert days(histories.thin_occasions(d, hot_keys=1, salts=2)) == want
+    assert days(histories.thin_occasions(d, hot_keys=1, min_rows=1, salts=2)) == want
     assert days(histories.history_rows(target(spark))) == want
     raw = prepared(spark)
     fused = histories.history_rows(raw, same_day=dedup.same_day_facts(raw))
