@@ -14,6 +14,13 @@ MODEL_SPECIES = "brown trout"
 DAYS_PER_MONTH = 30.5
 DIRICHLET_SAME = 0.8
 DIRICHLET_OTHER = 0.1
+SIX_STATE_WEIGHTS = {
+    "same": 0.75,
+    "shrink": 0.01,
+    "grow1": 0.025,
+    "grow2": 0.001,
+    "move": 0.025,
+}
 PRIOR_PRECISION = 0.1
 HISTOGRAM_BINS = 30
 MAX_GROWTH_GAP_DAYS = 300

@@ -446,6 +446,15 @@ def state_proportions(caught: DataFrame) -> DataFrame:
     return by_state.select("state", "n", (F.col("n") / total).alias("proportion"))
 
 
+def initial_proportions(caught: DataFrame, states: Sequence[int]) -> list[float]:
+    """Shares of the given states in their order, a state without captures is 0.
+
+    These are the chances of the states at first capture in the model.
+    """
+    share = {r["state"]: r["proportion"] for r in state_proportions(caught).collect()}
+    return [share.get(s, 0.0) for s in states]
+
+
 def state_trajectories(caught: DataFrame) -> DataFrame:
     """Strings of a fish's known states in month order and how often each occurs."""
     states = F.filter("cells.state", lambda s: s.isNotNull() & (s != 0))

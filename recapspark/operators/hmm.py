@@ -88,17 +88,19 @@ def alpha_matrix(
 
 
 def alpha_by_move(
-    same: float, shrink: float, grow: float, move: float, n_sizes: int = 3
+    same: float, shrink: float, grow1: float, grow2: float, move: float
 ) -> np.ndarray:
-    """Dirichlet weights for river x size states by the kind of change.
+    """Dirichlet weights for river x size states (1-3 main, 4-6 tributaries).
 
-    Staying in the river a fish keeps its size, shrinks or grows; any change of river
-    has the weight ``move``.
+    Getting smaller has the weight ``shrink``, also on the way to the other river. Any
+    other change of river is a ``move``; within a river a fish keeps its size or grows
+    by one or two classes.
     """
-    river, size = np.divmod(np.arange(2 * n_sizes), n_sizes)
-    change = size[None, :] - size[:, None]
-    within = np.select([change == 0, change < 0], [same, shrink], grow)
-    return np.where(river[:, None] == river[None, :], within, move)
+    river, size = np.divmod(np.arange(6), 3)
+    gain = size[None, :] - size[:, None]
+    stays = river[:, None] == river[None, :]
+    within = np.select([gain == 0, gain == 1], [same, grow1], grow2)
+    return np.where(gain < 0, shrink, np.where(stays, within, move))
 
 
 def params_table(spark: SparkSession, params: ModelParams, draw: int = 0) -> DataFrame:

@@ -8,8 +8,10 @@ starts later steps from there.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from recapspark.operators import dedup, histories, prepare
+from recapspark.operators.levels import stored
 
 #: Dynamic filter (columns, operators, values) of each part of the river system.
 SUBSETS = {
@@ -62,7 +64,35 @@ def history_rows(first: DataFrame, second: DataFrame, subset: str = "all") -> Da
     return histories.history_rows(d, *SUBSETS[subset], same_day=same_day)
 
 
-def model_input(caught: DataFrame) -> DataFrame:
-    """Complete observation histories by size state."""
+def history_bundle(
+    first: DataFrame, second: DataFrame, subset: str = "all"
+) -> dict[str, DataFrame]:
+    """Everything about the histories of one part of the river system, by name.
+
+    Stores the histories once; the tables start from there. ``eh`` and the matrices of
+    river, river number, state and size state are wide, one row per fish.
+    """
+    caught = stored(caught_months(first, second, subset, True, True))
+    dense = histories.encounter_histories(caught)
+    rows = history_rows(first, second, subset)
+    wide = {
+        "eh": "enc",
+        "riverMatrix": "Water",
+        "riverNMatrix": "riverN",
+        "stateMatrix": "state",
+        "sizeStateMatrix": "sizeState",
+    }
+    return {
+        **{k: histories.history_wide(dense, v) for k, v in wide.items()},
+        "dateMedianDiffMonthVector": histories.interval_vector(caught),
+        "tags": dense.select("tag"),
+        "firstLast": dense.select("tag", "first", "last"),
+        "dateMedian": histories.month_medians_of(rows),
+        "data": rows.orderBy("tag", F.asc_nulls_last("date"), "FishNum"),
+    }
+
+
+def model_input(caught: DataFrame, states: str = "sizeState") -> DataFrame:
+    """Complete observation histories by size class (``enc`` for alive/dead only)."""
     dense = histories.encounter_histories(caught)
-    return histories.complete_histories(histories.observation_codes(dense))
+    return histories.complete_histories(histories.observation_codes(dense, states))

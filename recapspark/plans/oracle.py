@@ -141,7 +141,7 @@ SELECT * FROM target WHERE NOT coalesce(firstObserved = (
 RIVER = {"all": "true", "main": "mainTrib = 'main'", "trib": "mainTrib = 'trib'"}
 
 
-def cells(subset: str) -> tuple[tuple[str, str], ...]:
+def cells(subset: str, states: str = "sizeState") -> tuple[tuple[str, str], ...]:
     return (
         *BASE,
         (
@@ -170,48 +170,72 @@ LEFT JOIN cell c ON c.tag = f.tag AND c.dateYM IS NOT DISTINCT FROM m.dateYM""",
         ),
         (
             "fish",
-            """
+            f"""
 SELECT tag, min(CASE WHEN enc = 1 THEN j END) AS first, CAST(max(j) AS INT) AS last,
-  bool_or(sizeState IS NULL) AS incomplete FROM long GROUP BY tag""",
+  bool_or({states} IS NULL) AS incomplete FROM long GROUP BY tag""",
         ),
         (
             "obs",
-            """
-SELECT tag, j, sizeState + 1 AS y, first, last FROM long JOIN fish USING (tag)
+            f"""
+SELECT tag, j, {states} + 1 AS y, first, last FROM long JOIN fish USING (tag)
 WHERE NOT incomplete""",
         ),
     )
 
 
-def likelihood() -> tuple[tuple[str, str], ...]:
+#: Six states: same, grow by 1, grow by 2 | smaller | other river (rows sum to ``total``).
+_SIX = [
+    (0.75, 0.025, 0.001, 0.025, 0.025, 0.025),
+    (0.01, 0.75, 0.025, 0.01, 0.025, 0.025),
+    (0.01, 0.01, 0.75, 0.01, 0.01, 0.025),
+    (0.025, 0.025, 0.025, 0.75, 0.025, 0.001),
+    (0.01, 0.025, 0.025, 0.01, 0.75, 0.025),
+    (0.01, 0.01, 0.025, 0.01, 0.01, 0.75),
+]
+#: Per number of states: change of state, chances at first capture, slope.
+MODELS = {
+    1: ([(1.0,)], (1.0,), 0.1),
+    3: ([(0.8, 0.1, 0.1), (0.1, 0.8, 0.1), (0.1, 0.1, 0.8)], (0.5, 0.3, 0.2), 0.1),
+    6: ([tuple(v / sum(r) for v in r) for r in _SIX], (0.3, 0.2, 0.1, 0.2, 0.1, 0.1), 0.05),
+}
+
+
+def likelihood(
+    subset: str = "main", states: str = "sizeState", n: int = 3
+) -> tuple[tuple[str, str], ...]:
     """Forward recursion, one row per fish and month, for parameters by formula."""
-    p = {s: f"(1/(1+exp(-(0.1*{s} + 0.05*(t % 7)))))" for s in (1, 2, 3)}
-    phi = {s: f"(0.55 + 0.1*{s} + 0.01*(t % 5))" for s in (1, 2, 3)}
-    step = {
-        s: " + ".join(
-            f"a{r}*{phi[r]}*{0.8 if r == s else 0.1}" for r in (1, 2, 3)
-        )
-        for s in (1, 2, 3)
+    psi, delta, slope = MODELS[n]
+    live_states, dead = range(1, n + 1), n + 1
+    p = {s: f"(1/(1+exp(-({slope}*{s} + 0.05*(t % 7)))))" for s in live_states}
+    phi = {s: f"(0.55 + {slope}*{s} + 0.01*(t % 5))" for s in live_states}
+    arrive = {
+        s: " + ".join(f"a{r}*{phi[r]}*{psi[r - 1][s - 1]!r}" for r in live_states)
+        for s in live_states
     }
-    dead = "a4 + " + " + ".join(f"a{r}*(1-{phi[r]})" for r in (1, 2, 3))
+    die = f"a{dead} + " + " + ".join(f"a{r}*(1-{phi[r]})" for r in live_states)
     live = ", ".join(
-        f"({step[s]}) * CASE WHEN y = 1 THEN 1-{p[s]} WHEN y = {s + 1} THEN {p[s]} ELSE 0 END AS b{s}"
-        for s in (1, 2, 3)
+        f"({arrive[s]}) * CASE WHEN y = 1 THEN 1-{p[s]} WHEN y = {s + 1} THEN {p[s]}"
+        f" ELSE 0 END AS b{s}"
+        for s in live_states
     )
+    start = ", ".join(f"CAST(y = {s + 1} AS DOUBLE) AS a{s}" for s in live_states)
+    chance = " ".join(f"WHEN {s + 1} THEN {d}" for s, d in zip(live_states, delta))
+    everyone = [*live_states, dead]
+    scaled = ", ".join(f"b{s}/tot" for s in everyone)
+    total = " + ".join(f"b{s}" for s in everyone)
     return (
-        *cells("main"),
+        *cells(subset, states),
         (
             "fwd",
             f"""
-SELECT tag, first, last, j AS t, CAST(y = 2 AS DOUBLE) AS a1, CAST(y = 3 AS DOUBLE) AS a2,
-  CAST(y = 4 AS DOUBLE) AS a3, CAST(0 AS DOUBLE) AS a4,
-  ln(CASE y WHEN 2 THEN 0.5 WHEN 3 THEN 0.3 ELSE 0.2 END) AS ll
+SELECT tag, first, last, j AS t, {start}, CAST(0 AS DOUBLE) AS a{dead},
+  ln(CASE y {chance} END) AS ll
 FROM obs WHERE j = first
 UNION ALL
-SELECT tag, first, last, t + 1, b1/tot, b2/tot, b3/tot, b4/tot, ll + ln(tot)
-FROM (SELECT *, b1 + b2 + b3 + b4 AS tot
+SELECT tag, first, last, t + 1, {scaled}, ll + ln(tot)
+FROM (SELECT *, {total} AS tot
       FROM (SELECT fwd.tag, fwd.first, fwd.last, t, ll, {live},
-              ({dead}) * CASE WHEN y = 1 THEN 1 ELSE 0 END AS b4
+              ({die}) * CASE WHEN y = 1 THEN 1 ELSE 0 END AS b{dead}
             FROM fwd JOIN obs ON obs.tag = fwd.tag AND obs.j = fwd.t + 1))""",
         ),
     )
@@ -495,9 +519,14 @@ SELECT first, y, count(*) AS n FROM (
     sql["incomplete_histories"] = main + """
 SELECT count(*) FILTER (incomplete) AS nIncomplete, count(*) AS nFish FROM fish"""
     forward = chain("target", *likelihood())
-    sql["hmm_loglik"] = forward + (
-        f"SELECT tag, first, {six('ll', 'loglik')} FROM fwd WHERE t = last"
-    )
+    scores = f"SELECT tag, first, {six('ll', 'loglik')} FROM fwd WHERE t = last"
+    for name, model in {
+        "hmm_loglik": ("main", "sizeState", 3),
+        "hmm_loglik_trib": ("trib", "sizeState", 3),
+        "hmm_loglik_alive_dead": ("main", "enc", 1),
+        "hmm_loglik_six_states": ("all", "state", 6),
+    }.items():
+        sql[name] = chain("target", *likelihood(*model)) + scores
     sql["hmm_loglik_total"] = forward + (
         "SELECT round(sum(ll), 4) AS loglik, count(*) AS nFish FROM fwd WHERE t = last"
     )

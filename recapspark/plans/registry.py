@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recapspark.config import SIX_STATE_WEIGHTS
 from recapspark.operators import dedup, growth, histories, hmm, posterior, prepare, tables
 from recapspark.operators.levels import stored
 from recapspark.plans import flows
@@ -71,8 +72,8 @@ def _rows(spark, sf, subset) -> DataFrame:
     return flows.history_rows(*standin.capture_files(spark, sf), subset)
 
 
-def _model_input(spark, sf) -> DataFrame:
-    return stored(flows.model_input(_caught(spark, sf, "main")))
+def _model_input(spark, sf, subset="main", states="sizeState") -> DataFrame:
+    return stored(flows.model_input(_caught(spark, sf, subset), states))
 
 
 # --- preparation -----------------------------------------------------------------
@@ -416,26 +417,54 @@ def _(spark, sf):
 # --- model -----------------------------------------------------------------------
 
 
-def example_params(n_occasions: int) -> hmm.ModelParams:
+SIX_STATES = hmm.alpha_by_move(**SIX_STATE_WEIGHTS)
+SIX_STATES = SIX_STATES / SIX_STATES.sum(axis=1, keepdims=True)
+#: Change of state, chances at first capture and slope of the example parameters.
+EXAMPLES = {
+    1: (hmm.alpha_matrix(1, 1.0), (1.0,), 0.1),
+    3: (hmm.alpha_matrix(3), DELTA, 0.1),
+    6: (SIX_STATES, (0.3, 0.2, 0.1, 0.2, 0.1, 0.1), 0.05),
+}
+
+
+def example_params(n_occasions: int, n_states: int = 3) -> hmm.ModelParams:
     """Parameters by formula in state and time, as the SQL side states them."""
+    psi, delta, slope = EXAMPLES[n_states]
     t = np.arange(1, n_occasions)[:, None]
-    s = np.arange(1, 4)[None, :]
-    psi = np.broadcast_to(hmm.alpha_matrix(3), (n_occasions - 1, 3, 3))
+    s = np.arange(1, n_states + 1)[None, :]
     return hmm.ModelParams(
-        phi=0.55 + 0.1 * s + 0.01 * (t % 5),
-        psi=psi,
-        beta_p=0.1 * s + 0.05 * (t % 7),
-        delta=np.array(DELTA),
+        phi=0.55 + slope * s + 0.01 * (t % 5),
+        psi=np.broadcast_to(psi, (n_occasions - 1, n_states, n_states)),
+        beta_p=slope * s + 0.05 * (t % 7),
+        delta=np.array(delta),
     )
 
 
+def _loglik(spark, sf, subset, states, n_states) -> DataFrame:
+    observed = _model_input(spark, sf, subset, states)
+    params = example_params(hmm.n_occasions(observed), n_states)
+    scored = hmm.hmm_loglik(observed, params)
+    return rounded(scored.select("tag", "first", "loglik"), "loglik")
+
+
 @query("hmm_loglik")
 def _(spark, sf):
-    observed = _model_input(spark, sf)
-    params = example_params(hmm.n_occasions(observed))
-    return rounded(
-        hmm.hmm_loglik(observed, params).select("tag", "first", "loglik"), "loglik"
-    )
+    return _loglik(spark, sf, "main", "sizeState", 3)
+
+
+@query("hmm_loglik_trib")
+def _(spark, sf):
+    return _loglik(spark, sf, "trib", "sizeState", 3)
+
+
+@query("hmm_loglik_alive_dead")
+def _(spark, sf):
+    return _loglik(spark, sf, "main", "enc", 1)
+
+
+@query("hmm_loglik_six_states")
+def _(spark, sf):
+    return _loglik(spark, sf, "all", "state", 6)
 
 
 @query("hmm_loglik_total")

@@ -1,9 +1,10 @@
 import pytest
-from fixture import FISH, prepared
+from fixture import FISH, prepared, raw_captures
 from pyspark.sql import functions as F
 
 from recapspark.operators import dedup, growth, histories
 from recapspark.operators.prepare import month_intervals
+from recapspark.plans import flows
 
 MAIN = (["mainTrib"], ["%in%"], [["main"]])
 TRIB = (["mainTrib"], ["%in%"], [["trib"]])
@@ -125,6 +126,29 @@ def test_state_tables(spark):
         histories.complete_histories(histories.observation_codes(h))).collect()} == {1}
 
 
+def test_initial_proportions(spark):
+    d = prepared(spark)
+    caught = histories.caught_months(d, drop=dedup.gt_once_per_day_tags(d))
+    assert histories.initial_proportions(caught, [4, 5, 6]) == pytest.approx([0, 0.2, 0.4])
+
+
+def test_bundle(spark):
+    raw = raw_captures(spark)
+    bundle = flows.history_bundle(raw.filter("FishNum < 6"), raw.filter("FishNum >= 6"))
+    assert bundle["eh"].columns == ["tag", "date_2020-06", "date_2020-07", "date_2020-09"]
+    wide = {r["tag"]: tuple(r)[1:] for r in bundle["sizeStateMatrix"].collect()}
+    assert wide == {"a1": (1, 2, 0), "b2": (3, 0, 3), "d4": (0, 1, 0), "f6": (0, 2, 0)}
+    assert sorted(tuple(r) for r in bundle["firstLast"].collect()) == [
+        ("a1", 1, 3), ("b2", 1, 3), ("d4", 2, 3), ("f6", 2, 3)]
+    gaps = {r["dateYM"]: r[histories.INTERVAL] for r in bundle["dateMedian"].collect()}
+    vector = bundle["dateMedianDiffMonthVector"].collect()
+    assert gaps == {r["dateYM"]: r[histories.INTERVAL] for r in vector}
+    assert gaps["2020-06"] == pytest.approx(27 / 30.5)
+    assert bundle["data"].count() == 7 and bundle["tags"].count() == 4
+    assert bundle["riverMatrix"].columns == bundle["riverNMatrix"].columns
+    assert bundle["stateMatrix"].count() == 4
+
+
 def test_rows_and_cells_agree(spark):
     """The folded histories equal the earliest kept row of each month."""
     rows = [(f"t{i % 7}", f"{1 + i * 5 % 28:02d}-{1 + i % 9:02d}-2020",

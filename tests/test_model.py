@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pytest
 
+from recapspark.config import SIX_STATE_WEIGHTS
 from recapspark.functions import forward as fwd
 from recapspark.operators import hmm
 
@@ -76,16 +77,24 @@ def test_all_histories_sum_to_one_and_match_enumeration(spark, s):
 
 
 def test_six_states(spark):
-    alpha = hmm.alpha_by_move(0.6, 0.1, 0.2, 0.05)
-    assert alpha.shape == (6, 6)
-    assert alpha[0, 0] == 0.6 and alpha[1, 0] == 0.1 and alpha[0, 2] == 0.2
-    assert alpha[0, 3] == 0.05 and alpha[5, 2] == 0.05
+    alpha = hmm.alpha_by_move(**SIX_STATE_WEIGHTS)
+    assert alpha[0] == pytest.approx([0.75, 0.025, 0.001, 0.025, 0.025, 0.025])
+    assert alpha[4] == pytest.approx([0.01, 0.025, 0.025, 0.01, 0.75, 0.025])
+    assert alpha[2] == pytest.approx([0.01, 0.01, 0.75, 0.01, 0.01, 0.025])
     params = hmm.start_params(3, np.full(6, 1 / 6), alpha)
     y = [7, 1, 4]
     got = hmm.hmm_loglik(observed(spark, [(1, y)]), params).first()["loglik"]
     assert math.exp(got) == pytest.approx(brute_force(1, y, params))
 
 
+def test_alive_or_dead_only(spark):
+    """One live state: survival and detection alone."""
+    data = observed(spark, [(1, (2, 1, 2, 1)), (1, (2, 2, 1, 1)), (2, (1, 2, 2, 2))] * 20)
+    fit = hmm.fit_map(data, [1.0], hmm.alpha_matrix(1, 1.0), max_iter=5)
+    assert fit.params.psi == pytest.approx(1)
+    assert 0 < fit.params.phi[0, 0] <= 1 and (np.diff(fit.log_posterior) > -1e-9).all()
+
+
 def test_identity_link_and_bad_params():
     assert constant(3, "identity").detection[0, 0] == 0.5
     with pytest.raises(ValueError):
