@@ -17,14 +17,16 @@ _DAY_TEXT = (
 def parse_day(text: Column) -> Column:
     """Day-month-year text to a date; month as number or English name, NULL if unreadable.
 
-    A two-digit year 00-68 is 20xx, 69-99 is 19xx. Unreadable text becomes empty in
-    the first step, so every date has a four-digit year. The text enters once: Catalyst
-    copies the whole expression into each pushed-down filter, so it has to stay short.
+    A two-digit year 00-68 is 20xx, 69-99 is 19xx. Numbers with dashes, the usual form,
+    are parsed directly; only other text is rewritten first. Unreadable text becomes
+    empty then, and a signed year never gets through, so every date has a four-digit
+    year. Catalyst copies this expression into each pushed-down filter: keep it short.
     """
+    usual = F.when(~F.contains(text, F.lit("+")), F.try_to_date(text, "d-M-yyyy"))
     t = F.regexp_replace(text, _DAY_TEXT, "$1-$2-$3")
     t = F.regexp_replace(t, r"-([0-5]\d|6[0-8])$", "-20$1")
     t = F.regexp_replace(t, r"-(\d{2})$", "-19$1")
-    return F.try_to_date(t, "d-[MMMM][MMM][M]-yyyy")
+    return F.coalesce(usual, F.try_to_date(t, "d-[MMMM][MMM][M]-yyyy"))
 
 
 def parse_clock(text: Column) -> Column:
