@@ -241,6 +241,83 @@ FROM (SELECT *, {total} AS tot
     )
 
 
+def expected_counts() -> str:
+    """Forward-backward sums over all fish of the three-state example, by formula."""
+    psi, _, slope = MODELS[3]
+    states = (1, 2, 3)
+    p = {s: f"(1/(1+exp(-({slope}*{s} + 0.05*(t % 7)))))" for s in states}
+    phi = {s: f"(0.55 + {slope}*{s} + 0.01*(t % 5))" for s in states}
+    sees = {
+        s: f"CASE WHEN y = 1 THEN 1-{p[s]} WHEN y = {s + 1} THEN {p[s]} ELSE 0 END"
+        for s in states
+    }
+    sees[4] = "CASE WHEN y = 1 THEN 1 ELSE 0 END"
+    ahead = ", ".join(f"{sees[s]} * b{s} AS e{s}" for s in (*states, 4))
+    back = ", ".join(
+        " + ".join(f"{phi[r]}*{psi[r - 1][s - 1]!r}*e{s}" for s in states)
+        + f" + (1-{phi[r]})*e4 AS c{r}"
+        for r in states
+    )
+    pair = {(r, s): f"a{r}*{phi[r]}*{psi[r - 1][s - 1]!r}*e{s}" for r in states for s in states}
+    pair |= {(r, 4): f"a{r}*(1-{phi[r]})*e4" for r in states}
+    pair[4, 4] = "a4*e4"
+    named = ", ".join(f"{q} AS q{r}{s}" for (r, s), q in pair.items())
+    total = " + ".join(f"q{r}{s}" for r, s in pair)
+    into = {s: " + ".join(f"q{r}{s}" for r in states) for s in states}
+    sums = [f"sum(q{r}{s}/tot) AS q{r}{s}" for r, s in pair if r != 4]
+    sums += [f"sum(CASE WHEN y > 1 THEN ({into[s]})/tot ELSE 0 END) AS seen{s}" for s in states]
+    sums += [f"sum(CASE WHEN y = 1 THEN ({into[s]})/tot ELSE 0 END) AS missed{s}" for s in states]
+    parts = [("move", r, s, f"q{r}{s}") for r, s in pair if r != 4]
+    parts += [(kind, s, 0, f"{kind}{s}") for kind in ("seen", "missed") for s in states]
+    rows = " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, t, CAST({r} AS INT) AS s_from, CAST({s} AS INT) AS s_to,"
+        f" {six(f'coalesce({q}, 0)', 'value')} FROM byt"
+        for kind, r, s, q in parts
+    )
+    return (
+        chain(
+            "target",
+            *likelihood(),
+            (
+                "bwd",
+                f"""
+SELECT tag, j AS t, CAST(1 AS DOUBLE) AS b1, CAST(1 AS DOUBLE) AS b2, CAST(1 AS DOUBLE) AS b3,
+  CAST(1 AS DOUBLE) AS b4 FROM obs WHERE j = last
+UNION ALL
+SELECT tag, t, c1/m, c2/m, c3/m, e4/m FROM (
+  SELECT *, greatest(c1, c2, c3, e4) AS m FROM (
+    SELECT tag, t, e4, {back} FROM (
+      SELECT tag, t, y, {ahead} FROM (
+        SELECT bwd.tag, CAST(bwd.t - 1 AS INT) AS t, y, b1, b2, b3, b4
+        FROM bwd JOIN obs ON obs.tag = bwd.tag AND obs.j = bwd.t WHERE bwd.t > first))))""",
+            ),
+            (
+                "pairs",
+                f"""
+SELECT t, y, {named} FROM (SELECT t, y, a1, a2, a3, a4, {ahead} FROM (
+  SELECT f.t, y, a1, a2, a3, a4, b1, b2, b3, b4 FROM fwd f
+  JOIN bwd b ON b.tag = f.tag AND b.t = f.t + 1
+  JOIN obs o ON o.tag = f.tag AND o.j = f.t + 1))""",
+            ),
+            (
+                "sums",
+                f"SELECT t, {', '.join(sums)} FROM (SELECT *, {total} AS tot FROM pairs)"
+                " GROUP BY t",
+            ),
+            (
+                "byt",
+                """
+SELECT g.t, sums.* EXCLUDE (t) FROM (
+  SELECT DISTINCT j AS t FROM obs WHERE j < last) g LEFT JOIN sums ON sums.t = g.t""",
+            ),
+        )
+        + rows
+        + f"""
+UNION ALL SELECT 'loglik', CAST(0 AS INT), CAST(0 AS INT), CAST(0 AS INT),
+  {six("sum(ll)", "value")} FROM fwd WHERE t = last"""
+    )
+
+
 NAME_RE = r"'^([A-Za-z]\w*)\[(\d+), ?(\d+)(?:, ?(\d+))?\]$'"
 RAW_DRAWS = DRAWS_SQL.format(
     events="events", idiv="(event_id // 15)", idiv2="(event_id // 30)"
@@ -527,6 +604,7 @@ SELECT count(*) FILTER (incomplete) AS nIncomplete, count(*) AS nFish FROM fish"
         "hmm_loglik_six_states": ("all", "state", 6),
     }.items():
         sql[name] = chain("target", *likelihood(*model)) + scores
+    sql["hmm_expected_counts"] = expected_counts()
     sql["hmm_loglik_total"] = forward + (
         "SELECT round(sum(ll), 4) AS loglik, count(*) AS nFish FROM fwd WHERE t = last"
     )

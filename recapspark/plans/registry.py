@@ -479,7 +479,8 @@ def _(spark, sf):
 def _(spark, sf):
     observed = _model_input(spark, sf)
     params = example_params(hmm.n_occasions(observed))
-    return hmm.hmm_expected_counts(histories.collapse_histories(observed), params)
+    counted = hmm.hmm_expected_counts(histories.collapse_histories(observed), params)
+    return rounded(counted, "value")
 
 
 @query("fit_map")
