@@ -207,17 +207,21 @@ def _read_counts(rows, steps: int, n_states: int):
     return moves, seen, missed, loglik
 
 
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a small but compute-heavy table at least one task per core."""
-    context = df.sparkSession.sparkContext
-    shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(context.defaultParallelism, shuffles), *keys)
+#: Histories per task of a fit: enough to be worth a task, few enough for its memory.
+_TASK_ROWS = (64, 20_000)
+
+
+def _spread(df: DataFrame, rows: int, least: int, most: int, *keys: str) -> DataFrame:
+    """A task per core, but no task with fewer than ``least`` or more than ``most`` rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(min(cores, math.ceil(rows / least)), math.ceil(rows / most), 1)
+    return df.repartition(tasks, *keys)
 
 
 def reusable_histories(observed: DataFrame) -> DataFrame:
     """Collapsed histories, cut from their lineage and cached for an iterative fit."""
-    collapsed = _spread(collapse_histories(observed), "first", "y")
-    return stored(collapsed).persist()
+    collapsed = stored(collapse_histories(observed))
+    return _spread(collapsed, collapsed.count(), *_TASK_ROWS, "first", "y").persist()
 
 
 @dataclass(frozen=True)
@@ -330,23 +334,22 @@ def _draw_params(params, moves, seen, missed, alpha, rng):
     )
 
 
-def pack_blocks(observed: DataFrame, block_rows: int = 2048) -> DataFrame:
+def pack_blocks(observed: DataFrame, block_rows: int = 1024) -> DataFrame:
     """Collapsed histories packed into blocks of about ``block_rows``, one row each.
 
     The block of a history follows from its content and the rows of a block are
     sorted, so a block, and with it the random numbers spent on it, does not depend on
     partitions, task order or retries.
     """
-    data = reusable_histories(observed)
+    data = stored(collapse_histories(observed))
     n_blocks = max(1, math.ceil(data.count() / block_rows))
     blocks = (
         data.withColumn("block", F.pmod(F.xxhash64("first", "y"), F.lit(n_blocks)))
         .groupBy("block")
         .agg(F.sort_array(F.collect_list(F.struct("first", "y", "n"))).alias("rows"))
     )
-    packed = stored(_spread(blocks, "block")).persist()
-    data.unpersist()
-    return packed
+    per_task = max(1, _TASK_ROWS[1] // block_rows)
+    return stored(_spread(blocks, n_blocks, 1, per_task, "block")).persist()
 
 
 def sample_sweep(
@@ -411,7 +414,7 @@ def fit_gibbs(
     seed: int = 1,
     p_link: str = "logit",
     months=None,
-    block_rows: int = 2048,
+    block_rows: int = 1024,
 ) -> DataFrame:
     """Posterior draws by data augmentation: state paths given parameters and back.
 
