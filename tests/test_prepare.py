@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from fixture import FISH, prepared, raw_captures
@@ -186,3 +187,9 @@ def test_river_numbers_beyond_broadcast(spark, monkeypatch):
     got = {(r["Water"], r["riverN"]) for r in prepared(spark).collect()}
     assert {n for _, n in got} == {None, 1, 2, 3}
     assert (None, None) in got and ("T1", 1) in got and ("T2", 2) in got
+
+
+def test_scatter_column_is_a_join_key(spark):
+    """A constant there would be folded away and frequent keys would not scatter."""
+    plan = prepared(spark)._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"Join \[[^\]]*_bucket", plan)
