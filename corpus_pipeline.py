@@ -19,14 +19,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of every group of close fingerprints.
 
-    Documents without id have no smallest id and stay; of rows that share the smallest id
-    one stays.
+    Of rows of a group that share the smallest id one stays. A document without id goes if
+    its group has one with an id; groups without any id stay as they are.
     """
     found = simhash.near_duplicates(docs)
-    gone = found.filter(F.col("id") != F.col("component")).select(F.col("id").alias("_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    named = kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(kept.filter(F.col("doc_id").isNull()))
+    nameless = F.col("id").isNull() & F.col("component").isNull()
+    stay = (
+        found.filter((F.col("id") == F.col("component")) | nameless)
+        .groupBy("id", F.when(nameless, F.col("hash")).alias("_own"))
+        .agg(F.min("hash").alias("_keep"))
+        .select(F.col("id").alias("_id"), "_keep")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_keep"))
+    kept = docs.withColumn("_hash", simhash.text_hash(F.col("text"))).join(stay, same, "left_semi")
+    named = kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "_hash"])
+    return named.unionByName(kept.filter(F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

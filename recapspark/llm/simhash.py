@@ -12,7 +12,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recapspark.llm.components import connected_components
@@ -45,20 +45,28 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(bits.view(np.int64)[0])
 
 
+def text_hash(text: Column) -> Column:
+    """Tells rows with equal ids and different texts apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp)``, one row per row of ``docs``; ``fp`` is a signed long."""
+    """``(id, hash, fp)`` per row of ``docs``: a hash of the text and the fingerprint, signed longs."""
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t.as_py()) for t in batch.column(1)]
+            fps = [fingerprint(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"]
+                [batch.column(0), batch.column(1), pa.array(fps, pa.int64())],
+                names=["id", "hash", "fp"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")
-    ).mapInArrow(run, f"id {kind}, fp long")
+        F.col(id_col).alias("id"),
+        text_hash(F.col(text_col)).alias("hash"),
+        F.col(text_col).cast("binary").alias("text"),
+    ).mapInArrow(run, f"id {kind}, hash long, fp long")
 
 
 def _masks(blocks: int, agreeing: int) -> list[int]:
@@ -147,7 +155,7 @@ def near_duplicates(
     blocks: int = 5,
     crowded: int = 4096,
 ) -> DataFrame:
-    """``(id, fp, component)`` per row: the smallest id that close fingerprints lead to.
+    """``(id, hash, fp, component)`` per row: the smallest id that close fingerprints lead to.
 
     Equal fingerprints are one node of the graph, however many rows share them. A component
     whose ids are all NULL has component NULL. No rows in, no rows out.
@@ -161,4 +169,4 @@ def near_duplicates(
     )
     named = rooted.groupBy("root").agg(F.min("first").alias("component"))
     named = stored(rooted.join(named, "root").select("fp", "component"), "components")
-    return rows.join(named, "fp").select("id", "fp", "component")
+    return rows.join(named, "fp").select("id", "hash", "fp", "component")
