@@ -37,8 +37,8 @@ from recapspark.operators.storage import stored
 LENGTH = 100
 GRAM = 24
 CROWDED = 50_000
-BUFFER_BYTES = 4 << 20  # bytes hashed at once
-BLOCK_BYTES = 4 << 20  # bytes of one transform
+BUFFER_BYTES = 1 << 20  # bytes hashed at once
+BLOCK_BYTES = 2 << 20  # bytes of one transform
 _LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
