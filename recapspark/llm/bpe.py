@@ -21,8 +21,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 _SPACES = r"\t-\r \x85\xa0  -     　"
+#: From this character on (after the Latin ones) a run is left to the library's own splitting.
+FIRST_RARE = "\u0250"
 #: Most fragments, words and runs without white space that a worker remembers, each.
 REMEMBERED = 400_000
 
@@ -63,6 +66,7 @@ class Codec:
         self.words = regex.compile(pattern.replace(r"\s", _SPACES))
         self.blanks = regex.compile(f"[{_SPACES}]+")
         self.odd = regex.compile(r"[\x1c-\x1f]")  # white space to str.split() alone
+        self.library = Tokenizer.from_str(text)
         self.specials = regex.compile("|".join(map(regex.escape, self.special)))
         self.bytes = dict(enumerate(_byte_symbols()))
         self.forget()
@@ -92,9 +96,8 @@ class Codec:
                 found[i] = ranks.get((symbols[i], symbols[i + 1]), none)
         return [self.vocab[s] for s in symbols]
 
-    def _word(self, word: str) -> bytes:
-        """Ids of one word: cut at impossible pairs, encode each fragment, concatenate."""
-        plain = word.encode().decode("latin-1").translate(self.bytes)
+    def _word(self, plain: str) -> bytes:
+        """Ids of a word of byte symbols: cut at impossible pairs, encode each fragment, concatenate."""
         symbols = [*plain[:-1], plain[-1] + self.end]
         joined, fragments = self.joined, self.fragments
         pairs = zip(symbols, symbols[1:])
@@ -113,16 +116,24 @@ class Codec:
         return b"".join(parts)
 
     def _chunk(self, chunk: str) -> bytes:
-        """Ids of a run without white space: no word and no normal form reaches beyond it."""
+        """Ids of a run without white space: no word and no normal form reaches beyond it.
+
+        Rarer scripts are normalised and split by the library, whose Unicode tables decide.
+        """
+        if max(chunk, default="") >= FIRST_RARE:
+            chunk = self.library.normalizer.normalize_str(chunk)
+            words = self.library.pre_tokenizer.pre_tokenize_str(chunk)
+            return b"".join([self._word(plain) for plain, _ in words])
         if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
+            chunk = unicodedata.normalize("NFC", chunk)
         encoded, parts = self.encoded, []
         for word in self.words.findall(chunk.lower()):
             ids = encoded.get(word)
             if ids is None:
                 if len(encoded) >= REMEMBERED:
                     encoded.clear()
-                ids = encoded[word] = self._word(word)
+                plain = word.encode().decode("latin-1").translate(self.bytes)
+                ids = encoded[word] = self._word(plain)
             parts.append(ids)
         return b"".join(parts)
 

@@ -1,6 +1,6 @@
 """Toxicity: a lexicon learnt from labels, Levenshtein automata, context windows.
 
-The lexicon holds the words that mark labelled toxic texts. Its trie and the Levenshtein
+The lexicon holds the words, and beginnings of words, that mark labelled toxic texts. Its trie and the Levenshtein
 automaton of at most one edit are run together as one deterministic automaton whose states
 are built when first met, so a word costs a few steps until no term can match any more.
 Every hit is weighed by its surroundings: a hit between quotation marks or beside words
@@ -28,6 +28,7 @@ MAX_COMMON = 50_000
 THRESHOLD = 0.7
 MIN_ODDS = 8.0  # lower bound of a term's odds ratio
 MIN_FUZZY = 6  # shorter terms match only as they are
+STEMS = (6, 5, 4)  # lengths of word beginnings that can be terms, written with a star
 WINDOW = 5  # words to either side
 
 # Words that mark reported speech or address.
@@ -143,14 +144,18 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.automaton = TermAutomaton(sorted(model.terms))
+        self.automaton = TermAutomaton(sorted(t for t in model.terms if not t.endswith("*")))
         self.hits: dict[str, tuple[str, int] | None] = {}
 
     def _hit(self, word: str):
         found = self.automaton.match(word)
-        if found and found[1] and word in self.model.common:
-            return None  # an ordinary word that happens to be near a term
-        return found
+        if found and not found[1]:
+            return found
+        for n in STEMS:
+            if len(word) > n and word[:n] + "*" in self.model.terms:
+                return word[:n] + "*", 0
+        # an ordinary word may happen to be near a term
+        return None if word in self.model.common else found
 
     def features(self, text: str | None) -> list[float]:
         """Weights of the different terms hit, by kind of hit; see the module."""
@@ -265,6 +270,7 @@ def fit(
             words, row = [], []
             for i, text in enumerate(batch.column(0)):
                 own = {w for w in words_of(text.as_py() or "") if 3 <= len(w) <= 40}
+                own |= {w[:n] + "*" for w in own for n in STEMS if len(w) > n}
                 words += own
                 row += [i] * len(own)
             row = pa.array(row, pa.int64())
