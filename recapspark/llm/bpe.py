@@ -27,7 +27,7 @@ _SPACES = r"\t-\r \x85\xa0  -     　"
 #: From this character on (after the Latin ones) a run is left to the library's own splitting.
 FIRST_RARE = "\u0250"
 #: Most fragments, words and runs without white space that a worker remembers, each.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def _byte_symbols() -> list[str]:
@@ -179,6 +179,36 @@ def read_vocabulary(path: str) -> str:
         return file.read()
 
 
+#: Rows of a batch worked on at once.
+SLICE_ROWS = 500
+
+
+def _encoded(batches, codec: Codec):
+    """Batches of (id, text) as batches of (id, ids)."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(start, SLICE_ROWS)
+            tokens = [np.frombuffer(codec.encode(t.as_py()), "<u4") for t in part.column(1)]
+            ends = np.cumsum([0, *map(len, tokens)])
+            if ends[-1] >= 2**31:
+                raise ValueError("too many tokens in one batch")
+            values = np.concatenate([*tokens, np.empty(0, "<u4")]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["id", "ids"])
+
+
+def _decoded(batches, codec: Codec):
+    """Batches of (id, ids) as batches of (id, ids, text)."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            part = batch.slice(start, SLICE_ROWS)
+            lists = part.column(1)
+            text = [codec.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in lists]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), lists, pa.array(text, pa.string())], names=["id", "ids", "text"]
+            )
+
+
 def encode(
     docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -186,15 +216,7 @@ def encode(
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        codec = _codec(shared.value)
-        for batch in batches:
-            tokens = [np.frombuffer(codec.encode(t.as_py()), "<u4") for t in batch.column(1)]
-            ends = np.cumsum([0, *map(len, tokens)])
-            if ends[-1] >= 2**31:
-                raise ValueError("too many tokens in one batch; lower arrow.maxRecordsPerBatch")
-            values = np.concatenate([*tokens, np.empty(0, "<u4")]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
+        yield from _encoded(batches, _codec(shared.value))
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
@@ -207,36 +229,37 @@ def decode(tokens: DataFrame, vocabulary: str) -> DataFrame:
     shared = tokens.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        codec = _codec(shared.value)
-        for batch in batches:
-            lists = batch.column(1)
-            text = [codec.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in lists]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), lists, pa.array(text, pa.string())], names=["id", "ids", "text"]
-            )
+        yield from _decoded(batches, _codec(shared.value))
 
     kind = tokens.schema["id"].dataType.simpleString()
     return tokens.select("id", "ids").mapInArrow(run, f"id {kind}, ids array<int>, text string")
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Per document the number and digest of its tokens and the digest of the decoded text."""
+    """Per document the number and digest of its tokens and the digest of the decoded text.
+
+    Encodes and decodes in one worker, so ids and texts needn't travel.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def sha(data: bytes) -> str:
+        return hashlib.sha256(data).hexdigest()
+
     def run(batches):
-        for batch in batches:
+        codec = _codec(shared.value)
+        for batch in _decoded(_encoded(batches, codec), codec):
             raw = [np.asarray(x.values.to_numpy(), "<u4") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(x) for x in raw], pa.int64()),
-                    pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in raw]),
-                    batch.column(2),
+                    pa.array([sha(x.tobytes()) for x in raw], pa.string()),
+                    pa.array([sha(t.as_py().encode()) for t in batch.column(2)], pa.string()),
                 ],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    coded = decode(encode(docs, vocabulary), vocabulary)
-    coded = coded.select("id", "ids", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return coded.mapInArrow(
+    return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
