@@ -46,8 +46,14 @@ def _top(ids, scores, n):
     return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
 
+def _vectors(x, ids):
+    """Vectors of a table of ids; padding gets some vector."""
+    flat = np.take(x, ids.ravel(), axis=0, mode="clip")
+    return flat.reshape(*ids.shape, x.shape[1])
+
+
 def _scores(x, queries, ids):
-    found = np.einsum("bkd,bd->bk", x[np.maximum(ids, 0)], queries)
+    found = np.matmul(_vectors(x, ids), queries[:, :, None])[:, :, 0]
     found[ids < 0] = -np.inf
     return found
 
@@ -112,8 +118,8 @@ def search(x, links, queries, entries, beam, expand=4):
 def _spread_links(x, ids, scores, m):
     """Of candidates, best first, those nearer to the node than to any chosen one; filled up with the best."""
     ids, scores = _top(ids, scores, min(ids.shape[1], 3 * m))
-    vectors = x[np.maximum(ids, 0)]
-    between = np.einsum("bid,bjd->bij", vectors, vectors)
+    vectors = _vectors(x, ids)
+    between = np.matmul(vectors, vectors.transpose(0, 2, 1))
     chosen = np.zeros(ids.shape, bool)
     count = np.zeros(len(ids), int)
     for j in range(ids.shape[1]):
