@@ -2,8 +2,7 @@
 
 Each query runs once to warm up and is then timed writing to Spark's no-op sink, so the
 whole result is computed and nothing is kept. ``fit_map_sweep`` is one EM iteration
-and ``fit_gibbs_sweep`` one sampling sweep (two chains) over stored histories, each the
-mean of a few.
+over stored histories, the mean of a few.
 """
 
 from __future__ import annotations
@@ -68,11 +67,6 @@ def main() -> None:
     took = timed(lambda: hmm.fit_map(observed, registry.DELTA, max_iter=1, tol=-1))
     more = timed(lambda: hmm.fit_map(observed, registry.DELTA, max_iter=1 + sweeps, tol=-1))
     seconds["fit_map_sweep"] = round(max(more - took, 0) / sweeps, 3)
-    gibbs = {"n_burnin": 0, "thin": 1}
-    took = timed(lambda: hmm.fit_gibbs(observed, registry.DELTA, n_iter=1, **gibbs))
-    more = timed(lambda: hmm.fit_gibbs(observed, registry.DELTA, n_iter=1 + sweeps, **gibbs))
-    seconds["fit_gibbs_sweep"] = round(max(more - took, 0) / sweeps, 3)
-
     rows = {
         "captures": spark.read.parquet(f"{SF_DIR}/orders.parquet").count(),
         "draws": spark.read.parquet(f"{SF_DIR}/events.parquet").count(),

@@ -30,7 +30,7 @@ RUN_2_STATE = {"n_iter": 2500, "n_burnin": 1000, "n_chains": 2, "thin": 5}
 RUN_6_STATE = {"n_iter": 1000, "n_burnin": 500, "n_chains": 2, "thin": 5}
 
 # Scale settings of this library.
-HOT_KEYS = 1024  # the most frequent keys, handled by broadcast (see operators/skew.py)
+HOT_KEYS = 10_000  # the most frequent keys, handled by broadcast (see operators/skew.py)
 HOT_MIN_ROWS = 10_000  # keys with fewer rows are never treated as frequent
-HOT_KEY_SALTS = 256  # how many shuffle buckets one frequent key is spread over
+HOT_KEY_SALTS = 1 << 30  # a frequent key is spread over all reducers, however many
 BROADCAST_LEVELS = 100_000  # most levels of a dimension that is ever broadcast

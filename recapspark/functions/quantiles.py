@@ -1,4 +1,4 @@
-"""Exact interpolated quantiles per group, also for groups too large for one task."""
+"""Exact interpolated quantiles per group, whatever the size of a group."""
 
 from __future__ import annotations
 
@@ -9,46 +9,58 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recapspark.config import BROADCAST_LEVELS
-from recapspark.operators.levels import stored
-
-#: Up to this many rows a group is summarised by one task.
-GROUP_LIMIT = 1_000_000
-_BINS = 4096
+from recapspark.operators.storage import stored
 
 
 def grouped_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    limit: int = GROUP_LIMIT,
-    bins: int = _BINS,
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]
 ) -> DataFrame:
     """``keys`` and ``quantiles``, an array with one value per entry of ``probs``.
 
-    Linear interpolation between order statistics (type 7). Missing values are ignored.
-    Groups up to ``limit`` rows use Spark's exact percentile. Larger ones are counted
-    first and then narrowed down: every pass counts one group in ``bins`` equal bins
-    and keeps, per wanted rank, the one bin that holds it, until that bin has a single
-    value. No task ever holds more than ``bins`` counters per rank.
+    Linear interpolation between order statistics (type 7). NULL and NaN are ignored,
+    infinities are ordinary ends of the order; between unlike infinities the result is NaN.
+
+    Equal values are counted first, so ties cost one row. The distinct values are sorted by
+    range over the cluster; how many lie below a range follows from the counts of the ranges, and a
+    running sum inside a range finds the wanted ranks. No task holds a group.
     """
     keys = list(keys)
-    names = [f"_g{i}" for i in range(len(keys))]
     df = clean_values(df.select(*keys, value), value)
-    large = _large_groups(df, keys, names, value, limit)
-    n_large = large.count()
-    if n_large == 0:
-        return df.groupBy(*keys).agg(percentiles(value, probs).alias("quantiles"))
-    large = stored(large)
-    side = large.select(*names)
-    side = F.broadcast(side) if n_large <= BROADCAST_LEVELS else side
-    same = _same(keys, names)
-    small = df.join(side, same, "left_anti").groupBy(*keys)
-    small = small.agg(percentiles(value, probs).alias("quantiles"))
-    hot = df.join(side, same, "left_semi")
-    refined = _by_refinement(hot, large, n_large, keys, names, value, probs, bins)
-    return small.unionByName(refined)
+    counted = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranged = stored(
+        counted.repartitionByRange(*keys, "_v").withColumn("_range", F.spark_partition_id())
+    )
+    names = [f"_g{i}" for i in range(len(keys))]
+    group = Window.partitionBy(*keys)
+    # one row per group and range that holds some of it
+    below = ranged.groupBy(*keys, "_range").agg(F.sum("_c").alias("_c")).select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)],
+        F.col("_range").alias("_r"),
+        (F.sum("_c").over(group.orderBy("_range")) - F.col("_c")).alias("_below"),
+        F.sum("_c").over(group).alias("_n"),
+    )
+    within = Window.partitionBy("_range", *keys).orderBy("_v")
+    placed = ranged.withColumn("_upto", F.sum("_c").over(within)).join(
+        below, (F.col("_range") == F.col("_r")) & _same(keys, names)
+    )
+    upto = F.col("_below") + F.col("_upto")
+    picks = []
+    for i, p in enumerate(probs):
+        rank = (F.col("_n") - 1) * float(p)
+        for side, at in (("low", F.floor(rank)), ("high", F.ceil(rank))):
+            hit = (at < upto) & (at >= upto - F.col("_c"))
+            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}{i}"))
+    found = placed.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
+
+    def between(i, p):
+        rank = (F.col("_n") - 1) * float(p)
+        low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
+        mixed = (F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high
+        return F.when(low == high, low).otherwise(mixed)
+
+    return found.select(
+        *keys, F.array(*[between(i, p) for i, p in enumerate(probs)]).alias("quantiles")
+    )
 
 
 def clean_values(df: DataFrame, value: str) -> DataFrame:
@@ -57,116 +69,7 @@ def clean_values(df: DataFrame, value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull() & ~F.isnan(value))
 
 
-def percentiles(value: str, probs: Sequence[float]) -> Column:
-    """Aggregate for groups small enough to be summarised by one task."""
-    return F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]))
-
-
-def has_large_groups(
-    df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT
-) -> bool:
-    """Whether any group has more than ``limit`` rows."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return bool(sizes.filter(F.col("_n") > limit).limit(1).count())
-
-
-def _large_groups(df, keys, names, value, limit):
-    return (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min(value).alias("_lo"),
-            F.max(value).alias("_hi"),
-        )
-        .filter(F.col("_n") > limit)
-        .select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "_n", "_lo", "_hi")
-    )
-
-
 def _same(keys: Sequence[str], names: Sequence[str]) -> Column:
     """Null-safe equality of two lists of columns."""
     pairs = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
     return reduce(operator.and_, pairs)
-
-
-def _by_refinement(hot, sizes, n_groups, keys, names, value, probs, bins):
-    place = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
-                for i, p in enumerate(probs)
-            ]
-        )
-    )
-    wanted = sizes.withColumn("_prob", place).withColumn(
-        "_h", (F.col("_n") - 1) * F.col("_prob.p")
-    )
-    ranks = wanted.withColumn(
-        "_rank", F.explode(F.array(F.floor("_h"), F.ceil("_h")))
-    )
-    state = stored(
-        ranks.select(
-            *names,
-            F.col("_rank").cast("long"),
-            "_lo",
-            "_hi",
-            F.lit(0).cast("long").alias("_below"),
-        ).distinct()
-    )
-    fits = n_groups * 2 * len(probs) <= BROADCAST_LEVELS
-    while state.filter(F.col("_lo") < F.col("_hi")).limit(1).count():
-        open_ranges = state.filter(F.col("_lo") < F.col("_hi"))
-        ranges = open_ranges.select(*names, "_lo", "_hi").distinct()
-        ranges = F.broadcast(ranges) if fits else ranges
-        match = _same(keys, names) & F.col(value).between(F.col("_lo"), F.col("_hi"))
-        at = F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
-        counted = (
-            hot.join(ranges, match)
-            .groupBy(*names, "_lo", "_hi", F.least(at, F.lit(bins - 1)).alias("_bin"))
-            .agg(
-                F.count(F.lit(1)).alias("_c"),
-                F.min(value).alias("_min"),
-                F.max(value).alias("_max"),
-            )
-        )
-        upto = Window.partitionBy(*names, "_lo", "_hi").orderBy("_bin")
-        counted = counted.withColumn("_upto", F.sum("_c").over(upto)).select(
-            *[F.col(n).alias(f"{n}r") for n in names],
-            F.col("_lo").alias("_lor"),
-            F.col("_hi").alias("_hir"),
-            "_c",
-            "_min",
-            "_max",
-            "_upto",
-        )
-        inside = F.col("_rank") - F.col("_below")
-        hit = (
-            _same([*names, "_lo", "_hi"], [*[f"{n}r" for n in names], "_lor", "_hir"])
-            & (inside < F.col("_upto"))
-            & (inside >= F.col("_upto") - F.col("_c"))
-        )
-        narrowed = open_ranges.join(counted, hit).select(
-            *names,
-            "_rank",
-            F.col("_min").alias("_lo"),
-            F.col("_max").alias("_hi"),
-            (F.col("_below") + F.col("_upto") - F.col("_c")).alias("_below"),
-        )
-        done = state.filter(F.col("_lo") >= F.col("_hi"))
-        state = stored(done.unionByName(narrowed))
-
-    found = [F.col(n).alias(f"{n}r") for n in names]
-    out = wanted
-    for rank_of, v in ((F.floor, "_v0"), (F.ceil, "_v1")):
-        values = state.select(*found, F.col("_rank").alias("_r"), F.col("_lo").alias(v))
-        match = _same(names, [f"{n}r" for n in names]) & (F.col("_r") == rank_of("_h"))
-        out = out.join(values, match).drop(*[f"{n}r" for n in names], "_r")
-    part = F.col("_h") - F.floor("_h")
-    exact = F.col("_v0") + part * (F.col("_v1") - F.col("_v0"))
-    cells = out.select(*names, F.struct(F.col("_prob.i"), exact.alias("q")).alias("_q"))
-    ordered = F.sort_array(F.collect_list("_q"))
-    return (
-        cells.groupBy(*names)
-        .agg(F.transform(ordered, lambda c: c["q"]).alias("quantiles"))
-        .select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "quantiles")
-    )

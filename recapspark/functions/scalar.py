@@ -13,6 +13,8 @@ _DAY_TEXT = (
     r"^\s*(\d{1,2})[\s./,-]*(\d{1,2}|[A-Za-z]{3,9})[\s./,-]*(\d{4}|\d{2})\s*$|^.*$"
 )
 
+_USUAL_DAY = r"^ *\d{1,2}-\d{1,2}-\d{4} *$"
+
 
 def parse_day(text: Column) -> Column:
     """Day-month-year text to a date; month as number or English name, NULL if unreadable.
@@ -22,7 +24,7 @@ def parse_day(text: Column) -> Column:
     empty then, and a signed year never gets through, so every date has a four-digit
     year. Catalyst copies this expression into each pushed-down filter: keep it short.
     """
-    usual = F.when(~F.contains(text, F.lit("+")), F.try_to_date(text, "d-M-yyyy"))
+    usual = F.when(F.rlike(text, F.lit(_USUAL_DAY)), F.try_to_date(F.trim(text), "d-M-yyyy"))
     t = F.regexp_replace(text, _DAY_TEXT, "$1-$2-$3")
     t = F.regexp_replace(t, r"-([0-5]\d|6[0-8])$", "-20$1")
     t = F.regexp_replace(t, r"-(\d{2})$", "-19$1")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from recapspark.config import DIRICHLET_OTHER, DIRICHLET_SAME
 from recapspark.functions import forward as fwd
 from recapspark.operators.histories import collapse_histories
-from recapspark.operators.levels import stored
+from recapspark.operators.storage import stored
 from recapspark.sources.schema import DRAWS, PARAMS
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -117,6 +117,8 @@ def n_occasions(observed: DataFrame) -> int:
 
 def _matrix(lists: pa.Array) -> np.ndarray:
     """List column with rows of equal length as a matrix."""
+    if not len(lists):
+        return np.empty((0, 1), np.int64)
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(lists), -1).astype(np.int64)
 
@@ -129,6 +131,8 @@ def hmm_loglik(observed: DataFrame, params: ModelParams) -> DataFrame:
     gamma, p, delta = params.arrays()
 
     def batch_loglik(first: pa.Array, y: pa.Array) -> pa.Array:
+        if not len(first):
+            return pa.array([], pa.float64())
         order, f, rows = fwd.by_first(
             first.to_numpy(zero_copy_only=False).astype(np.int64), _matrix(y)
         )
@@ -228,6 +232,7 @@ def reusable_histories(observed: DataFrame) -> DataFrame:
 class MapFit:
     params: ModelParams
     log_posterior: list[float]
+    converged: bool
 
     @property
     def iterations(self) -> int:
@@ -248,13 +253,16 @@ def fit_map(
     observed: DataFrame,
     delta,
     alpha: np.ndarray | None = None,
-    max_iter: int = 50,
+    max_iter: int | None = None,
     tol: float = 1e-6,
     p_link: str = "logit",
 ) -> MapFit:
     """Posterior mode by EM: uniform survival and detection, Dirichlet(alpha + 1) changes.
 
-    One job per iteration; only the expected counts come back to the driver.
+    One job per iteration; only the expected counts come back to the driver. It runs until
+    the log posterior, which EM never lowers, grows by less than ``tol`` of its size.
+    ``max_iter`` is for trials: a fit that it ends has ``converged`` False. A log posterior
+    that isn't finite is an error.
     """
     delta = np.asarray(delta, float)
     s = len(delta)
@@ -265,16 +273,20 @@ def fit_map(
         params = start_params(width, delta, alpha, p_link)
         low, high = (0.5, 1 / (1 + math.exp(-1))) if p_link == "logit" else (0.0, 1.0)
         trace: list[float] = []
-        for _ in range(max_iter):
+        converged = False
+        while max_iter is None or len(trace) < max_iter:
             rows = hmm_expected_counts(data, params).collect()
             moves, seen, missed, loglik = _read_counts(rows, width - 1, s)
             trace.append(loglik + float((alpha * np.log(params.psi)).sum()))
+            if not math.isfinite(trace[-1]):
+                raise ValueError("the histories are impossible under the model")
             if len(trace) > 1 and trace[-1] - trace[-2] < tol * abs(trace[-2]):
+                converged = True
                 break
             params = replace(params, **_maximise(params, moves, seen, missed, alpha, low, high))
     finally:
         data.unpersist()
-    return MapFit(params, trace)
+    return MapFit(params, trace, converged)
 
 
 def _maximise(params, moves, seen, missed, alpha, low, high):

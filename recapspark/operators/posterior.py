@@ -10,13 +10,7 @@ from pyspark.sql import functions as F
 
 from recapspark.config import PRIOR_PRECISION
 from recapspark.functions import scalar
-from recapspark.functions.quantiles import (
-    GROUP_LIMIT,
-    clean_values,
-    grouped_quantiles,
-    has_large_groups,
-    percentiles,
-)
+from recapspark.functions.quantiles import clean_values, grouped_quantiles
 
 PARAMETER = ["name", "s_from", "s_to", "t"]
 _NAME = r"^([A-Za-z]\w*)\[(\d+), ?(\d+)(?:, ?(\d+))?\]$"
@@ -48,9 +42,11 @@ def add_monthly_survival(
 ) -> DataFrame:
     """Append ``betaPhiMonthly`` draws made of ``betaPhi`` and the interval lengths.
 
-    ``months`` has one row per interval: ``t`` and ``dateMedianDiffMonth``.
+    ``months`` has one row per interval: ``t`` and ``dateMedianDiffMonth``, and ``river``
+    if rivers have months of their own and ``draws`` has that column.
     """
-    monthly = of_parameter(draws, "betaPhi").join(F.broadcast(months), "t")
+    on = [c for c in ("river", "t") if c in months.columns]
+    monthly = of_parameter(draws, "betaPhi").join(F.broadcast(months), on)
     monthly = monthly.withColumns(
         {
             "name": F.lit("betaPhiMonthly"),
@@ -75,30 +71,21 @@ def summarise(
     names: Sequence[str],
     digits: int | None = 3,
     by: Sequence[str] = (),
-    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Mean, sd and named quantiles per parameter, chains pooled.
 
-    ``by`` are further keys, e.g. the river of the run. Parameters with up to
-    ``limit`` draws are summarised in a single aggregation.
+    ``by`` are further keys, e.g. the river of the run.
     """
     keys = [*by, *PARAMETER]
     draws = clean_values(draws, "value")
     moments = [F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")]
-    if not has_large_groups(draws, keys, limit):
-        out = draws.groupBy(*keys).agg(
-            *moments, percentiles("value", probs).alias("quantiles")
-        )
-    else:
-        quantiles = grouped_quantiles(draws, keys, "value", probs, limit)
-        # both sides have one row per parameter
-        right = quantiles.select(
-            *[F.col(k).alias(f"_{k}") for k in keys], "quantiles"
-        )
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-        out = draws.groupBy(*keys).agg(*moments).join(right, same)
+    quantiles = grouped_quantiles(draws, keys, "value", probs)
+    # both sides have one row per parameter
+    right = quantiles.select(*[F.col(k).alias(f"_{k}") for k in keys], "quantiles")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = draws.groupBy(*keys).agg(*moments).join(right, same)
     return out.select(
         *keys,
         _rounded(F.col("mean"), digits).alias("mean"),
@@ -114,10 +101,9 @@ def posterior_summary(
     draws: DataFrame,
     digits: int | None = 3,
     by: Sequence[str] = (),
-    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Mean, sd, median and 95 % interval per parameter."""
-    return summarise(draws, (0.025, 0.5, 0.975), ("lo", "med", "hi"), digits, by, limit)
+    return summarise(draws, (0.025, 0.5, 0.975), ("lo", "med", "hi"), digits, by)
 
 
 def caterpillar(draws: DataFrame, digits: int | None = None) -> DataFrame:
@@ -192,34 +178,26 @@ def prior_draws(draws: DataFrame, precision: float = PRIOR_PRECISION) -> DataFra
     )
 
 
-def prior_overlap(
-    draws: DataFrame, prior: DataFrame, width: float = 0.1, bins: int = 256
-) -> DataFrame:
+def prior_overlap(draws: DataFrame, prior: DataFrame, width: float = 0.1) -> DataFrame:
     """Share of the posterior that the prior covers, per parameter.
 
-    Both are counted in ``bins`` bins of ``width`` around zero (the outer two open);
-    the overlap is the sum over bins of the smaller share.
+    Both are counted in bins of ``width``, as many as the values need; the overlap is the
+    sum over bins of the smaller share.
     """
-    half = bins // 2
 
     def binned(df, *keys):
-        at = F.floor(F.col("value") / width)
-        at = F.greatest(F.lit(-half), F.least(at, F.lit(half - 1)))
-        return df.groupBy(*keys, at.cast("int").alias("bin")).agg(
-            F.count(F.lit(1)).alias("n")
-        )
+        at = F.floor(F.col("value") / width).cast("long")
+        return df.groupBy(*keys, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
-    # at most ``bins`` rows
-    prior_bins = binned(prior)
-    prior_bins = prior_bins.select(
-        F.col("bin").alias("_bin"),
-        (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("_prior"),
-    )
+    prior_bins = binned(prior).select(F.col("bin").alias("_bin"), F.col("n").alias("_prior"))
+    n_prior = prior.agg(F.count(F.lit(1)).alias("_all_prior"))
     post = binned(draws, *PARAMETER)
     share = F.col("n") / F.sum("n").over(Window.partitionBy(*PARAMETER))
     post = post.select(*PARAMETER, "bin", share.alias("_post"))
-    both = post.join(F.broadcast(prior_bins), F.col("bin") == F.col("_bin"), "left")
-    smaller = F.least(F.col("_post"), F.coalesce("_prior", F.lit(0.0)))
+    both = post.join(prior_bins, F.col("bin") == F.col("_bin"), "left")
+    # one row: the number of prior draws
+    both = both.withColumn("_share", F.coalesce("_prior", F.lit(0)) / n_prior.scalar())
+    smaller = F.least(F.col("_post"), F.col("_share"))
     return both.groupBy(*PARAMETER).agg(F.sum(smaller).alias("overlap"))
 
 
@@ -228,11 +206,14 @@ def label(
 ) -> DataFrame:
     """Attach month and year by the position of the subset's own months, and the river.
 
-    ``river`` may be left out if the summary already has that column.
+    ``river`` may be left out if the summary already has that column. ``occasions`` with
+    a column ``river`` label each river with its own months.
     """
-    labels = occasions.select("t", "dateYM", "year", "month")
-    out = summary.join(F.broadcast(labels), "t", "left")
-    return out if river is None else out.withColumn("river", F.lit(river))
+    if river is not None:
+        summary = summary.withColumn("river", F.lit(river))
+    on = [c for c in ("river", "t") if c in occasions.columns]
+    labels = occasions.select(*on, "dateYM", "year", "month")
+    return summary.join(F.broadcast(labels), on, "left")
 
 
 def union_rivers(*tables: DataFrame) -> DataFrame:

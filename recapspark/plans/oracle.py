@@ -352,18 +352,33 @@ SELECT {by}, {digits("avg(value)", "mean")}, {digits("stddev_samp(value)", "sd")
 FROM {source} GROUP BY {by}"""
 
 
+#: Columns of the wide table: all calendar months of the orders.
+MONTHS = [f"{year}-{month:02}" for year in range(1992, 1999) for month in range(1, 13)]
+
+
 def labelled() -> tuple[tuple[str, str], ...]:
     return (
         *cells("main"),
+        (
+            "tribmonths",
+            chain("target", *cells("trib"))
+            + "SELECT j, dateYM, min(dateMedianDiffMonth) AS months FROM long GROUP BY j, dateYM",
+        ),
+        (
+            "bothmonths",
+            """
+SELECT 1 AS chain, j, dateYM, min(dateMedianDiffMonth) AS months FROM long GROUP BY j, dateYM
+UNION ALL SELECT 2, j, dateYM, months FROM tribmonths""",
+        ),
         *DRAWS,
         (
             "alldraws",
             """
 SELECT chain, iter, value, name, s_from, s_to, t FROM draws
 UNION ALL
-SELECT chain, iter, pow(value, dateMedianDiffMonth), 'betaPhiMonthly', s_from, s_to, t
-FROM draws JOIN (SELECT j, min(dateMedianDiffMonth) AS dateMedianDiffMonth FROM long
-                 GROUP BY j) v ON v.j = draws.t WHERE name = 'betaPhi'""",
+SELECT draws.chain, iter, pow(value, months), 'betaPhiMonthly', s_from, s_to, t
+FROM draws JOIN bothmonths v ON v.j = draws.t AND v.chain = least(draws.chain, 2)
+WHERE name = 'betaPhi'""",
         ),
         ("summ", summary("alldraws", "chain, ")),
         (
@@ -371,8 +386,8 @@ FROM draws JOIN (SELECT j, min(dateMedianDiffMonth) AS dateMedianDiffMonth FROM
             """
 SELECT s.* EXCLUDE (chain), dateYM, CAST(substr(dateYM, 1, 4) AS INT) AS year,
   CAST(substr(dateYM, 6, 2) AS INT) AS month,
-  CASE chain WHEN 1 THEN 'main' ELSE 'trib' END AS river
-FROM summ s LEFT JOIN mon ON mon.j = s.t""",
+  CASE s.chain WHEN 1 THEN 'main' ELSE 'trib' END AS river
+FROM summ s LEFT JOIN bothmonths mon ON mon.j = s.t AND mon.chain = least(s.chain, 2)""",
         ),
         (
             "phiboth",
@@ -553,7 +568,8 @@ SELECT tag, j, dateYM, enc, Water, state, sizeState,
   {six("dateMedianDiffMonth", "dateMedianDiffMonth")} FROM long WHERE enc = 1"""
     sql["eh_wide_main"] = main + """
 , wide AS (SELECT tag, 'date_' || coalesce(dateYM, 'NA') AS column_name, sizeState FROM long)
-PIVOT wide ON column_name USING first(sizeState) GROUP BY tag"""
+SELECT * FROM (PIVOT wide ON column_name IN (""" + ", ".join(f"'date_{m}'" for m in MONTHS) + """)
+  USING first(sizeState) GROUP BY tag)"""
     sql["eh_head"] = main + """
 SELECT tag, first, string_agg(CAST(enc AS VARCHAR), ',' ORDER BY j) AS eh
 FROM long JOIN fish USING (tag) GROUP BY tag, first ORDER BY first, tag LIMIT 8"""
@@ -643,7 +659,6 @@ FROM (SELECT {PARAM}, sum(n) AS total, avg(n) AS size, var_samp(m) AS b,
             FROM draws CROSS JOIN (SELECT min(iter) AS lo, max(iter) AS hi FROM draws)
             GROUP BY {PARAM}, chain, batch)
       GROUP BY {PARAM})"""
-    clamp = "greatest(-128, least(CAST(floor(value / 0.1) AS INT), 127))"
     sql["prior_overlap"] = plain(
         *DRAWS,
         (
@@ -657,12 +672,12 @@ FROM (SELECT ((k * 7919) % 104729 + 0.5) / 104729 AS u1,
         (
             "pb",
             f"""SELECT bin, n / sum(n) OVER () AS share
-FROM (SELECT {clamp} AS bin, count(*) AS n FROM prior GROUP BY 1)""",
+FROM (SELECT floor(value / 0.1) AS bin, count(*) AS n FROM prior GROUP BY 1)""",
         ),
         (
             "db",
             f"""SELECT {PARAM}, bin, n / sum(n) OVER (PARTITION BY {PARAM}) AS share
-FROM (SELECT {PARAM}, {clamp} AS bin, count(*) AS n FROM draws GROUP BY ALL)""",
+FROM (SELECT {PARAM}, floor(value / 0.1) AS bin, count(*) AS n FROM draws GROUP BY ALL)""",
         ),
     ) + f"""
 SELECT {PARAM}, {six("sum(least(db.share, coalesce(pb.share, 0)))", "overlap")}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recapspark.config import SIX_STATE_WEIGHTS
 from recapspark.operators import dedup, growth, histories, hmm, posterior, prepare, tables
-from recapspark.operators.levels import stored
+from recapspark.operators.storage import stored
 from recapspark.plans import flows
 from recapspark.sources import files, standin
 from recapspark.sources.schema import CAPTURE_COLUMNS
@@ -28,6 +28,8 @@ CLEAN_OUT = [
     "dateMedianDiff", "dateMedianDiffMonth",
 ]
 DELTA = (0.5, 0.3, 0.2)
+#: Columns of the wide table: all calendar months of the orders.
+WIDE_MONTHS = [f"{year}-{month:02}" for year in range(1992, 1999) for month in range(1, 13)]
 
 
 def query(name: str):
@@ -340,7 +342,7 @@ def _(spark, sf):
 @query("eh_wide_main")
 def _(spark, sf):
     dense = histories.encounter_histories(_caught(spark, sf, "main"))
-    return histories.history_wide(stored(dense), "sizeState")
+    return histories.history_wide(dense, "sizeState", WIDE_MONTHS)
 
 
 @query("eh_head")
@@ -486,16 +488,10 @@ def _(spark, sf):
 @query("fit_map")
 def _(spark, sf):
     observed = _model_input(spark, sf)
-    fit = hmm.fit_map(observed, DELTA, max_iter=5)
+    fit = hmm.fit_map(observed, DELTA)
     return hmm.params_table(spark, fit.params)
 
 
-@query("fit_gibbs")
-def _(spark, sf):
-    observed = _model_input(spark, sf)
-    return hmm.fit_gibbs(observed, DELTA, n_iter=10, n_burnin=4, thin=2)
-
-
 # --- posterior tables ------------------------------------------------------------
 
 
@@ -504,10 +500,14 @@ def _draws(spark, sf) -> DataFrame:
 
 
 def _occasions(spark, sf) -> DataFrame:
-    """Labels and intervals of the main river's months, computed once (one row each)."""
-    return stored(
-        histories.occasion_labels(_caught(spark, sf, "main", intervals=True))
+    """Labels and intervals of each river's own months, computed once (one row each)."""
+    main, trib = (
+        histories.occasion_labels(_caught(spark, sf, river, intervals=True)).withColumn(
+            "river", F.lit(river)
+        )
+        for river in ("main", "trib")
     )
+    return stored(main.unionByName(trib))
 
 
 def _runs(spark, sf) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,29 +18,46 @@ def read_captures(
 ) -> DataFrame:
     """Scan capture CSV files: header row, trimmed fields, empty and ``NA`` are NULL.
 
-    The header is matched by position against ``schema``; ``enforceSchema`` off makes
-    Spark reject a file whose header names disagree.
+    Columns are found by name in the header of each file, in any order; other columns are
+    ignored, absent ones are NULL, and so are fields that don't fit their type. Files
+    with the same header are read together.
     """
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("nullValue", "NA")
-        .option("ignoreLeadingWhiteSpace", True)
+    listed = spark.read.format("binaryFile").load(paths).select("path")
+    by_header: dict[tuple, list[str]] = {}
+    for row in listed.orderBy("path").toLocalIterator():
+        # names as the header gives them; nothing but the first line decides
+        first = _csv(spark).option("header", False).csv(row["path"]).first()
+        by_header.setdefault(tuple(first or ()), []).append(row["path"])
+    parts = [_read_alike(spark, files, header, schema) for header, files in by_header.items()]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _csv(spark: SparkSession):
+    return (
+        spark.read.option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
-        .csv(paths)
-    )
-    # A quoted empty field arrives as '' although it means "missing" as well.
-    return raw.select(
-        *[
-            F.nullif(F.col(f"`{f.name}`"), F.lit("")).alias(f.name)
-            if isinstance(f.dataType, T.StringType)
-            else F.col(f"`{f.name}`")
-            for f in schema.fields
-        ]
+        .option("nullValue", "NA")
     )
 
 
+def _read_alike(spark, files: list[str], header: tuple, schema: T.StructType) -> DataFrame:
+    """Files that share a header; every field is text first, so pruning changes nothing."""
+    place = {name: i for i, name in reversed(list(enumerate(header)))}
+    texts = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))])
+    raw = _csv(spark).schema(texts).option("header", True).option("enforceSchema", True).csv(files)
+
+    def column(field):
+        if field.name not in place:
+            return F.lit(None).cast(field.dataType).alias(field.name)
+        # a quoted empty field arrives as '' although it means "missing" as well
+        text = F.nullif(F.col(f"_c{place[field.name]}"), F.lit(""))
+        return text.try_cast(field.dataType).alias(field.name)
+
+    return raw.select(*[column(f) for f in schema.fields])
+
+
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """Persist an intermediate result by name (Parquet, replacing an earlier one)."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)

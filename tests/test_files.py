@@ -20,6 +20,21 @@ def test_csv_scan(spark, tmp_path):
     assert d.count() == 2 and d.first()["tag"] == "ab12"
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    """Extra, reordered and missing columns, and unlike files in one scan."""
+    (tmp_path / "a.csv").write_text("Extra,Water,FishNum,Date\nx, R1 ,7,10-06-2020\ny,NA,oops,\n")
+    (tmp_path / "b.csv").write_text("Date,Length,Water\n11-06-2020,200.5,R2\n")
+    paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    both = files.read_captures(spark, paths)
+    assert both.schema == files.CAPTURE_FILE
+    rows = {(r["Date"], r["Water"], r["FishNum"], r["Length"], r["Rep"]) for r in both.collect()}
+    want = {("10-06-2020", "R1", 7, None, None), (None, None, None, None, None),
+            ("11-06-2020", "R2", None, 200.5, None)}
+    assert rows == want
+    assert {r[0] for r in both.select("Water").collect()} == {"R1", "R2", None}
+    assert {r[0] for r in files.read_captures(spark, str(tmp_path)).select("FishNum").collect()} == {7, None}
+
+
 def test_tables_round_trip(spark, tmp_path):
     path = str(tmp_path / "clean")
     d = prepared(spark)

@@ -31,6 +31,7 @@ def one(spark, expr, **values):
         ("10-06-69", dt.date(1969, 6, 10)),
         ("31-02-2020", None),
         ("10-06-+12020", None),
+        ("10-06--2020", None),
         ("", None),
         (None, None),
     ],

@@ -2,11 +2,12 @@
 
 import pytest
 from conftest import SMALL
-from oracle_check import compare, duck
+from oracle_check import compare, duck, view
 
 import __spark_entry__ as entry
+from recapspark.plans import oracle, registry
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = dict(registry.QUERIES), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,17 +17,21 @@ def con():
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"fit_map", "fit_gibbs"}
+    assert set(QUERIES) - set(SQL) == {"fit_map"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     got = QUERIES[name](spark, SMALL).toArrow()
     if name in SQL:
-        assert compare(got, con.sql(SQL[name]).to_arrow_table()) is None
+        assert compare(got, view(con, SQL[name])) is None
     else:
         assert got.num_rows > 0
 
 
+def test_registered(spark):
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
