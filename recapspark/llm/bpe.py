@@ -27,7 +27,7 @@ _SPACES = r"\t-\r \x85\xa0  -     　"
 #: From this character on (after the Latin ones) a run is left to the library's own splitting.
 FIRST_RARE = "\u0250"
 #: Most fragments, words and runs without white space that a worker remembers, each.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 
 
 def _byte_symbols() -> list[str]:

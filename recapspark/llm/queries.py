@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from recapspark.llm import bpe, hnsw, mixing, quality, secrets, sharding, simhash, suffixes, toxicity, warc
 
 
+#: Rows per Arrow batch: texts can be long, and a worker holds a batch of them at a time.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

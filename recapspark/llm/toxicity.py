@@ -29,6 +29,7 @@ THRESHOLD = 0.7
 MIN_ODDS = 8.0  # lower bound of a term's odds ratio
 MIN_FUZZY = 6  # shorter terms match only as they are
 STEMS = (6, 5, 4)  # lengths of word beginnings that can be terms, written with a star
+REMEMBERED = 100_000  # words whose match a scorer remembers; then it starts anew
 WINDOW = 5  # words to either side
 
 # Words that mark reported speech or address.
@@ -163,11 +164,11 @@ class Scorer:
         strongest = 0.0
         text = text or ""
         words = words_of(text)
+        if len(self.hits) > REMEMBERED:
+            self.hits.clear()
         hits, found = self.hits, set()
         for word in set(words):
             if word not in hits:
-                if len(hits) > 500_000:
-                    hits.clear()
                 hits[word] = self._hit(word)
             if hits[word]:
                 found.add(word)
