@@ -240,20 +240,25 @@ class Graph:
         return q.astype(np.int64), node.astype(np.int64)
 
     def audited_beam(self, least: float, beam: int = BEAM) -> tuple[int, float]:
-        """Widen the beam until an audit finds ``RECALL`` of links and of five nearest."""
+        """Widen the beam until an audit finds ``RECALL`` of links.
+
+        Queries lie as far from some vectors of the shard as a link may be, in random directions:
+        the hardest links, and every shard has them.
+        """
         n = len(self.x)
-        rows = np.random.default_rng(2).permutation(n)[:AUDIT_ROWS]
-        scores = self.x[rows] @ self.x.T
-        kth = np.partition(scores, -min(6, n), axis=1)[:, -min(6, n)][:, None]
-        truth = (scores >= least) | (scores >= kth)
+        rng = np.random.default_rng(2)
+        own = self.x[rng.permutation(n)[:AUDIT_ROWS]]
+        aside = rng.standard_normal(own.shape).astype(own.dtype)
+        aside -= (aside * own).sum(1, keepdims=True) * own
+        aside /= np.maximum(np.sqrt((aside * aside).sum(1, keepdims=True)), 1e-12)
+        cosine = min(1.0, least + _SLACK)
+        queries = cosine * own + np.sqrt(1 - cosine * cosine) * aside
+        truth = queries @ self.x.T >= least
         while True:
             if beam * LINKS >= n:
                 return beam, 1.0
-            ids, _ = self.near(self.x[rows], beam)
-            q, node = self.links_of(self.x[rows], beam, least)
+            q, node = self.links_of(queries, beam, least)
             hit = np.zeros(truth.shape, bool)
-            own = np.repeat(np.arange(len(rows)), ids.shape[1]).reshape(ids.shape)
-            hit[own[ids >= 0], ids[ids >= 0]] = True
             hit[q, node] = True
             recall = (hit & truth).sum() / max(1, truth.sum())
             if recall >= RECALL:
