@@ -487,9 +487,14 @@ SELECT dateYM, occ, dateMedian, {six("dateMedianDiff", "dateMedianDiff")},
     sql["tag_counts_state"] = chain("target") + per_fish("state")
     sql["tag_counts_maintrib_species"] = chain("target") + per_fish("mainTrib", "species")
     sql["tag_counts_maintrib"] = chain("target") + per_fish("mainTrib")
-    sql["capture_count_freq"] = chain("target", ("pf", per_fish("Water"))) + (
-        "SELECT n, count(*) AS freq FROM pf GROUP BY n"
-    )
+    for name, by in {
+        "capture_count_freq": ["Water"],
+        "capture_count_freq_state": ["state"],
+        "capture_count_freq_maintrib": ["mainTrib", "species"],
+    }.items():
+        sql[name] = chain("target", ("pf", per_fish(*by))) + (
+            "SELECT n, count(*) AS freq FROM pf GROUP BY n"
+        )
     sql["xtab_water_river"] = chain("target") + xtab("target", "Water", "riverN")
     sql["xtab_water_n"] = xtab_n("Water")
     sql["xtab_state_n"] = xtab_n("state")
@@ -602,7 +607,10 @@ FROM long WHERE state > 0 GROUP BY state"""
 SELECT trajectory, count(*) AS n FROM (
   SELECT tag, coalesce(string_agg(CASE WHEN state > 0 THEN CAST(state AS VARCHAR) END, ''
     ORDER BY j), '') AS trajectory FROM long GROUP BY tag) GROUP BY trajectory"""
-    sql["first_last_freq"] = everything + """
+    for name, subset in {
+        "first_last_freq": "all", "first_last_freq_main": "main", "first_last_freq_trib": "trib"
+    }.items():
+        sql[name] = chain("target", *cells(subset)) + """
 SELECT CAST(first AS VARCHAR) || '_' || CAST(last AS VARCHAR) AS firstLast, count(*) AS n
 FROM fish GROUP BY first, last"""
     sql["history_counts"] = main + """

@@ -166,11 +166,16 @@ for _suffix, _by in PER_FISH.items():
     _register_per_fish(_suffix, _by)
 
 
-@query("capture_count_freq")
-def _(spark, sf):
-    per_fish = tables.captures_per_fish(_clean(spark, sf), "Water", sort=False)
-    out = per_fish.groupBy("n").agg(F.count(F.lit(1)).alias("freq"))
-    return out
+def _register_count_freq(name, by):
+    @query(name)
+    def _(spark, sf):
+        per_fish = tables.captures_per_fish(_clean(spark, sf), *by, sort=False)
+        return per_fish.groupBy("n").agg(F.count(F.lit(1)).alias("freq"))
+
+
+_register_count_freq("capture_count_freq", ["Water"])
+_register_count_freq("capture_count_freq_state", ["state"])
+_register_count_freq("capture_count_freq_maintrib", ["mainTrib", "species"])
 
 
 @query("xtab_water_river")
@@ -398,10 +403,16 @@ def _(spark, sf):
     return histories.state_trajectories(_caught(spark, sf, "all"))
 
 
-@query("first_last_freq")
-def _(spark, sf):
-    dense = histories.encounter_histories(_caught(spark, sf, "all"))
-    return histories.first_last_frequencies(dense)
+def _register_first_last(name, subset):
+    @query(name)
+    def _(spark, sf):
+        dense = histories.encounter_histories(_caught(spark, sf, subset))
+        return histories.first_last_frequencies(dense)
+
+
+_register_first_last("first_last_freq", "all")
+_register_first_last("first_last_freq_main", "main")
+_register_first_last("first_last_freq_trib", "trib")
 
 
 @query("history_counts")
