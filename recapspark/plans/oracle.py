@@ -201,12 +201,14 @@ MODELS = {
 
 
 def likelihood(
-    subset: str = "main", states: str = "sizeState", n: int = 3
+    subset: str = "main", states: str = "sizeState", n: int = 3, logit: bool = True
 ) -> tuple[tuple[str, str], ...]:
     """Forward recursion, one row per fish and month, for parameters by formula."""
     psi, delta, slope = MODELS[n]
     live_states, dead = range(1, n + 1), n + 1
-    p = {s: f"(1/(1+exp(-({slope}*{s} + 0.05*(t % 7)))))" for s in live_states}
+    p = {s: f"({slope}*{s} + 0.05*(t % 7))" for s in live_states}
+    if logit:
+        p = {s: f"(1/(1+exp(-{x})))" for s, x in p.items()}
     phi = {s: f"(0.55 + {slope}*{s} + 0.01*(t % 5))" for s in live_states}
     arrive = {
         s: " + ".join(f"a{r}*{phi[r]}*{psi[r - 1][s - 1]!r}" for r in live_states)
@@ -625,6 +627,7 @@ SELECT count(*) FILTER (incomplete) AS nIncomplete, count(*) AS nFish FROM fish"
         "hmm_loglik": ("main", "sizeState", 3),
         "hmm_loglik_trib": ("trib", "sizeState", 3),
         "hmm_loglik_alive_dead": ("main", "enc", 1),
+        "hmm_loglik_alive_dead_direct": ("main", "enc", 1, False),
         "hmm_loglik_six_states": ("all", "state", 6),
     }.items():
         sql[name] = chain("target", *likelihood(*model)) + scores

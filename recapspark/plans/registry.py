@@ -440,7 +440,9 @@ EXAMPLES = {
 }
 
 
-def example_params(n_occasions: int, n_states: int = 3) -> hmm.ModelParams:
+def example_params(
+    n_occasions: int, n_states: int = 3, p_link: str = "logit"
+) -> hmm.ModelParams:
     """Parameters by formula in state and time, as the SQL side states them."""
     psi, delta, slope = EXAMPLES[n_states]
     t = np.arange(1, n_occasions)[:, None]
@@ -450,12 +452,13 @@ def example_params(n_occasions: int, n_states: int = 3) -> hmm.ModelParams:
         psi=np.broadcast_to(psi, (n_occasions - 1, n_states, n_states)),
         beta_p=slope * s + 0.05 * (t % 7),
         delta=np.array(delta),
+        p_link=p_link,
     )
 
 
-def _loglik(spark, sf, subset, states, n_states) -> DataFrame:
+def _loglik(spark, sf, subset, states, n_states, p_link="logit") -> DataFrame:
     observed = _model_input(spark, sf, subset, states)
-    params = example_params(hmm.n_occasions(observed), n_states)
+    params = example_params(hmm.n_occasions(observed), n_states, p_link)
     scored = hmm.hmm_loglik(observed, params)
     return rounded(scored.select("tag", "first", "loglik"), "loglik")
 
@@ -475,6 +478,11 @@ def _(spark, sf):
     return _loglik(spark, sf, "main", "enc", 1)
 
 
+@query("hmm_loglik_alive_dead_direct")
+def _(spark, sf):
+    return _loglik(spark, sf, "main", "enc", 1, "identity")
+
+
 @query("hmm_loglik_six_states")
 def _(spark, sf):
     return _loglik(spark, sf, "all", "state", 6)
