@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recapspark.llm import bpe, hnsw, mixing, quality, secrets, sharding, simhash, suffixes, toxicity, warc
-
+from recapspark.llm.oracle import ORACLE_SQL  # noqa: F401
 
 #: Rows per Arrow batch: texts can be long, and a worker holds a batch of them at a time.
 BATCH_ROWS = 1000
@@ -139,4 +139,3 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
