@@ -32,27 +32,57 @@ def same_day_facts(captures: DataFrame) -> DataFrame:
     # The occasion follows from the date. As a key it adds no groups, and unlike a
     # measure it stays in both uses of the counts, which Spark therefore runs once.
     occ = F.col("occ") if "occ" in captures.columns else F.lit(None).cast("int")
-    days = captures.groupBy("tag", "date", occ.alias("occ")).agg(
-        F.count(F.lit(1)).alias("n")
+    return _facts(
+        captures.groupBy("tag", "date", occ.alias("occ")).agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+def with_double_dates(days: DataFrame) -> DataFrame:
+    """Add to counts ``n`` per fish and date whether any fish has a double on the date.
+
+    ``days`` is used twice. Whoever calls has to keep both uses one plan, see below.
+    """
     # An unknown date stays in here and is ruled out below: filtering it would give
     # this branch a scan of its own instead of the counts computed above.
+    # The same holds for the columns: "n > 0" is true, but Spark has to keep what comes with it.
+    every_column = (F.col("n") > 0) | (F.xxhash64(*days.columns) == 0)
     double_dates = (
-        days.filter("n > 1")
+        days.filter((F.col("n") > 1) & every_column)
         .select(F.col("date").alias("_date"), F.lit(True).alias("_double"))
         .distinct()
     )
-    days = days.join(
-        F.broadcast(double_dates), F.col("date").eqNullSafe(F.col("_date")), "left"
-    )
     on_double_date = F.col("_double").isNotNull() & F.col("date").isNotNull()
-    return days.groupBy("tag").agg(
+    return days.join(
+        F.broadcast(double_dates), F.col("date").eqNullSafe(F.col("_date")), "left"
+    ).select(*days.columns, on_double_date.alias("onDoubleDate"))
+
+
+def _facts(days: DataFrame) -> DataFrame:
+    return with_double_dates(days).groupBy("tag").agg(
         F.sum("n").alias("n"),
         F.min("occ").alias("firstObserved"),
         F.max("occ").alias("lastObserved"),
         F.bool_or(F.col("date").isNull()).alias("undated"),
-        (F.bool_or(F.col("n") > 1) & F.bool_or(on_double_date)).alias("sameDay"),
+        (F.bool_or(F.col("n") > 1) & F.bool_or("onDoubleDate")).alias("sameDay"),
+    )
+
+
+def kept_counts(captures: DataFrame, *by: str) -> DataFrame:
+    """Captures ``n`` per fish and columns ``by`` of all fish that :func:`remove_same_day` keeps.
+
+    The captures are read once, folded by fish, date and ``by``; what to remove and what to
+    count both start from there, and whole fish leave the counts instead of the rows. Captures
+    without the removed fish give the same counts.
+    """
+    columns = [c for c in by if c not in ("tag", "date")]
+    cells = captures.groupBy("tag", "date", *columns).agg(F.count(F.lit(1)).alias("n"))
+    days = cells.groupBy("tag", "date", F.lit(None).cast("int").alias("occ")).agg(
+        F.sum("n").alias("n")
     )
+    gone = _facts(days).filter("sameDay").select(F.col("tag").alias("_gone"))
+    per_fish = cells.groupBy("tag", *[c for c in by if c != "tag"]).agg(F.sum("n").alias("n"))
+    # null-safe: with = Spark would put "is not NULL" below one use of the cells only
+    return per_fish.join(gone, F.col("tag").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def gt_once_per_day_tags(captures: DataFrame) -> DataFrame:

@@ -6,20 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recapspark.functions import predicates, scalar
+from recapspark.operators.dedup import with_double_dates
+from recapspark.operators.storage import stored
 
-#: Undated captures of one fish are cut into runs of this many consecutive FishNum.
-UNDATED_SLICE_BITS = 20
 
-
-def growth_rows(captures: DataFrame, dated_only: bool = False) -> DataFrame:
+def growth_rows(captures: DataFrame, ranges: int | None = None) -> DataFrame:
     """Add the previous length and date of the fish, days between, and mm per day.
 
     Expects captures without same-day doubles: a fish then has at most one row per
     calendar day, which bounds the window group of the dated rows. Undated rows come
     after them in FishNum order. Their growth is unknown, only the previous length
-    and date are; as a fish may have any number of them, they are windowed in slices
-    of FishNum and the first row of a slice takes its values from the row before it.
-    ``dated_only`` leaves the undated rows out.
+    and date are. As a fish may have any number of them, they are sorted over the cluster
+    in ``ranges`` (as many as shuffle partitions if not given), and the first row of a fish in a
+    range takes its values from the last one before that range.
     """
     d = captures.withColumns(
         {
@@ -35,11 +34,11 @@ def growth_rows(captures: DataFrame, dated_only: bool = False) -> DataFrame:
             "dateLag": F.lag("date").over(by_date),
         }
     )
-    if dated_only:
-        return _with_growth(dated_rows)
-
-    slice_no = F.shiftright(F.coalesce(F.col("FishNum"), F.lit(0)), UNDATED_SLICE_BITS)
-    undated = d.filter(F.col("date").isNull()).withColumn("_slice", slice_no)
+    undated = d.filter(F.col("date").isNull())
+    order = ["tag", "FishNum", "Length", F.xxhash64(*d.columns)]
+    ordered = undated.repartitionByRange(*([ranges] if ranges else []), *order)
+    # stored, as the borders of the ranges come from a sample
+    undated = stored(ordered.withColumn("_slice", F.spark_partition_id().cast("long")), "undated")
     # The last row of every slice, and of the dated rows, per fish that has undated rows.
     lasts = (
         undated.groupBy("tag", "_slice")
@@ -91,6 +90,45 @@ def growth_rows(captures: DataFrame, dated_only: bool = False) -> DataFrame:
     return _with_growth(dated_rows.unionByName(undated_rows))
 
 
+def dated_growth(captures: DataFrame) -> DataFrame:
+    """Growth per dated capture of fish without same-day doubles, from captures of any fish.
+
+    ``(tag, date, year, month, mainTrib, sizeState, Length, LengthLag, dateLag, dateDiff, growth)``.
+    The captures are read once and folded by fish and date. A fish is then bounded by the calendar,
+    and one shuffle by fish serves its removal and its previous capture. A date of
+    a fish that stays has one capture, so any aggregate is that capture's value; numbers
+    keep the aggregation by hash.
+    """
+    days = captures.groupBy("tag", "date").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("Length").alias("Length"),
+        F.min("mainTribN").alias("mainTribN"),
+        F.min("sizeState").alias("sizeState"),
+    )
+    fish = Window.partitionBy("tag")
+    kept = (
+        with_double_dates(days)
+        .withColumn("_double", F.bool_or(F.col("n") > 1).over(fish))
+        .withColumn("_shared", F.bool_or("onDoubleDate").over(fish))
+        .filter(~(F.col("_double") & F.col("_shared")) & F.col("date").isNotNull())
+    )
+    by_date = fish.orderBy("date")
+    rows = kept.select(
+        "tag",
+        "date",
+        scalar.year_of(scalar.year_month(F.col("date"))).alias("year"),
+        scalar.month_of(scalar.year_month(F.col("date"))).alias("month"),
+        F.when(F.col("mainTribN") == 1, "main")
+        .when(F.col("mainTribN") == 2, "trib")
+        .alias("mainTrib"),
+        "sizeState",
+        "Length",
+        F.lag("Length").over(by_date).alias("LengthLag"),
+        F.lag("date").over(by_date).alias("dateLag"),
+    )
+    return _with_growth(rows)
+
+
 def _with_growth(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("dateDiff", F.datediff("date", "dateLag").cast("double"))
     gain = F.col("Length") - F.col("LengthLag")
@@ -104,7 +142,7 @@ def _summary(
     if sd:
         measures.append(F.stddev_samp("growth").alias("sd"))
     out = (
-        growth_rows(captures, dated_only=True)
+        dated_growth(captures)
         .filter(predicates.plausible_growth())
         .groupBy(*keys)
         .agg(*measures, F.count(F.lit(1)).alias("n"))
@@ -146,7 +184,7 @@ def growth_values(
 ) -> DataFrame:
     """How often each growth value occurs in one cell (missing values left out)."""
     return (
-        growth_rows(captures, dated_only=True)
+        dated_growth(captures)
         .filter(
             (F.col("year") == year)
             & (F.col("mainTrib") == main_trib)

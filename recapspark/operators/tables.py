@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recapspark.config import HISTOGRAM_BINS, MODEL_SPECIES
+from recapspark.operators.storage import stored
 
 
-def counts(df: DataFrame, *columns: str) -> DataFrame:
-    """Frequency of every combination of values; rows with a missing value are left out."""
-    return df.dropna(subset=list(columns)).groupBy(*columns).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+def _number(weight: str | None) -> Column:
+    return (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n")
+
+
+def counts(df: DataFrame, *columns: str, weight: str | None = None) -> DataFrame:
+    """Frequency of every combination of values; rows with a missing value are left out.
+
+    ``weight`` names a column that says how many rows each row stands for.
+    """
+    known = reduce(operator.and_, [F.col(c).isNotNull() for c in columns])
+    # Tied to the count, which is never below 1: Spark would move a filter of the columns alone
+    # below the counting, and a source that is used twice would no longer be one plan.
+    return df.groupBy(*columns).agg(_number(weight)).filter(known | (F.col("n") < 1))
 
 
 def n_unique_tags(captures: DataFrame) -> DataFrame:
@@ -24,14 +35,13 @@ def n_unique_tags(captures: DataFrame) -> DataFrame:
 
 def captures_per_fish(captures: DataFrame, *by: str, sort: bool = True) -> DataFrame:
     """Captures per fish and further columns (missing is a group), most first."""
-    out = (
-        captures.filter(F.col("tag") != "")
-        .groupBy("tag", *by)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    if not sort:
-        return out
-    return out.orderBy(F.desc("n"), *[F.asc_nulls_last(c) for c in ("tag", *by)])
+    out = captures.filter(F.col("tag") != "").groupBy("tag", *by).agg(_number(None))
+    return most_first(out, *by) if sort else out
+
+
+def most_first(per_fish: DataFrame, *by: str) -> DataFrame:
+    """Counts ``n`` per fish and columns ``by``, largest first."""
+    return per_fish.orderBy(F.desc("n"), *[F.asc_nulls_last(c) for c in ("tag", *by)])
 
 
 def contingency(df: DataFrame, rows: str, columns: str) -> DataFrame:
@@ -40,7 +50,7 @@ def contingency(df: DataFrame, rows: str, columns: str) -> DataFrame:
     ``columns`` should be the side with fewer levels: its levels, taken from the
     counts, form one array that is spread over the levels of ``rows``.
     """
-    cells = counts(df, rows, columns)
+    cells = stored(counts(df, rows, columns), "cells")  # small, and used three times
     levels = cells.agg(F.array_sort(F.collect_set(columns))).scalar()
     grid = cells.select(rows).distinct().select(rows, F.explode(levels).alias(columns))
     return grid.join(cells, [rows, columns], "left").fillna(0, ["n"])
@@ -67,9 +77,9 @@ def length_histogram(
     d = captures.filter(
         (F.col("species") == species) & F.col("Length").isNotNull()
     ).select(facet, "Length")
-    lowest = d.agg(F.min("Length")).scalar()
-    highest = d.agg(F.max("Length")).scalar()
-    d = d.withColumns({"_low": lowest, "_high": highest})
+    ends = F.struct(F.min("Length").alias("low"), F.max("Length").alias("high"))
+    d = d.withColumn("_ends", d.agg(ends).scalar())
+    d = d.withColumns({"_low": F.col("_ends.low"), "_high": F.col("_ends.high")})
     width = (F.col("_high") - F.col("_low")) / bins
     place = F.floor(F.try_divide(F.col("Length") - F.col("_low"), width))
     return (

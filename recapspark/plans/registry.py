@@ -66,6 +66,10 @@ def _tagged(spark, sf) -> DataFrame:
     return prepare.classify(prepare.remove_untagged(derived))
 
 
+def _kept(spark, sf, *by) -> DataFrame:
+    return dedup.kept_counts(_tagged(spark, sf), *by)
+
+
 def _caught(spark, sf, subset, **options) -> DataFrame:
     return flows.caught_months(*standin.capture_files(spark, sf), subset, **options)
 
@@ -130,22 +134,22 @@ def _(spark, sf):
 
 @query("counts_by_date")
 def _(spark, sf):
-    return tables.counts(_clean(spark, sf), "date")
+    return tables.counts(_kept(spark, sf, "date"), "date", weight="n")
 
 
 @query("counts_by_species")
 def _(spark, sf):
-    return tables.counts(_clean(spark, sf), "species")
+    return tables.counts(_kept(spark, sf, "species"), "species", weight="n")
 
 
 @query("counts_by_month")
 def _(spark, sf):
-    return tables.counts(_clean(spark, sf), "dateYM")
+    return tables.counts(_kept(spark, sf, "dateYM"), "dateYM", weight="n")
 
 
 @query("n_unique_tags")
 def _(spark, sf):
-    return tables.n_unique_tags(_clean(spark, sf))
+    return tables.n_unique_tags(_kept(spark, sf).filter("n > 0"))
 
 
 PER_FISH = {
@@ -159,7 +163,7 @@ PER_FISH = {
 def _register_per_fish(suffix, by):
     @query(f"tag_counts_{suffix}")
     def _(spark, sf):
-        return tables.captures_per_fish(_clean(spark, sf), *by)
+        return tables.most_first(_kept(spark, sf, *by), *by)
 
 
 for _suffix, _by in PER_FISH.items():
@@ -169,7 +173,7 @@ for _suffix, _by in PER_FISH.items():
 def _register_count_freq(name, by):
     @query(name)
     def _(spark, sf):
-        per_fish = tables.captures_per_fish(_clean(spark, sf), *by, sort=False)
+        per_fish = _kept(spark, sf, *by)
         return per_fish.groupBy("n").agg(F.count(F.lit(1)).alias("freq"))
 
 
@@ -184,7 +188,7 @@ def _(spark, sf):
 
 
 def _xtab_n(spark, sf, *by):
-    per_fish = tables.captures_per_fish(_clean(spark, sf), *by, sort=False)
+    per_fish = _kept(spark, sf, *by)
     return tables.contingency(
         per_fish.withColumnRenamed("n", "nCaptures"), "nCaptures", by[0]
     )
@@ -206,9 +210,7 @@ def _(spark, sf):
 
 
 def _per_fish_species(spark, sf):
-    return tables.captures_per_fish(
-        _clean(spark, sf), "mainTrib", "species", sort=False
-    ).drop("n")
+    return _kept(spark, sf, "mainTrib", "species").drop("n")
 
 
 @query("counts_by_species_fish")
@@ -251,33 +253,33 @@ def _(spark, sf):
 
 @query("growth_month")
 def _(spark, sf):
-    return rounded(growth.growth_by_month(_clean(spark, sf)), "mean")
+    return rounded(growth.growth_by_month(_tagged(spark, sf)), "mean")
 
 
 @query("growth_month_clipped")
 def _(spark, sf):
-    return rounded(growth.growth_by_month(_clean(spark, sf), (-0.3, 0.4)), "mean")
+    return rounded(growth.growth_by_month(_tagged(spark, sf), (-0.3, 0.4)), "mean")
 
 
 @query("growth_size")
 def _(spark, sf):
-    return rounded(growth.growth_by_size(_clean(spark, sf)), "mean", "sd")
+    return rounded(growth.growth_by_size(_tagged(spark, sf)), "mean", "sd")
 
 
 @query("growth_size_year")
 def _(spark, sf):
-    return rounded(growth.growth_by_size_year(_clean(spark, sf)), "mean", "sd")
+    return rounded(growth.growth_by_size_year(_tagged(spark, sf)), "mean", "sd")
 
 
 @query("growth_one_year")
 def _(spark, sf):
-    out = growth.growth_by_size_year(_clean(spark, sf), year=1999, more_than=20)
+    out = growth.growth_by_size_year(_tagged(spark, sf), year=1999, more_than=20)
     return rounded(out, "mean", "sd")
 
 
 @query("growth_drilldown")
 def _(spark, sf):
-    return growth.growth_values(_clean(spark, sf), 2000, "main", 2)
+    return growth.growth_values(_tagged(spark, sf), 2000, "main", 2)
 
 
 # --- encounter histories ---------------------------------------------------------

@@ -1,6 +1,6 @@
 """Capture-shaped view of the ``orders`` test table.
 
-A customer plays a fish, an order a capture. The same text runs on Spark and on
+A customer plays a fish, an order a capture; some orders are a fish caught once. The same text runs on Spark and on
 DuckDB, so both sides of a comparison start from equal rows.
 """
 
@@ -9,28 +9,35 @@ from pyspark.sql import functions as F
 
 CAPTURES_SQL = """
 SELECT
-  CAST(NULL AS double) AS Longitude, CAST(NULL AS double) AS Latitude,
+  CASE WHEN o_orderkey % 61 = 0 THEN NULL
+       ELSE CAST(o_orderkey % 1000 AS double) / 1024 - 75 END AS Longitude,
+  CASE WHEN o_orderkey % 61 = 0 THEN NULL
+       ELSE CAST(o_orderkey % 500 AS double) / 512 + 41 END AS Latitude,
   CASE WHEN o_orderkey % 997 = 0 THEN NULL
        ELSE substr(ds,9,2) || '-' || substr(ds,6,2) || '-' || substr(ds,1,4) END AS Date,
   CASE WHEN o_orderkey % 991 = 0 THEN NULL ELSE
     lpad(CAST(CAST(floor(sec/3600) AS int) AS string),2,'0') || ':' ||
     lpad(CAST(CAST(floor((sec%3600)/60) AS int) AS string),2,'0') || ':' ||
     lpad(CAST(CAST(sec%60 AS int) AS string),2,'0') END AS Time,
-  CAST(NULL AS double) AS SiteLen, CAST(NULL AS double) AS Discharge,
-  CAST(NULL AS double) AS WaterTemp, CAST(NULL AS string) AS GearType,
-  CAST(NULL AS double) AS TimeFish,
+  CAST(o_orderkey % 100 AS double) AS SiteLen,
+  CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(o_orderkey % 300 AS double) / 4 END AS Discharge,
+  CAST(o_orderkey % 80 AS double) / 4 AS WaterTemp,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'boat' ELSE 'wading' END AS GearType,
+  CAST(o_orderkey % 7 AS double) / 2 AS TimeFish,
   o_orderkey AS FishNum,
   CASE WHEN o_orderkey % 89 = 0 THEN 999 WHEN o_orderstatus = 'F' THEN 326
        WHEN o_orderstatus = 'O' THEN 328 ELSE 329 END AS SpeciesCd,
   CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE o_totalprice / 1000 END AS Length,
-  CAST(NULL AS double) AS Weight, CAST(NULL AS string) AS Wild,
-  CAST(NULL AS string) AS Stage,
-  CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE 'T' || CAST(o_custkey AS string) END AS MarkAppCd,
+  CASE WHEN o_orderkey % 67 = 0 THEN NULL ELSE CAST(o_orderkey % 5000 AS double) / 16 END AS Weight,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'no' ELSE 'yes' END AS Wild,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'adult' ELSE NULL END AS Stage,
+  CASE WHEN o_orderkey % 11 = 0 THEN NULL
+       WHEN o_orderkey % 7 = 0 THEN 'S' || CAST(o_orderkey AS string) ELSE 'T' || CAST(o_custkey AS string) END AS MarkAppCd,
   CASE WHEN o_orderkey % 77 = 0 THEN 'AD' WHEN o_orderkey % 121 = 0 THEN NULL
        ELSE 'T' || CAST(o_custkey AS string) END AS MarkPreCd,
   CASE WHEN o_orderkey % 59 = 0 THEN NULL WHEN o_orderpriority = '1-URGENT'
        THEN 'West Br Delaware River' ELSE o_orderpriority END AS Water,
-  CAST(NULL AS bigint) AS tblSL_SL_ID, CAST(NULL AS int) AS Rep,
+  CAST(o_orderkey % 64 AS bigint) AS tblSL_SL_ID, CAST(o_orderkey % 3 AS int) AS Rep,
   o_orderdate < TIMESTAMP '2000-01-01' AS early
 FROM (SELECT *, CAST(CAST(o_orderdate AS date) AS string) AS ds,
              (o_orderkey * 7919) % 86400 AS sec FROM {orders}) o

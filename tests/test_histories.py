@@ -2,7 +2,7 @@ import pytest
 from fixture import FISH, prepared, raw_captures
 from pyspark.sql import functions as F
 
-from recapspark.operators import dedup, growth, histories
+from recapspark.operators import dedup, growth, histories, tables
 from recapspark.operators.prepare import month_intervals
 from recapspark.plans import flows
 
@@ -198,19 +198,80 @@ def test_growth_on_fixture(spark):
 
 def test_growth_of_undated_captures(spark):
     rows = FISH + [("b2", None, 9, 410 + i, "T1", 328) for i in range(3)]
-    slice_bits, growth.UNDATED_SLICE_BITS = growth.UNDATED_SLICE_BITS, 0
-    try:
-        got = growth.growth_rows(prepared(spark, rows)).filter("tag = 'b2'")
-        got = [(r["Length"], r["LengthLag"], r["dateLag"] is not None, r["growth"])
-               for r in got.orderBy(F.asc_nulls_last("date"), "FishNum").collect()]
-    finally:
-        growth.UNDATED_SLICE_BITS = slice_bits
+    got = growth.growth_rows(prepared(spark, rows), ranges=4).filter("tag = 'b2'")
+    got = [(r["Length"], r["LengthLag"], r["dateLag"] is not None, r["growth"])
+           for r in got.orderBy(F.asc_nulls_last("date"), "FishNum").collect()]
     assert [g[:3] for g in got] == [
         (390, None, False), (400, 390, True), (410, 400, True), (411, 410, False),
         (412, 411, False)]
     assert got[2][3] is None
 
 
+def test_undated_captures_of_one_fish_spread_over_ranges(spark):
+    n = 20_000
+    d = prepared(spark, FISH).limit(1)
+    many = d.crossJoin(spark.range(n)).withColumns(
+        {
+            "tag": F.lit("big"),
+            "date": F.lit(None).cast("date"),
+            "dateYM": F.lit(None).cast("string"),
+            "FishNum": F.lit(None).cast(d.schema["FishNum"].dataType),
+            "Length": F.col("id").cast("double"),
+        }
+    )
+    got = growth.growth_rows(many, ranges=8)
+    wrong = got.filter(~F.col("LengthLag").eqNullSafe(F.when(F.col("id") > 0, F.col("Length") - 1)))
+    assert wrong.count() == 0 and got.count() == n
+    sizes = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert sizes < n / 2
+
+
+def test_folded_growth_and_counts_equal_those_of_the_remaining_rows(spark):
+    rows = FISH + [
+        ("u1", None, 9, 300, "T1", 328), ("u1", None, 9, 310, "T1", 328),  # no shared date
+        ("u1", "01-02-2019", 9, 290, "M", 328),
+        ("u2", None, 9, 300, "T1", 328), ("u2", None, 9, 310, "T1", 328),  # a shared date
+        ("u2", "03-02-2019", 9, 290, "M", 328),
+        ("x1", "03-02-2019", 9, 200, "M", 328), ("x1", "03-02-2019", 10, 201, None, 328),
+        ("n1", "05-02-2019", 9, None, None, 328), ("n1", "07-02-2019", 9, 250, None, 326),
+    ]
+    d = prepared(spark, rows)
+    left = dedup.remove_same_day(d)
+    names = ["tag", "date", "year", "month", "mainTrib", "sizeState", "Length", "LengthLag",
+             "dateLag", "growth"]
+
+    def listed(df):
+        return sorted(map(str, df.collect()))
+
+    want = growth.growth_rows(left).filter("date is not null").select(*names)
+    assert listed(growth.dated_growth(d).select(*names)) == listed(want)
+    assert listed(growth.dated_growth(left).select(*names)) == listed(want)
+    for by in ([], ["Water"], ["date"], ["mainTrib", "species"]):
+        counted = left.groupBy("tag", *by).agg(F.count(F.lit(1)).alias("n"))
+        assert listed(dedup.kept_counts(d, *by)) == listed(counted)
+
+
+@pytest.mark.parametrize(
+    "fold",
+    [
+        growth.growth_by_month,
+        lambda d: tables.most_first(dedup.kept_counts(d, "Water"), "Water"),
+        lambda d: tables.counts(dedup.kept_counts(d, "date"), "date", weight="n"),
+        lambda d: tables.n_unique_tags(dedup.kept_counts(d).filter("n > 0")),
+    ],
+)
+def test_folds_read_the_captures_once(spark, tmp_path, fold):
+    prepared(spark, FISH).write.parquet(str(tmp_path / "captures"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        d = fold(spark.read.parquet(str(tmp_path / "captures")))
+        plan = d._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert plan.count("FileScan") == 1
+
+
 def test_growth_on_the_same_day_is_missing_not_an_error(spark):
     rows = [("a1", "10-06-2020", 9, 200, "M", 328), ("a1", "10-06-2020", 10, 210, "M", 328)]
     got = growth.growth_rows(prepared(spark, rows)).orderBy("FishNum").collect()
