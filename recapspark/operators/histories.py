@@ -367,32 +367,23 @@ def history_long(histories: DataFrame) -> DataFrame:
     )
 
 
-def history_wide(
-    histories: DataFrame, value: str = "enc", months: Sequence | None = None
-) -> DataFrame:
+def history_wide(histories: DataFrame, value: str = "enc") -> DataFrame:
     """Wide form: one row per fish, columns ``date_<yyyy-MM>`` in month order.
 
-    The column names are data: unless ``months`` is given, they are read from the first
-    history, so ``histories`` should be stored or checkpointed by then. A given month that
-    the histories do not have is NULL.
+    The column names are data: all months of the first history (every history has the same),
+    so ``histories`` should be stored or checkpointed by then.
     """
-    if months is None:
-        row = histories.select("months").first()
-        months = [] if row is None else row["months"]
+    row = histories.select("months").first()
+    months = [] if row is None else row["months"]
     return histories.select(
         "tag",
         *[
-            F.get(f"y_{value}", _month_place(m)).alias(f"date_{m or 'NA'}") for m in months
+            F.get(f"y_{value}", F.lit(i)).alias(f"date_{m or 'NA'}")
+            for i, m in enumerate(months)
         ],
     )
 
 
-def _month_place(month: str | None) -> Column:
-    """Position of a month in the histories, from 0; -1 if they lack it."""
-    names = F.transform("months", lambda m: F.coalesce(m, F.lit("NA")))
-    return (F.array_position(names, month or "NA") - 1).cast("int")
-
-
 def pivot_captures(
     captures: DataFrame, value: str, months: Sequence[str], species: str = MODEL_SPECIES
 ) -> DataFrame:

@@ -1,10 +1,11 @@
 import pytest
+from conftest import SMALL
 from fixture import FISH, prepared, raw_captures
 from pyspark.sql import functions as F
 
 from recapspark.operators import dedup, growth, histories, tables
 from recapspark.operators.prepare import month_intervals
-from recapspark.plans import flows
+from recapspark.plans import flows, registry
 
 MAIN = (["mainTrib"], ["%in%"], [["main"]])
 TRIB = (["mainTrib"], ["%in%"], [["trib"]])
@@ -276,3 +277,19 @@ def test_growth_on_the_same_day_is_missing_not_an_error(spark):
     rows = [("a1", "10-06-2020", 9, 200, "M", 328), ("a1", "10-06-2020", 10, 210, "M", 328)]
     got = growth.growth_rows(prepared(spark, rows)).orderBy("FishNum").collect()
     assert [r["growth"] for r in got] == [None, None]
+
+
+def test_wide_query_holds_every_cell(spark):
+    wide = registry.QUERIES["eh_wide_main"](spark, SMALL)
+    cells = registry.QUERIES["eh_cells_main"](spark, SMALL).collect()
+    named = sorted({r["dateYM"] for r in cells if r["dateYM"]})
+    assert wide.columns == ["tag", *[f"date_{m}" for m in named], "date_NA"]
+    got = [
+        (r["tag"], c, r[c]) for r in wide.collect() for c in wide.columns[1:] if r[c]
+    ]
+    want = [
+        (r["tag"], f"date_{r['dateYM'] or 'NA'}", r["sizeState"])
+        for r in cells
+        if r["sizeState"] is not None
+    ]
+    assert want and sorted(got) == sorted(want)
