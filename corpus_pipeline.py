@@ -26,7 +26,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     nameless = F.col("id").isNull() & F.col("component").isNull()
     stay = (
         found.filter((F.col("id") == F.col("component")) | nameless)
-        .groupBy("id", F.when(nameless, F.col("hash")).alias("_own"))
+        .groupBy("id", F.when(nameless, F.col("hash")).otherwise(F.col("root")).alias("_own"))
         .agg(F.min("hash").alias("_keep"))
         .select(F.col("id").alias("_id"), "_keep")
     )

@@ -155,10 +155,11 @@ def near_duplicates(
     blocks: int = 5,
     crowded: int = 4096,
 ) -> DataFrame:
-    """``(id, hash, fp, component)`` per row: the smallest id that close fingerprints lead to.
+    """``(id, hash, fp, component, root)`` per row: the smallest id that close fingerprints lead to.
 
     Equal fingerprints are one node of the graph, however many rows share them. A component
-    whose ids are all NULL has component NULL. No rows in, no rows out.
+    whose ids are all NULL has component NULL. ``root``, its smallest fingerprint, tells
+    components of the same smallest id apart. No rows in, no rows out.
     """
     rows = stored(with_fingerprint(docs, id_col, text_col), "fingerprints")
     first = stored(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
@@ -168,5 +169,5 @@ def near_duplicates(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = stored(rooted.join(named, "root").select("fp", "component"), "components")
-    return rows.join(named, "fp").select("id", "hash", "fp", "component")
+    named = stored(rooted.join(named, "root").select("fp", "component", "root"), "components")
+    return rows.join(named, "fp").select("id", "hash", "fp", "component", "root")

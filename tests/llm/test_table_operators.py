@@ -265,6 +265,14 @@ def test_pipeline_on_odd_rows(spark):
         assert empty.count() == 0, name
 
 
+def test_near_copies_under_a_repeated_smallest_id(spark):
+    one, two, three = (" ".join(f"{c}{i * i}" for i in range(60)) for c in "abc")
+    rows = [(1, one), (7, one), (1, two), (9, two), (20, three), (1, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s1", len(t)) for i, t in rows], plain.DOCS)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SMALL).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, one), (1, two), (20, three)]
+
+
 @pytest.mark.parametrize("name", ["op4_warc", "op6_sharding", "op7_hnsw", "op8_mixing", "pipeline"])
 def test_queries_on_empty_tables(spark, tmp_path, name):
     for t in ("documents", "labels", "pages", "embeddings"):
