@@ -8,7 +8,8 @@ fills the rest with different documents:
 
 * documents are counted by exact length, per source;
 * of every length a common fraction is taken, which leaves a small remaining budget;
-* bounded-knapsack dynamic programming over the lengths not yet taken fits that budget;
+* bounded-knapsack dynamic programming over the lengths not yet taken comes nearest that
+  budget, from below or above;
 * of each length as many documents as decided are picked, by a seeded hash of the id.
 
 NULL texts have size 0 and so have texts without words; they are taken as often as the
@@ -90,13 +91,17 @@ def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFr
     return weighed.select("source", "source_size", target.alias("target"))
 
 
-def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, fine: int = BUDGET) -> np.ndarray:
-    """How many documents of each length to take so that their words come nearest ``budget``.
+def fit_lengths(
+    lengths: np.ndarray, counts: np.ndarray, budget: int, fine: int = BUDGET, above: bool = False
+) -> np.ndarray:
+    """How many documents of each length to take so that their words come near ``budget``.
 
     ``counts`` bounds the take. A common fraction of every count comes first and leaves at
     least ``fine`` words if there are as many; longest first, single documents are added
-    down to ``fine``; a bounded knapsack over sums up to the remaining budget (each length's
-    multiplicity split into powers of two) fits the rest as well as sums from below can.
+    down to ``fine``; a bounded knapsack (each length's multiplicity split into powers of
+    two) fits the rest as well as sums from below can. With ``above``, if no sum from below is
+    exact, sums up to twice the rest are searched too and the nearest on either side is taken;
+    of two as near, the lower.
     """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     take = np.zeros(len(lengths), np.int64)
@@ -117,18 +122,15 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, fine: int
         if real[i] and n > 0:
             take[i] += n
             left -= n * int(lengths[i])
-    reach, steps = 1, []
-    mask = (1 << (left + 1)) - 1
-    for i in np.argsort(-lengths, kind="stable"):
-        free = min(int(counts[i] - take[i]), left // max(1, int(lengths[i])))
-        n = 1
-        while real[i] and free > 0 and not reach >> left & 1:
-            n = min(n, free)
-            steps.append((i, n, reach))
-            reach |= (reach << (n * int(lengths[i]))) & mask
-            free -= n
-            n *= 2
+    reach, steps = _sums(lengths, counts - take, left, left)
     at = reach.bit_length() - 1
+    if above and at < left:
+        # nothing taken is ``left`` away, so no sum beyond twice that is nearer
+        wide, wide_steps = _sums(lengths, counts - take, left, 2 * left)
+        over = wide >> (left + 1)
+        nearest = left + (over & -over).bit_length()
+        if over and nearest - left < left - at:
+            at, steps = nearest, wide_steps
     for i, n, earlier in reversed(steps):
         if not earlier >> at & 1:
             take[i] += n
@@ -136,6 +138,25 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, fine: int
     return take
 
 
+def _sums(lengths: np.ndarray, free: np.ndarray, goal: int, most: int):
+    """Bits of the sums up to ``most`` that free documents reach, and the steps to them.
+
+    Each step is ``(length's place, documents, bits before it)``; it ends when ``goal`` is reached.
+    """
+    reach, steps = 1, []
+    mask = (1 << (most + 1)) - 1
+    for i in np.argsort(-lengths, kind="stable"):
+        rest = min(int(free[i]), most // max(1, int(lengths[i])))
+        n = 1
+        while lengths[i] > 0 and rest > 0 and not reach >> goal & 1:
+            n = min(n, rest)
+            steps.append((i, n, reach))
+            reach |= (reach << (n * int(lengths[i]))) & mask
+            rest -= n
+            n *= 2
+    return reach, steps
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -166,7 +187,7 @@ def mix(
         if times >= most:
             times, rest = int(most), 0
         frame["times"] = times
-        frame["more"] = fit_lengths(frame["size"].to_numpy(), frame["n"].to_numpy(), rest)
+        frame["more"] = fit_lengths(frame["size"].to_numpy(), frame["n"].to_numpy(), rest, above=True)
         return frame
 
     plan = (

@@ -129,6 +129,33 @@ def test_fit_lengths():
     assert (take <= counts).all() and (take >= 0).all() and int((lengths * take).sum()) == budget
 
 
+def test_fit_lengths_nearest():
+    def fit(lengths, counts, budget):
+        take = mixing.fit_lengths(lengths, counts, budget, above=True)
+        assert (take <= counts).all() and (take >= 0).all()
+        return int((lengths * take).sum())
+
+    assert fit(np.array([1000]), np.array([3]), 2900) == 3000
+    assert fit(np.array([1000]), np.array([3]), 2400) == 2000
+    assert fit(np.array([100_000]), np.array([3]), 290_000) == 300_000
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        lengths = np.unique(rng.integers(0, 60, 4))
+        counts = rng.integers(0, 4, len(lengths))
+        budget = int(rng.integers(0, int((lengths * counts).sum()) + 5))
+        sums = {0}
+        for n, c in zip(lengths, counts):
+            sums = {s + k * int(n) for s in sums for k in range(c + 1)}
+        assert abs(fit(lengths, counts, budget) - budget) == min(abs(s - budget) for s in sums)
+
+
+def test_mix_reaches_past_the_target(spark):
+    rows = [(i, "w " * 1000, "en", "s", 2000) for i in range(3)]
+    docs = spark.createDataFrame(rows, plain.DOCS)
+    got = mixing.mix(docs, share=2.9 / 3).collect()
+    assert sum(r["_times"] for r in got) == 3
+
+
 def _plain_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
