@@ -6,8 +6,9 @@ Everything is DataFrame expressions. ``spans`` of a text lists what was found as
 * ``assign``, ``access`` and ``hex`` are matches of the patterns in ``BASE`` (whole match),
   leftmost and non-overlapping per kind; a match whose value is too short is dropped and what
   it covers is not searched again for that kind;
-* ``markov`` are runs of ``CANDIDATE`` that no base span touches and that a Markov model of random
-  strings explains better than one of ordinary identifiers.
+* ``markov`` are runs of ``CANDIDATE``, cut at base spans, that a Markov model of random strings
+  explains better than one of ordinary identifiers; of other runs, the stretches between ``/``,
+  ``_``, ``=`` and ``-`` of at least ``LEAST`` characters that do.
 
 Both Markov models are first-order over character classes, trained on labelled samples
 (a string and whether it is random). The score of a string is the mean log-likelihood ratio
@@ -38,14 +39,18 @@ BASE = {
 # The same matches as above where a shorter one can only be dropped: maximal runs.
 _LONG = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 #: Runs that the Markov models look at: long enough to be told apart.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+LEAST = 20
+CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}+"
 #: Documents (by hash of id) that ordinary words are learnt from, and generated random strings.
 MAX_SAMPLE_DOCS = 500
 RANDOM_SAMPLES = 3_000
 #: Least mean log-likelihood ratio per transition.
 THRESHOLD = 0.5
+#: A stretch ends before a part that lowers its sum over the threshold by more than this.
+DROP = 5.0
 
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+_CUT = _SYMBOLS.index("/")  # this and the symbols after it part the words of a run
 _START = len(_SYMBOLS)  # row of the first character
 _STATES = len(_SYMBOLS) + 1
 
@@ -175,6 +180,71 @@ def log_ratio(string: Column, table: list[float]) -> Column:
     )
 
 
+def stretches(run: Column, table: list[float]) -> Column:
+    """``(start, end)`` of the random parts of a run: the whole, or stretches between cuts.
+
+    One pass over the characters sums the log-likelihood ratio above the threshold. At a cut
+    the stretch so far may end; it starts anew where the sum is not above zero, and where it
+    fell by more than ``DROP`` from its best end.
+    """
+    ratios = F.from_json(F.lit(json.dumps(table)), "array<double>")
+    characters = F.filter(F.split(run, ""), lambda c: c != "")
+    codes = F.concat(F.transform(characters, _code), F.array(F.lit(-1)))  # -1: end of the run
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    begin = F.struct(
+        F.lit(0).alias("at"),
+        F.lit(_START).alias("a"),
+        F.lit(0).alias("start"),
+        F.lit(0.0).alias("sum"),
+        F.lit(0.0).alias("best"),
+        F.lit(0).alias("end"),
+        none.alias("out"),
+    )
+
+    def add(acc, c):
+        cut = (c < 0) | (c >= _CUT)
+        better = cut & (acc["at"] - acc["start"] >= LEAST) & (acc["sum"] >= acc["best"])
+        best = F.when(better, acc["sum"]).otherwise(acc["best"])
+        end = F.when(better, acc["at"]).otherwise(acc["end"])
+        fell = (end > 0) & (best - acc["sum"] > DROP)
+        close = cut & ((c < 0) | (acc["sum"] <= 0) | fell)
+        span = F.struct(acc["start"].alias("start"), end.alias("end"))
+        out = F.when(close & (end > 0), F.concat(acc["out"], F.array(span)))
+        gain = F.get(ratios, (acc["a"] * _STATES + c).cast("int")) - THRESHOLD
+        return F.struct(
+            (acc["at"] + 1).alias("at"),
+            F.when(close, F.lit(_START)).otherwise(c).alias("a"),
+            F.when(close, acc["at"] + 1).otherwise(acc["start"]).alias("start"),
+            F.when(close, F.lit(0.0)).otherwise(acc["sum"] + gain).alias("sum"),
+            F.when(close, F.lit(0.0)).otherwise(best).alias("best"),
+            F.when(close, F.lit(0)).otherwise(end).alias("end"),
+            out.otherwise(acc["out"]).alias("out"),
+        )
+
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(run).alias("end")))
+    parts = F.aggregate(codes, begin, add, lambda acc: acc["out"])
+    return F.when(log_ratio(run, table) >= THRESHOLD, whole).otherwise(parts)
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the characters of spans (sorted by start)."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(acc, s):
+        at = F.greatest(acc["at"], s["start"])
+        gap = F.substr(text, acc["at"] + 1, at - acc["at"])
+        blanks = F.repeat(F.lit(" "), F.greatest(s["end"] - at, F.lit(0)))
+        return F.struct(
+            F.greatest(at, s["end"]).cast("int").alias("at"),
+            F.concat(acc["out"], gap, blanks).alias("out"),
+        )
+
+    done = F.aggregate(
+        spans, begin, add, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1))
+    )
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
 def _placed(kind: str, found: str, gaps: str, keep) -> Column:
     """Spans of the matches in column ``found``, given the texts between them."""
     begin = F.struct(
@@ -213,27 +283,42 @@ def scan(docs: DataFrame, table: list[float], text_col: str = "text") -> DataFra
     matches, and the lengths of the pieces give the places.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    patterns = {k: _LONG.get(k, BASE[k][0]) for k in BASE} | {"markov": CANDIDATE}
-    rows = docs.select(
+    rows = _matched(docs, text, {k: _LONG.get(k, BASE[k][0]) for k in BASE})
+    base = F.concat(*[_placed(k, f"_m_{k}", f"_g_{k}", _value_length(k)) for k in BASE])
+    rows = rows.select(*docs.columns, F.array_sort(base).alias("_base"))
+    rows = rows.withColumn("_rest", _blanked(text, F.col("_base")))
+    rows = _matched(rows, F.col("_rest"), {"markov": CANDIDATE})
+    runs = _placed("markov", "_m_markov", "_g_markov", lambda m: F.lit(True))
+    parts = F.transform("_m_markov", lambda m: stretches(m, table))
+
+    def moved(run, found):
+        return F.transform(
+            found,
+            lambda s: F.struct(
+                (run["start"] + s["start"]).cast("int").alias("start"),
+                run["kind"].alias("kind"),
+                (run["start"] + s["end"]).cast("int").alias("end"),
+            ),
+        )
+
+    random = F.flatten(F.zip_with(runs, parts, moved))
+    return rows.select(*docs.columns, F.array_sort(F.concat("_base", random)).alias("_spans"))
+
+
+def _matched(rows: DataFrame, text: Column, patterns: dict[str, str]) -> DataFrame:
+    """All columns and, per kind, the matches in the text and the texts between them."""
+    found = rows.select(
         "*",
         *[F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"_m_{k}") for k, p in patterns.items()],
     )
     none = F.array().cast("array<string>")
-    rows = rows.select(
+    return found.select(
         "*",
         *[
             F.when(F.size(f"_m_{k}") > 0, F.split(text, p, -1)).otherwise(none).alias(f"_g_{k}")
             for k, p in patterns.items()
         ],
     )
-    base = F.concat(*[_placed(k, f"_m_{k}", f"_g_{k}", _value_length(k)) for k in BASE])
-    random = _placed("markov", "_m_markov", "_g_markov", lambda m: log_ratio(m, table) >= THRESHOLD)
-    rows = rows.select(*docs.columns, base.alias("_base"), random.alias("_random"))
-    apart = F.filter(
-        "_random",
-        lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])),
-    )
-    return rows.select(*docs.columns, F.array_sort(F.concat("_base", apart)).alias("_spans"))
 
 
 def listed(spans: Column) -> Column:

@@ -109,6 +109,33 @@ def test_markov_models_tell_random_from_ordinary(spark):
     assert rate[1] > 0.95 and rate[0] < 0.01
 
 
+def test_secrets_within_longer_runs(spark):
+    docs = plain.table(spark, "documents", "/root/testdata/sf0.01")
+    random.seed(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    one, two = ("".join(random.choices(letters, k=40)) for _ in range(2))
+    path = "home/people/documents/letters/summer/holiday/pictures/mountain/valley/river"
+    far = "/".join([path] * 3)
+    texts = [
+        f"see 0123456789abcdef0/{one} here",
+        f"see {path}/{one}/{path} here",
+        f"see {far}/{one}/{far}/{two}/{far} here",
+        f"see the_long_name_of_some_ordinary_parameter_value_in_another_place={one} here",
+        f"see {one}/{path}-0123456789abcdef0-{two}",
+        f"see {path} here",
+    ]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    scanned = secrets.scan(spark.createDataFrame(rows, plain.DOCS), secrets.fit(docs))
+    clean = scanned.select(
+        "doc_id", secrets.redact(F.col("text"), F.col("_spans")).alias("c")
+    )
+    got = {r["doc_id"]: r["c"] for r in clean.collect()}
+    assert not any(s in c for c in got.values() for s in (one, two))
+    assert got[1] == f"see {path}/<secret>/{path} here"
+    assert got[2] == f"see {far}/<secret>/{far}/<secret>/{far} here"
+    assert got[5] == texts[5]
+
+
 def test_quality_counts(spark, docs):
     labels = spark.createDataFrame([], "id long, good boolean")
     got = sorted(
