@@ -27,7 +27,7 @@ MAX_TERMS = 2_000
 MAX_COMMON = 50_000
 THRESHOLD = 0.7
 MIN_ODDS = 8.0  # lower bound of a term's odds ratio
-MIN_FUZZY = 6  # shorter terms match only as they are
+MIN_FUZZY = 4  # shorter terms match only as they are
 STEMS = (6, 5, 4)  # lengths of word beginnings that can be terms, written with a star
 REMEMBERED = 100_000  # words whose match a scorer remembers; then it starts anew
 WINDOW = 5  # words to either side

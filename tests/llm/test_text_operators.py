@@ -136,6 +136,14 @@ def test_secrets_within_longer_runs(spark):
     assert got[5] == texts[5]
 
 
+def test_short_terms_match_with_an_edit():
+    model = toxicity.Model({"idiot": 1.0, "trash": 1.0, "scum": 1.0, "moron": 0.5}, frozenset(["crash"]))
+    scorer = toxicity.Scorer(model)
+    for word, term in [("id1ot", "idiot"), ("tr4sh", "trash"), ("scumm", "scum"), ("morron", "moron")]:
+        assert scorer._hit(word) == (term, 1)
+    assert scorer._hit("crash") is None and scorer._hit("idiot") == ("idiot", 0)
+
+
 def test_quality_counts(spark, docs):
     labels = spark.createDataFrame([], "id long, good boolean")
     got = sorted(
