@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recapspark.llm import bpe, hnsw, mixing, quality, secrets, sharding, simhash, suffixes, toxicity, warc
+from recapspark.llm import (
+    bpe,
+    decontaminate,
+    hnsw,
+    merkle,
+    mixing,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    suffixes,
+    toxicity,
+    warc,
+    whitening,
+)
 from recapspark.llm.oracle import ORACLE_SQL  # noqa: F401
 
 #: Rows per Arrow batch: texts can be long, and a worker holds a batch of them at a time.
@@ -127,6 +141,30 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    n_hit = F.size("hits").cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.documents_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
@@ -138,4 +176,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_decontamination": op11_decontamination,
+    "op12_whitening": op12_whitening,
+    "op13_manifest": op13_manifest,
 }
