@@ -84,12 +84,12 @@ class Appender:
         return root
 
 
-def height_of(nodes: int, alone: bool, arity: int = ARITY, levels: int = LEVELS) -> int:
+def height_of(nodes: int, alone: bool) -> int:
     """Levels above the nodes of a block: all of them if it has blocks beside it."""
     height = 0
-    while arity**height < nodes:
+    while ARITY**height < nodes:
         height += 1
-    return height if alone else levels
+    return height if alone else LEVELS
 
 
 def grow(nodes: list[str], alone: bool) -> tuple[str, list[list]]:
