@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from recapspark.config import MAIN_RIVER, SIZE_CUTOFFS, SPECIES_CODES
 
 
-# day, month number or name, year with four or two digits; any or no separator
+# day, month number or name, year with four or two digits; any or no separator, but at most
+# one dash between two of them: a second one is the sign of what follows
+_GAP = r"[\s./,]*-?[\s./,]*"
 _DAY_TEXT = (
-    r"^\s*(\d{1,2})[\s./,-]*(\d{1,2}|[A-Za-z]{3,9})[\s./,-]*(\d{4}|\d{2})\s*$|^.*$"
+    rf"^\s*(\d{{1,2}}){_GAP}(\d{{1,2}}|[A-Za-z]{{3,9}}){_GAP}(\d{{4}}|\d{{2}})\s*$|^.*$"
 )
 
 _USUAL_DAY = r"^ *\d{1,2}-\d{1,2}-\d{4} *$"

@@ -367,20 +367,44 @@ def history_long(histories: DataFrame) -> DataFrame:
     )
 
 
-def history_wide(histories: DataFrame, value: str = "enc") -> DataFrame:
+def history_wide(
+    histories: DataFrame, value: str = "enc", months: Sequence[str | None] | None = None
+) -> DataFrame:
     """Wide form: one row per fish, columns ``date_<yyyy-MM>`` in month order.
 
-    The column names are data: all months of the first history (every history has the same),
-    so ``histories`` should be stored or checkpointed by then.
+    ``months`` declares the columns, None standing for undated captures (``date_NA``); no
+    job is needed to learn them. A declared month that nobody was caught in shows the fill value.
+    A captured cell outside of them stops the query with an error that names the fish and the month.
+
+    Without ``months`` the columns are data: all months of the first history (every history
+    has the same), so ``histories`` should be stored by then.
     """
-    row = histories.select("months").first()
-    months = [] if row is None else row["months"]
+    if months is None:
+        row = histories.select("months").first()
+        months = [] if row is None else row["months"]
+        return histories.select(
+            "tag",
+            *[
+                F.get(f"y_{value}", F.lit(i)).alias(f"date_{m or 'NA'}")
+                for i, m in enumerate(months)
+            ],
+        )
+    own = F.transform("months", lambda m: F.coalesce(m, F.lit(UNDATED)))
+    declared = F.array(*[F.lit(m or UNDATED) for m in months]).cast("array<string>")
+    fill = F.lit(CELL_FILL.get(value))
+    caught = F.filter(F.arrays_zip(own.alias("m"), F.col("y_enc").alias("e")), lambda c: c["e"] > 0)
+    outside = F.filter(F.transform(caught, lambda c: c["m"]), lambda m: ~F.array_contains(declared, m))
+    message = F.concat_ws(" ", F.lit("captured outside the declared months:"), "tag", F.get(outside, F.lit(0)))
+    def shown(month):
+        place = F.array_position(own, month).cast("int")
+        return F.when(place > 0, F.get(f"y_{value}", place - 1)).otherwise(fill)
+
     return histories.select(
+        F.when(F.size(outside) > 0, F.raise_error(message)).otherwise(F.col("tag")).alias("tag"),
+        F.transform(declared, shown).alias("_shown"),
+    ).select(
         "tag",
-        *[
-            F.get(f"y_{value}", F.lit(i)).alias(f"date_{m or 'NA'}")
-            for i, m in enumerate(months)
-        ],
+        *[F.get("_shown", F.lit(i)).alias(f"date_{m or 'NA'}") for i, m in enumerate(months)],
     )
 
 

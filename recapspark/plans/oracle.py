@@ -355,7 +355,7 @@ FROM {source} GROUP BY {by}"""
 
 
 #: Columns of the wide table: all calendar months of the orders.
-MONTHS = [f"{year}-{month:02}" for year in range(1992, 1999) for month in range(1, 13)]
+MONTHS = [f"{year}-{month:02}" for year in range(1995, 2002) for month in range(1, 13)][:80]
 
 
 def labelled() -> tuple[tuple[str, str], ...]:
@@ -573,10 +573,12 @@ WHERE rn = 1"""
     sql["eh_cells_main"] = main + f"""
 SELECT tag, j, dateYM, enc, Water, state, sizeState,
   {six("dateMedianDiffMonth", "dateMedianDiffMonth")} FROM long WHERE enc = 1"""
-    sql["eh_wide_main"] = main + """
-, wide AS (SELECT tag, 'date_' || coalesce(dateYM, 'NA') AS column_name, sizeState FROM long)
-SELECT * FROM (PIVOT wide ON column_name IN (""" + ", ".join(f"'date_{m}'" for m in MONTHS) + """)
-  USING first(sizeState) GROUP BY tag)"""
+    columns = ", ".join(
+        f"CASE WHEN count(*) FILTER ({cell}) > 0 THEN max(sizeState) FILTER ({cell}) ELSE 0 END"
+        f' AS "date_{month}"'
+        for month, cell in [(m, f"dateYM = '{m}'") for m in MONTHS] + [("NA", "dateYM IS NULL")]
+    )
+    sql["eh_wide_main"] = main + f"SELECT tag, {columns} FROM long GROUP BY tag"
     sql["eh_head"] = main + """
 SELECT tag, first, string_agg(CAST(enc AS VARCHAR), ',' ORDER BY j) AS eh
 FROM long JOIN fish USING (tag) GROUP BY tag, first ORDER BY first, tag LIMIT 8"""

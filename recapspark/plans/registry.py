@@ -28,6 +28,8 @@ CLEAN_OUT = [
     "dateMedianDiff", "dateMedianDiffMonth",
 ]
 DELTA = (0.5, 0.3, 0.2)
+#: Columns of the wide table: the months of the orders, and captures without a date.
+WIDE_MONTHS = [f"{y}-{m:02}" for y in range(1995, 2002) for m in range(1, 13)][:80] + [None]
 
 
 def query(name: str):
@@ -347,7 +349,7 @@ def _(spark, sf):
 @query("eh_wide_main")
 def _(spark, sf):
     dense = histories.encounter_histories(_caught(spark, sf, "main"))
-    return histories.history_wide(stored(dense), "sizeState")
+    return histories.history_wide(stored(dense), "sizeState", WIDE_MONTHS)
 
 
 @query("eh_head")
