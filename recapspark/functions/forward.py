@@ -91,48 +91,6 @@ def expected_counts(first, y, weight, gamma, p, delta):
     return moves, seen, missed, float(np.dot(weight, log_lik))
 
 
-def sample_counts(first, y, weight, gamma, p, delta, rng):
-    """Transitions, detections and misses of one draw of all latent state paths.
-
-    ``weight`` fish share a history. Their paths are drawn together, backwards from the
-    last column: the fish in a state split over the states they can have come from by
-    a multinomial draw, so a history costs the same for one fish or a billion.
-    """
-    n, width = y.shape
-    s = len(delta)
-    _, filtered = forward(first, y, gamma, p, delta, keep=True)
-    moves = np.zeros((width - 1, s, s + 1), dtype=np.int64)
-    seen = np.zeros((width - 1, s), dtype=np.int64)
-    missed = np.zeros((width - 1, s), dtype=np.int64)
-
-    def split(count, chance):
-        total = chance.sum(axis=1, keepdims=True)
-        even = np.full_like(chance, 1.0 / chance.shape[1])
-        share = np.divide(chance, total, out=even, where=total > 0)
-        share /= share.sum(axis=1, keepdims=True)
-        return rng.multinomial(count, share)
-
-    at = split(weight, filtered[width - 1])
-    for t in range(width - 2, -1, -1):
-        k = int(np.searchsorted(first, t + 1, side="right"))
-        if k == 0:
-            break
-        was_missed = y[:k, t + 1] == 1
-        missed[t] = at[:k][was_missed, :s].sum(axis=0)
-        seen[t] = at[:k][~was_missed, :s].sum(axis=0)
-        came = np.zeros((k, s + 1), dtype=np.int64)
-        for to in range(s + 1):
-            some = np.flatnonzero(at[:k, to])
-            if len(some) == 0:
-                continue
-            chance = filtered[t, some] * gamma[t][:, to]
-            drawn = split(at[some, to], chance)
-            came[some] += drawn
-            moves[t, :, to] = drawn[:, :s].sum(axis=0)
-        at[:k] = came
-    return moves, seen, missed
-
-
 def by_first(first, *arrays):
     """Sort by first capture; returns the order with the sorted arrays."""
     order = np.argsort(first, kind="stable")

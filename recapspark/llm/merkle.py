@@ -246,8 +246,10 @@ def manifest(rows: DataFrame, source: Column, key: Column, leaf_of: Column, seen
     """
     # a text that tells NULL from every name and sorts before all of them
     tree = F.coalesce(F.concat(F.lit("="), source), F.lit("-"))
-    leaves = rows.select(
-        tree.alias("tree"), key.alias("key"), leaf_of.alias("node"), seen.alias("seen")
+    # stored first: sorting by range reads its input twice
+    leaves = stored(
+        rows.select(tree.alias("tree"), key.alias("key"), leaf_of.alias("node"), seen.alias("seen")),
+        "leaves",
     )
     kind = leaves.schema["key"].dataType.simpleString()
     tiers, subroots = _tiers(numbered(leaves, ["tree"], ["key", "node"]), ["key", "seen"])

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from recapspark.config import DIRICHLET_OTHER, DIRICHLET_SAME
 from recapspark.functions import forward as fwd
+from recapspark.functions import scalar
 from recapspark.operators.histories import collapse_histories
 from recapspark.operators.storage import stored
 from recapspark.sources.schema import DRAWS, PARAMS
@@ -196,19 +197,89 @@ def hmm_expected_counts(collapsed: DataFrame, params: ModelParams) -> DataFrame:
     )
 
 
-def _read_counts(rows, steps: int, n_states: int):
-    """Summed counts as arrays; the rows are one per parameter, never per fish."""
-    moves = np.zeros((steps, n_states, n_states + 1))
-    seen, missed, loglik = np.zeros((steps, n_states)), np.zeros((steps, n_states)), 0.0
+#: Bounds of detection whose parameter lies in (0, 1), by link.
+DETECTION = {"logit": (0.5, 1 / (1 + math.exp(-1))), "identity": (0.0, 1.0)}
+
+
+def maximise(counts: DataFrame, params: ModelParams, alpha: np.ndarray | None = None) -> DataFrame:
+    """The parameters that fit expected counts best, and the log posterior of those before.
+
+    Everything has a closed form: survival is the share of fish at risk that stayed alive,
+    detection the share that was seen (within what its parameter can reach), changes of state
+    are the moves with the Dirichlet weights ``alpha`` added. A parameter without any fish
+    stays as it was. ``counts`` comes from :func:`hmm_expected_counts`; it is folded to one row per
+    time and state and unfolded into the rows of the parameters, so a step is one job.
+
+    Returns rows like ``ModelParams.rows`` and one of ``logPosterior`` (at time 0).
+    """
+    s = len(params.delta)
+    alpha = alpha_matrix(s) if alpha is None else np.asarray(alpha, float)
+    spark = counts.sparkSession
+    before = [
+        (t + 1, a + 1, float(params.phi[t, a]), float(params.beta_p[t, a]))
+        for t, a in np.ndindex(*params.phi.shape)
+    ]
+    before.append((0, 0, None, None))
+    # as many rows as there are parameters
+    before = spark.createDataFrame(before, "t int, s_from int, oldPhi double, oldP double")
+
+    def of(kind, value="value"):
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(value))), F.lit(0.0))
+
+    alive = F.when((F.col("kind") == "move") & (F.col("s_to") <= s), F.struct("s_to", "value"))
+    folded = counts.groupBy("t", "s_from").agg(
+        F.map_from_entries(F.collect_list(alive)).alias("moves"),
+        of("move").alias("risk"),
+        of("seen").alias("seen"),
+        of("missed").alias("missed"),
+        of("loglik").alias("loglik"),
+    )
+    d = before.join(F.broadcast(folded), ["t", "s_from"], "left")
+    weights = F.array(*[F.array(*map(F.lit, row)) for row in alpha.tolist()])
+    own = F.get(weights, F.col("s_from") - 1)
+    states = F.sequence(F.lit(1), F.lit(s))
+    moved = F.transform(states, lambda to: F.coalesce(F.try_element_at("moves", to), F.lit(0.0)))
+    d = d.withColumn("_moved", moved)
+    stayed = F.aggregate("_moved", F.lit(0.0), lambda x, y: x + y)
+    d = d.withColumn("_weighted", F.zip_with("_moved", own, lambda x, y: x + y))
+    total = F.aggregate("_weighted", F.lit(0.0), lambda x, y: x + y)
+    tries = F.col("seen") + F.col("missed")
+    low, high = (F.lit(x) for x in DETECTION[params.p_link])
+    p = F.least(F.greatest(F.col("seen") / F.nullif(tries, F.lit(0.0)), low), high)
+    beta = scalar.logit(p) if params.p_link == "logit" else p
+    prior = float((alpha * np.log(params.psi)).sum())
+
+    def row(name, value, to=F.lit(None)):
+        return F.struct(
+            F.lit(name).alias("name"), to.cast("int").alias("s_to"), value.alias("value")
+        )
+
+    phi = F.coalesce(stayed / F.nullif(F.col("risk"), F.lit(0.0)), F.col("oldPhi"))
+    rows = F.concat(
+        F.array(
+            row("betaPhi", phi),
+            row("betaP", F.when(tries > 0, beta).otherwise(F.col("oldP"))),
+        ),
+        F.zip_with(states, "_weighted", lambda to, w: row("psi", w / total, to)),
+    )
+    last = F.array(row("logPosterior", F.coalesce("loglik", F.lit(0.0)) + prior))
+    return d.select(
+        "t", "s_from", F.explode(F.when(F.col("t") > 0, rows).otherwise(last)).alias("r")
+    ).select("r.name", "s_from", "r.s_to", "t", "r.value")
+
+
+def params_of(rows, like: ModelParams) -> ModelParams:
+    """Parameters from rows such as :func:`maximise` gives, one per parameter."""
+    phi, beta_p, psi = like.phi.copy(), like.beta_p.copy(), np.array(like.psi)
     for r in rows:
-        if r["kind"] == "move":
-            moves[r["t"] - 1, r["s_from"] - 1, r["s_to"] - 1] = r["value"]
-        elif r["kind"] == "loglik":
-            loglik = r["value"]
-        else:
-            into = seen if r["kind"] == "seen" else missed
-            into[r["t"] - 1, r["s_from"] - 1] = r["value"]
-    return moves, seen, missed, loglik
+        t, a = r["t"] - 1, r["s_from"] - 1
+        if r["name"] == "betaPhi":
+            phi[t, a] = r["value"]
+        elif r["name"] == "betaP":
+            beta_p[t, a] = r["value"]
+        elif r["name"] == "psi":
+            psi[t, a, r["s_to"] - 1] = r["value"]
+    return replace(like, phi=phi, beta_p=beta_p, psi=psi)
 
 
 #: Histories per task of a fit: enough to be worth a task, few enough for its memory.
@@ -259,7 +330,7 @@ def fit_map(
 ) -> MapFit:
     """Posterior mode by EM: uniform survival and detection, Dirichlet(alpha + 1) changes.
 
-    One job per iteration; only the expected counts come back to the driver. It runs until
+    One job per iteration, expectation and maximum; only the parameters come back to the driver. It runs until
     the log posterior, which EM never lowers, grows by less than ``tol`` of its size.
     ``max_iter`` is for trials: a fit that it ends has ``converged`` False. A log posterior
     that isn't finite is an error.
@@ -271,138 +342,23 @@ def fit_map(
     try:
         width = n_occasions(data)
         params = start_params(width, delta, alpha, p_link)
-        low, high = (0.5, 1 / (1 + math.exp(-1))) if p_link == "logit" else (0.0, 1.0)
         trace: list[float] = []
         converged = False
         while max_iter is None or len(trace) < max_iter:
-            rows = hmm_expected_counts(data, params).collect()
-            moves, seen, missed, loglik = _read_counts(rows, width - 1, s)
-            trace.append(loglik + float((alpha * np.log(params.psi)).sum()))
+            rows = maximise(hmm_expected_counts(data, params), params, alpha).collect()
+            trace.append(next(r["value"] for r in rows if r["name"] == "logPosterior"))
             if not math.isfinite(trace[-1]):
                 raise ValueError("the histories are impossible under the model")
             if len(trace) > 1 and trace[-1] - trace[-2] < tol * abs(trace[-2]):
                 converged = True
                 break
-            params = replace(params, **_maximise(params, moves, seen, missed, alpha, low, high))
+            params = params_of(rows, params)
     finally:
         data.unpersist()
     return MapFit(params, trace, converged)
 
 
-def _maximise(params, moves, seen, missed, alpha, low, high):
-    s = moves.shape[1]
-    alive, risk = moves[:, :, :s].sum(axis=2), moves.sum(axis=2)
-    phi = np.divide(alive, risk, out=params.phi.copy(), where=risk > 0)
-    psi = moves[:, :, :s] + alpha
-    psi /= psi.sum(axis=2, keepdims=True)
-    tries = seen + missed
-    old = params.detection
-    p = np.clip(np.divide(seen, tries, out=old.copy(), where=tries > 0), low, high)
-    beta = np.log(p / (1 - p)) if params.p_link == "logit" else p
-    return {"phi": phi, "psi": psi, "beta_p": beta}
-
-
-# --- sampling --------------------------------------------------------------------
-
-
-def random_start(
-    n_occasions: int,
-    delta,
-    alpha: np.ndarray,
-    rng: np.random.Generator,
-    p_link: str = "logit",
-) -> ModelParams:
-    """Starting values: survival and detection uniform, state changes from the prior."""
-    steps, s = n_occasions - 1, len(delta)
-    psi = np.stack([[rng.dirichlet(a) for a in alpha] for _ in range(steps)])
-    phi, beta = rng.uniform(size=(steps, s)), rng.uniform(size=(steps, s))
-    return ModelParams(phi, psi, beta, np.asarray(delta, float), p_link)
-
-
-def _draw_detection(seen, missed, p_link, rng, points: int = 2000):
-    """Detection parameter given counts: uniform prior on (0, 1), 1-D density on a grid."""
-    if p_link == "identity":
-        return rng.beta(1 + seen, 1 + missed)
-    grid = (np.arange(points) + 0.5) / points
-    log_p = -np.log1p(np.exp(-grid))
-    log_q = -np.log1p(np.exp(grid))
-    dens = seen[..., None] * log_p + missed[..., None] * log_q
-    cum = np.cumsum(np.exp(dens - dens.max(axis=-1, keepdims=True)), axis=-1)
-    u = rng.uniform(size=seen.shape + (1,)) * cum[..., -1:]
-    cell = np.minimum((cum < u).sum(axis=-1), points - 1)
-    return (cell + rng.uniform(size=seen.shape)) / points
-
-
-def _draw_params(params, moves, seen, missed, alpha, rng):
-    s = moves.shape[1]
-    alive, died = moves[:, :, :s].sum(axis=2), moves[:, :, s]
-    shape = rng.standard_gamma(moves[:, :, :s] + alpha)
-    shape = np.maximum(shape, 1e-300)
-    return replace(
-        params,
-        phi=rng.beta(1 + alive, 1 + died),
-        psi=shape / shape.sum(axis=2, keepdims=True),
-        beta_p=_draw_detection(seen, missed, params.p_link, rng),
-    )
-
-
-def pack_blocks(observed: DataFrame, block_rows: int = 1024) -> DataFrame:
-    """Collapsed histories packed into blocks of about ``block_rows``, one row each.
-
-    The block of a history follows from its content and the rows of a block are
-    sorted, so a block, and with it the random numbers spent on it, does not depend on
-    partitions, task order or retries.
-    """
-    data = stored(collapse_histories(observed))
-    n_blocks = max(1, math.ceil(data.count() / block_rows))
-    blocks = (
-        data.withColumn("block", F.pmod(F.xxhash64("first", "y"), F.lit(n_blocks)))
-        .groupBy("block")
-        .agg(F.sort_array(F.collect_list(F.struct("first", "y", "n"))).alias("rows"))
-    )
-    per_task = max(1, _TASK_ROWS[1] // block_rows)
-    return stored(_spread(blocks, n_blocks, 1, per_task, "block")).persist()
-
-
-def sample_sweep(
-    blocks: DataFrame, chains: list[ModelParams], seed: int, sweep: int
-) -> DataFrame:
-    """Counts of one random draw of all state paths, for every chain in one job."""
-    arrays = [c.arrays() for c in chains]
-
-    def draw(batches):
-        total = {}
-        for batch in batches:
-            for block, rows in zip(batch.column("block"), batch.column("rows")):
-                fields = rows.values
-                first = fields.field("first").to_numpy(zero_copy_only=False)
-                n = fields.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
-                y = _matrix(fields.field("y"))
-                _, first, y, n = fwd.by_first(first.astype(np.int64), y, n)
-                for chain, (gamma, p, delta) in enumerate(arrays):
-                    rng = np.random.default_rng([seed, chain, sweep, block.as_py()])
-                    new = fwd.sample_counts(first, y, n, gamma, p, delta, rng)
-                    old = total.get(chain)
-                    total[chain] = new if old is None else [a + b for a, b in zip(old, new)]
-        for chain, tables in total.items():
-            out = fwd.table_of(*tables)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "chain": pa.array(np.full(len(out["t"]), chain), pa.int32()),
-                    "kind": pa.array(out["kind"]),
-                    "t": pa.array(out["t"], pa.int32()),
-                    "s_from": pa.array(out["s_from"], pa.int32()),
-                    "s_to": pa.array(out["s_to"], pa.int32()),
-                    "value": pa.array(out["value"], pa.int64()),
-                }
-            )
-
-    schema = "chain int, kind string, t int, s_from int, s_to int, value long"
-    return (
-        blocks.mapInArrow(draw, schema)
-        .groupBy("chain", "kind", "t", "s_from", "s_to")
-        .agg(F.sum("value").alias("value"))
-    )
+# --- draws -----------------------------------------------------------------------
 
 
 def is_kept(iteration, n_burnin: int, thin: int):
@@ -413,89 +369,3 @@ def is_kept(iteration, n_burnin: int, thin: int):
 def thin_draws(draws: DataFrame, n_burnin: int, thin: int) -> DataFrame:
     """Drop the burn-in and keep every ``thin``-th draw after it."""
     return draws.filter(is_kept(F.col("iter"), n_burnin, thin))
-
-
-def fit_gibbs(
-    observed: DataFrame,
-    delta,
-    alpha: np.ndarray | None = None,
-    n_iter: int = 5000,
-    n_burnin: int = 2000,
-    thin: int = 5,
-    n_chains: int = 2,
-    seed: int = 1,
-    p_link: str = "logit",
-    months=None,
-    block_rows: int = 1024,
-) -> DataFrame:
-    """Posterior draws by data augmentation: state paths given parameters and back.
-
-    Every sweep is one job for all chains; what returns is one count per parameter.
-    ``months`` (length T - 1) adds ``betaPhiMonthly`` = survival ^ months.
-    """
-    delta = np.asarray(delta, float)
-    s = len(delta)
-    alpha = alpha_matrix(s) if alpha is None else alpha
-    spark = observed.sparkSession
-    blocks = pack_blocks(observed, block_rows)
-    try:
-        width = blocks.select(F.size(F.col("rows")[0]["y"]).alias("T")).first()["T"]
-        rngs = [np.random.default_rng([seed, c]) for c in range(n_chains)]
-        chains = [random_start(width, delta, alpha, r, p_link) for r in rngs]
-        kept: list[tuple[int, int, ModelParams]] = []
-        for sweep in range(1, n_iter + 1):
-            rows = sample_sweep(blocks, chains, seed, sweep).collect()
-            for c in range(n_chains):
-                mine = [r for r in rows if r["chain"] == c]
-                counts = _read_counts(mine, width - 1, s)[:3]
-                chains[c] = _draw_params(chains[c], *counts, alpha, rngs[c])
-                if is_kept(sweep, n_burnin, thin):
-                    kept.append((c + 1, sweep, chains[c]))
-    finally:
-        blocks.unpersist()
-    return spark.createDataFrame(_draws_table(kept, width - 1, s, months), DRAWS)
-
-
-def _draws_table(kept, steps: int, s: int, months) -> pa.Table:
-    """Kept draws in long form; their number is draws times parameters."""
-    t, a = (i.ravel() + 1 for i in np.indices((steps, s)))
-    t3, a3, b3 = (i.ravel() + 1 for i in np.indices((steps, s, s)))
-    none = np.zeros(len(t), dtype=np.int64)
-    blocks = [
-        ("betaPhi", t, a, none, lambda p: p.phi),
-        ("betaP", t, a, none, lambda p: p.beta_p),
-        ("psi", t3, a3, b3, lambda p: p.psi),
-    ]
-    if months is not None:
-        known = np.array([m is not None for m in months[:steps]])
-        length = np.array([m for m in months[:steps] if m is not None], dtype=float)
-        rows = np.repeat(known, s)
-        blocks.append(
-            (
-                "betaPhiMonthly", t[rows], a[rows], none[rows],
-                lambda p: p.phi[known] ** length[:, None],
-            )
-        )
-    tables = []
-    for name, bt, ba, bb, values in blocks:
-        n, k = len(bt), len(kept)
-        to = np.tile(bb, k)
-        tables.append(
-            pa.table(
-                {
-                    "chain": pa.array(np.repeat([c for c, _, _ in kept], n), pa.int32()),
-                    "iter": pa.array(np.repeat([i for _, i, _ in kept], n), pa.int32()),
-                    "name": pa.array([name] * (n * k), pa.string()),
-                    "s_from": pa.array(np.tile(ba, k), pa.int32()),
-                    "s_to": pa.array(to, pa.int32(), mask=to == 0),
-                    "t": pa.array(np.tile(bt, k), pa.int32()),
-                    "value": pa.array(
-                        np.concatenate([np.ravel(values(p)) for _, _, p in kept])
-                        if kept
-                        else np.empty(0),
-                        pa.float64(),
-                    ),
-                }
-            )
-        )
-    return pa.concat_tables(tables)

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recapspark.operators import dedup, histories, prepare
+from recapspark.operators import dedup, histories, hmm, prepare
 from recapspark.operators.storage import stored
+from recapspark.sources import files
 
 #: Dynamic filter (columns, operators, values) of each part of the river system.
 SUBSETS = {
@@ -19,6 +20,9 @@ SUBSETS = {
     "main": (("mainTrib",), ("%in%",), (["main"],)),
     "trib": (("mainTrib",), ("%in%",), (["trib"],)),
 }
+#: States of a model and the column that has them: size classes of one river, or both rivers'.
+STATES = {"all": (1, 2, 3, 4, 5, 6), "main": (1, 2, 3), "trib": (4, 5, 6)}
+STATE_COLUMN = {"all": "state", "main": "sizeState", "trib": "sizeState"}
 
 
 def clean_captures(first: DataFrame, second: DataFrame, **options) -> DataFrame:
@@ -96,3 +100,29 @@ def model_input(caught: DataFrame, states: str = "sizeState") -> DataFrame:
     """Complete observation histories by size class (``enc`` for alive/dead only)."""
     dense = histories.encounter_histories(caught)
     return histories.complete_histories(histories.observation_codes(dense, states))
+
+
+def fit(
+    first: DataFrame,
+    second: DataFrame,
+    subset: str,
+    path: str,
+    alpha=None,
+    run_id: str | None = None,
+    **options,
+) -> tuple[str, hmm.MapFit]:
+    """Capture files to a stored model run: histories, chances at first capture, mode, run.
+
+    The chances of the states at first capture are the shares of the captured states. The run is
+    stored as one draw of one chain under the model's name, ``map_<subset>``, so tables of posterior
+    draws read it as they read others. ``options`` go to ``hmm.fit_map``. Returns the
+    run id and the fit.
+    """
+    caught = stored(caught_months(first, second, subset), "histories")
+    delta = histories.initial_proportions(caught, STATES[subset])
+    observed = model_input(caught, STATE_COLUMN[subset])
+    found = hmm.fit_map(observed, delta, alpha, **options)
+    draws = hmm.params_table(caught.sparkSession, found.params, draw=1).select(
+        F.lit(1).alias("chain"), F.col("draw").alias("iter"), "name", "s_from", "s_to", "t", "value"
+    )
+    return files.save_model_run(draws, path, f"map_{subset}", run_id), found

@@ -243,8 +243,8 @@ FROM (SELECT *, {total} AS tot
     )
 
 
-def expected_counts() -> str:
-    """Forward-backward sums over all fish of the three-state example, by formula."""
+def count_steps() -> tuple[tuple[str, str], ...]:
+    """Forward-backward sums over all fish of the three-state example; ``byt`` has a row per time."""
     psi, _, slope = MODELS[3]
     states = (1, 2, 3)
     p = {s: f"(1/(1+exp(-({slope}*{s} + 0.05*(t % 7)))))" for s in states}
@@ -269,20 +269,11 @@ def expected_counts() -> str:
     sums = [f"sum(q{r}{s}/tot) AS q{r}{s}" for r, s in pair if r != 4]
     sums += [f"sum(CASE WHEN y > 1 THEN ({into[s]})/tot ELSE 0 END) AS seen{s}" for s in states]
     sums += [f"sum(CASE WHEN y = 1 THEN ({into[s]})/tot ELSE 0 END) AS missed{s}" for s in states]
-    parts = [("move", r, s, f"q{r}{s}") for r, s in pair if r != 4]
-    parts += [(kind, s, 0, f"{kind}{s}") for kind in ("seen", "missed") for s in states]
-    rows = " UNION ALL ".join(
-        f"SELECT '{kind}' AS kind, t, CAST({r} AS INT) AS s_from, CAST({s} AS INT) AS s_to,"
-        f" {six(f'coalesce({q}, 0)', 'value')} FROM byt"
-        for kind, r, s, q in parts
-    )
     return (
-        chain(
-            "target",
-            *likelihood(),
-            (
-                "bwd",
-                f"""
+        *likelihood(),
+        (
+            "bwd",
+            f"""
 SELECT tag, j AS t, CAST(1 AS DOUBLE) AS b1, CAST(1 AS DOUBLE) AS b2, CAST(1 AS DOUBLE) AS b3,
   CAST(1 AS DOUBLE) AS b4 FROM obs WHERE j = last
 UNION ALL
@@ -292,27 +283,41 @@ SELECT tag, t, c1/m, c2/m, c3/m, e4/m FROM (
       SELECT tag, t, y, {ahead} FROM (
         SELECT bwd.tag, CAST(bwd.t - 1 AS INT) AS t, y, b1, b2, b3, b4
         FROM bwd JOIN obs ON obs.tag = bwd.tag AND obs.j = bwd.t WHERE bwd.t > first))))""",
-            ),
-            (
-                "pairs",
-                f"""
+        ),
+        (
+            "pairs",
+            f"""
 SELECT t, y, {named} FROM (SELECT t, y, a1, a2, a3, a4, {ahead} FROM (
   SELECT f.t, y, a1, a2, a3, a4, b1, b2, b3, b4 FROM fwd f
   JOIN bwd b ON b.tag = f.tag AND b.t = f.t + 1
   JOIN obs o ON o.tag = f.tag AND o.j = f.t + 1))""",
-            ),
-            (
-                "sums",
-                f"SELECT t, {', '.join(sums)} FROM (SELECT *, {total} AS tot FROM pairs)"
-                " GROUP BY t",
-            ),
-            (
-                "byt",
-                """
+        ),
+        (
+            "sums",
+            f"SELECT t, {', '.join(sums)} FROM (SELECT *, {total} AS tot FROM pairs)"
+            " GROUP BY t",
+        ),
+        (
+            "byt",
+            """
 SELECT g.t, sums.* EXCLUDE (t) FROM (
   SELECT DISTINCT j AS t FROM obs WHERE j < last) g LEFT JOIN sums ON sums.t = g.t""",
-            ),
-        )
+        ),
+    )
+
+
+def expected_counts() -> str:
+    """Expected moves, detections and misses in long form."""
+    states = (1, 2, 3)
+    parts = [("move", r, s, f"q{r}{s}") for r in states for s in (*states, 4)]
+    parts += [(kind, s, 0, f"{kind}{s}") for kind in ("seen", "missed") for s in states]
+    rows = " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, t, CAST({r} AS INT) AS s_from, CAST({s} AS INT) AS s_to,"
+        f" {six(f'coalesce({q}, 0)', 'value')} FROM byt"
+        for kind, r, s, q in parts
+    )
+    return (
+        chain("target", *count_steps())
         + rows
         + f"""
 UNION ALL SELECT 'loglik', CAST(0 AS INT), CAST(0 AS INT), CAST(0 AS INT),
@@ -320,6 +325,58 @@ UNION ALL SELECT 'loglik', CAST(0 AS INT), CAST(0 AS INT), CAST(0 AS INT),
     )
 
 
+def em_step() -> str:
+    """The closed-form maximum over the expected counts of the three-state example."""
+    psi, delta, slope = MODELS[3]
+    states = (1, 2, 3)
+    out = []
+
+    def row(name, r, to, value):
+        out.append(
+            f"SELECT '{name}' AS name, CAST({r} AS INT) AS s_from, CAST({to} AS INT) AS s_to, t,"
+            f" {six(value, 'value')} FROM known"
+        )
+
+    for r in states:
+        alive = " + ".join(f"q{r}{s}" for s in states)
+        risk = f"({alive} + q{r}4)"
+        row("betaPhi", r, "NULL", f"CASE WHEN {risk} > 0 THEN ({alive}) / {risk}"
+            f" ELSE 0.55 + {slope}*{r} + 0.01*(t % 5) END")
+        p = f"least(greatest(seen{r} / (seen{r} + missed{r}), 0.5), 1 / (1 + exp(-1)))"
+        row("betaP", r, "NULL", f"CASE WHEN seen{r} + missed{r} > 0 THEN ln({p} / (1 - {p}))"
+            f" ELSE {slope}*{r} + 0.05*(t % 7) END")
+        weights = sum(psi[r - 1])
+        for s in states:
+            row("psi", r, s, f"(q{r}{s} + {psi[r - 1][s - 1]}) / ({alive} + {weights!r})")
+    counts = [f"q{r}{s}" for r in states for s in (*states, 4)]
+    counts += [f"{k}{s}" for k in ("seen", "missed") for s in states]
+    known = ", ".join(f"coalesce({c}, 0) AS {c}" for c in counts)
+    chance = " ".join(f"WHEN {s + 1} THEN {d}" for s, d in zip(states, delta))
+    prior = " + ".join(f"{w}*ln({w!r})" for r in psi for w in r)
+    return (
+        chain(
+            "target",
+            *count_steps(),
+            ("known", f"SELECT t, {known} FROM byt"),
+            (
+                "share",
+                """SELECT state, count(*) / sum(count(*)) OVER () AS share FROM long
+WHERE state > 0 GROUP BY state""",
+            ),
+            (
+                "starts",
+                f"""SELECT sum(ln(share / CASE y {chance} END)) AS more
+FROM obs JOIN share ON share.state + 1 = obs.y WHERE j = first""",
+            ),
+        )
+        + " UNION ALL ".join(out)
+        + f"""
+UNION ALL SELECT 'logPosterior', 0, NULL, 0,
+  {six(f"sum(ll) + any_value(more) + any_value(times) * ({prior})", "value")}
+FROM fwd CROSS JOIN starts CROSS JOIN (SELECT count(*) AS times FROM known) WHERE t = last"""
+    )
+
+
 NAME_RE = r"'^([A-Za-z]\w*)\[(\d+), ?(\d+)(?:, ?(\d+))?\]$'"
 RAW_DRAWS = DRAWS_SQL.format(
     events="events", idiv="(event_id // 15)", idiv2="(event_id // 30)"
@@ -634,6 +691,7 @@ SELECT count(*) FILTER (incomplete) AS nIncomplete, count(*) AS nFish FROM fish"
     }.items():
         sql[name] = chain("target", *likelihood(*model)) + scores
     sql["hmm_expected_counts"] = expected_counts()
+    sql["em_step"] = em_step()
     sql["hmm_loglik_total"] = forward + (
         "SELECT round(sum(ll), 4) AS loglik, count(*) AS nFish FROM fwd WHERE t = last"
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -506,6 +507,18 @@ def _(spark, sf):
     return rounded(counted, "value")
 
 
+@query("em_step")
+def _(spark, sf):
+    caught = stored(_caught(spark, sf, "main"), "histories")
+    observed = stored(flows.model_input(caught), "observed")
+    params = replace(
+        example_params(hmm.n_occasions(observed)),
+        delta=np.array(histories.initial_proportions(caught, flows.STATES["main"])),
+    )
+    counts = hmm.hmm_expected_counts(histories.collapse_histories(observed), params)
+    return rounded(hmm.maximise(counts, params), "value")
+
+
 @query("fit_map")
 def _(spark, sf):
     observed = _model_input(spark, sf)

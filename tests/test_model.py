@@ -1,12 +1,16 @@
 import itertools
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
+from conftest import SMALL
 
 from recapspark.config import SIX_STATE_WEIGHTS
 from recapspark.functions import forward as fwd
-from recapspark.operators import hmm
+from recapspark.operators import histories, hmm
+from recapspark.plans import flows
+from recapspark.sources import files, standin
 
 DELTA = [0.5, 0.3, 0.2]
 
@@ -25,7 +29,23 @@ def constant(width, p_link="logit"):
 
 def random_params(width, seed=0, s=3):
     rng = np.random.default_rng(seed)
-    return hmm.random_start(width, np.full(s, 1 / s), hmm.alpha_matrix(s), rng)
+    psi = np.stack([[rng.dirichlet(a) for a in hmm.alpha_matrix(s)] for _ in range(width - 1)])
+    phi, beta = rng.uniform(size=(width - 1, s)), rng.uniform(size=(width - 1, s))
+    return hmm.ModelParams(phi, psi, beta, np.full(s, 1 / s))
+
+
+def count_tables(rows, steps, s=3):
+    """Expected counts as arrays and the log likelihood."""
+    moves, seen, missed = np.zeros((steps, s, s + 1)), np.zeros((steps, s)), np.zeros((steps, s))
+    loglik = 0.0
+    for r in rows:
+        if r["kind"] == "loglik":
+            loglik = r["value"]
+        elif r["kind"] == "move":
+            moves[r["t"] - 1, r["s_from"] - 1, r["s_to"] - 1] = r["value"]
+        else:
+            (seen if r["kind"] == "seen" else missed)[r["t"] - 1, r["s_from"] - 1] = r["value"]
+    return moves, seen, missed, loglik
 
 
 def observed(spark, histories):
@@ -148,27 +168,43 @@ def exact_counts(params, weights):
 def test_expected_counts_match_enumeration(spark):
     params, weights = random_params(4, seed=5), [3, 10, 1, 2, 4, 1]
     rows = hmm.hmm_expected_counts(collapsed(spark, weights), params).collect()
-    got = hmm._read_counts(rows, 3, 3)
+    got = count_tables(rows, 3)
     for a, b in zip(got, exact_counts(params, weights)):
         assert a == pytest.approx(b)
     total = hmm.total_loglik(collapsed(spark, weights), params).first()
     assert got[3] == pytest.approx(total["loglik"]) and total["nFish"] == 21
 
 
-def test_sampled_counts_average_to_the_expected_ones():
-    params, weights = random_params(4, seed=6), np.array([4000, 9000, 700, 800, 300, 500])
-    want = exact_counts(params, weights)
-    first = np.array([f for f, _ in HISTORIES])
-    y = np.array([h for _, h in HISTORIES])
-    _, first, y, w = fwd.by_first(first, y, weights)
-    rng = np.random.default_rng(1)
-    draws = [fwd.sample_counts(first, y, w, *params.arrays(), rng) for _ in range(40)]
-    for i in range(3):
-        mean = np.mean([d[i] for d in draws], axis=0)
-        assert mean == pytest.approx(want[i], abs=25)
-    # every fish seen first in column 1 makes one move from there, in every draw
-    started = sum(n for (f, _), n in zip(HISTORIES, weights) if f == 1)
-    assert all(d[0][0].sum() == started for d in draws)
+@pytest.mark.parametrize("p_link", ["logit", "identity"])
+def test_maximum_has_the_closed_form(spark, p_link):
+    params = replace(random_params(4, seed=8), p_link=p_link)
+    alpha = hmm.alpha_matrix(3, 0.7, 0.4)
+    counts = hmm.hmm_expected_counts(collapsed(spark, [3, 10, 1, 2, 4, 1]), params)
+    moves, seen, missed, loglik = count_tables(counts.collect(), 3)
+    rows = hmm.maximise(counts, params, alpha).collect()
+    got = hmm.params_of(rows, params)
+    alive, risk = moves[:, :, :3].sum(axis=2), moves.sum(axis=2)
+    phi = np.where(risk > 0, alive / np.where(risk > 0, risk, 1), params.phi)
+    psi = moves[:, :, :3] + alpha
+    psi /= psi.sum(axis=2, keepdims=True)
+    tries = seen + missed
+    p = np.where(tries > 0, seen / np.where(tries > 0, tries, 1), params.detection)
+    low, high = hmm.DETECTION[p_link]
+    p = np.where(tries > 0, np.clip(p, low, high), p)
+    assert got.phi == pytest.approx(phi) and got.psi == pytest.approx(psi)
+    assert got.detection == pytest.approx(p)
+    (value,) = [r["value"] for r in rows if r["name"] == "logPosterior"]
+    assert value == pytest.approx(loglik + (alpha * np.log(params.psi)).sum())
+    assert len(rows) == 3 * 3 * 5 + 1
+
+
+def test_maximum_without_fish_keeps_the_parameters(spark):
+    params = random_params(4, seed=9)
+    none = hmm.hmm_expected_counts(collapsed(spark, [1] * 6), params).limit(0)
+    got = hmm.params_of(hmm.maximise(none, params).collect(), params)
+    assert got.phi == pytest.approx(params.phi) and got.beta_p == pytest.approx(params.beta_p)
+    alpha = hmm.alpha_matrix(3)
+    assert got.psi == pytest.approx(np.broadcast_to(alpha / alpha.sum(axis=1, keepdims=True), got.psi.shape))
 
 
 def simulate(n, width, params, seed=3):
@@ -210,27 +246,18 @@ def test_em_climbs_and_recovers(simulated):
     assert fit.params.phi[:3] == pytest.approx(truth.phi[:3], abs=0.15)
 
 
-def test_gibbs_is_reproducible_and_near_the_mode(spark, simulated):
-    truth, data = simulated
-    run = dict(n_iter=30, n_burnin=10, thin=2, seed=7, block_rows=500,
-               months=[1.0, 2.0, None, 1.0])
-    key = ["chain", "iter", "name", "s_from", "s_to", "t"]
-    one = hmm.fit_gibbs(data, DELTA, **run).orderBy(*key).collect()
-    again = hmm.fit_gibbs(data.repartition(3), DELTA, **run).orderBy(*key).collect()
-    assert one == again
-    assert len(one) == 2 * 10 * (4 * (3 + 3 + 9) + 3 * 3)
-    phi = {}
-    for r in one:
-        if r["name"] == "betaPhi" and r["t"] <= 3:
-            phi.setdefault((r["t"], r["s_from"]), []).append(r["value"])
-    for (t, s), values in phi.items():
-        assert np.mean(values) == pytest.approx(truth.phi[t - 1, s - 1], abs=0.2)
-    monthly = {(r["chain"], r["iter"], r["s_from"]): r["value"] for r in one
-               if r["name"] == "betaPhiMonthly" and r["t"] == 2}
-    for r in one:
-        if r["name"] == "betaPhi" and r["t"] == 2:
-            key3 = (r["chain"], r["iter"], r["s_from"])
-            assert monthly[key3] == pytest.approx(r["value"] ** 2)
+def test_captures_to_a_stored_run(spark, tmp_path):
+    first, second = standin.capture_files(spark, SMALL)
+    for subset in ("main", "all"):
+        run, fit = flows.fit(first, second, subset, str(tmp_path), run_id="2022-07-27 14", max_iter=3)
+        caught = flows.caught_months(first, second, subset)
+        shares = histories.initial_proportions(caught, flows.STATES[subset])
+        assert list(fit.params.delta) == pytest.approx(shares) and sum(shares) == pytest.approx(1)
+        draws = files.read_model_run(spark, str(tmp_path), f"map_{subset}", run).collect()
+        assert hmm.params_of(draws, fit.params).psi == pytest.approx(fit.params.psi)
+        s, steps = len(shares), len(fit.params.phi)
+        assert len(draws) == steps * s * (s + 2) and {(r["chain"], r["iter"]) for r in draws} == {(1, 1)}
+        assert fit.log_posterior == sorted(fit.log_posterior) and not fit.converged
 
 
 def test_burn_in_and_thinning():
