@@ -34,3 +34,4 @@ HOT_KEYS = 10_000  # the most frequent keys, handled by broadcast (see operators
 HOT_MIN_ROWS = 10_000  # keys with fewer rows are never treated as frequent
 HOT_KEY_SALTS = 1 << 30  # a frequent key is spread over all reducers, however many
 BROADCAST_LEVELS = 100_000  # most levels of a dimension that is ever broadcast
+LEVEL_BLOCK = 1_024  # levels of each side whose cells one task of a contingency table fills

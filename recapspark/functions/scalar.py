@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,3 +138,57 @@ def monthly_survival(phi: Column, months: Column, per_month: bool = False) -> Co
 def paste(*columns: Column, sep: str = "_") -> Column:
     """Join values as text."""
     return F.concat_ws(sep, *[c.cast("string") for c in columns])
+
+
+#: Beyond this many degrees of freedom Student's quantile comes from its expansion.
+_LARGE_DF = 400
+
+
+def student_quantile(df: Column, level: float = 0.95) -> Column:
+    """The value that bounds Student's t within ``level``, both sides; whole degrees of freedom.
+
+    For whole ones the share within ``sqrt(df) * tan(angle)`` is a finite sum in the angle,
+    which is halved down to the limits of a double. Many degrees of freedom use the
+    expansion around the normal quantile, there exact to 1e-9. NULL below one.
+    """
+    z = NormalDist().inv_cdf((1 + level) / 2)
+    terms = [
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+    ]
+    far = F.lit(z)
+    for i, term in enumerate(terms, 1):
+        far = far + term / F.pow(df, F.lit(i))
+    odd = F.pmod(df.cast("int"), F.lit(2)) == 1
+    some = F.least(df, F.lit(_LARGE_DF)).cast("int")
+    count = F.when(odd, F.floor((some - 1) / 2)).otherwise(F.floor(some / 2)).cast("int")
+    steps = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+
+    def within(angle):
+        cosine = F.cos(angle)
+        start = F.struct(
+            F.lit(0.0).alias("sum"), F.when(odd, cosine).otherwise(F.lit(1.0)).alias("term")
+        )
+
+        def add(s, j):
+            ratio = F.when(odd, 2.0 * j / (2 * j + 1)).otherwise((2.0 * j - 1) / (2 * j))
+            return F.struct(
+                (s["sum"] + s["term"]).alias("sum"), (s["term"] * cosine * cosine * ratio).alias("term")
+            )
+
+        total = F.sin(angle) * F.aggregate(steps, start, add, lambda s: s["sum"])
+        return F.when(odd, (angle + total) * 2 / math.pi).otherwise(total)
+
+    def halve(s, _):
+        middle = (s["low"] + s["high"]) / 2
+        below = within(middle) < level
+        return F.struct(
+            F.when(below, middle).otherwise(s["low"]).alias("low"),
+            F.when(below, s["high"]).otherwise(middle).alias("high"),
+        )
+
+    ends = F.struct(F.lit(0.0).alias("low"), F.lit(math.pi / 2).alias("high"))
+    angle = F.aggregate(F.sequence(F.lit(1), F.lit(52)), ends, halve, lambda s: s["low"])
+    near = F.sqrt(df) * F.tan(angle)
+    return F.when(df > _LARGE_DF, far).when(df >= 1, near)

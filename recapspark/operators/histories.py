@@ -198,6 +198,35 @@ def n_size_states(rows: DataFrame) -> DataFrame:
 # --- histories -------------------------------------------------------------------
 
 
+def fold_months(
+    captures: DataFrame,
+    subsets: dict[str, tuple[Sequence[str], Sequence[str], Sequence]],
+    species: str = MODEL_SPECIES,
+    excluded_tags: Sequence[str] = EXCLUDED_TAGS,
+    values: Sequence[str] | None = None,
+) -> DataFrame:
+    """One row per (tag, month): counts, and per subset the cell that its histories show there.
+
+    A fish with very many captures is spread over its months before it meets its fish-level
+    row, and a stored fold serves the histories of all subsets. ``subsets`` maps a name to a
+    dynamic filter (columns, operators, values); the cell is ``cell_<name>``.
+    """
+    if values is None:
+        values = [c for c in CELL_FILL if c in captures.columns and c != INTERVAL]
+    enters = predicates.enters_histories(species, excluded_tags)
+    cell = F.struct(*_order(), "dateTime", *values)
+    return captures.groupBy("tag", "dateYM").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("dateTime").isNull()).alias("untimed"),
+        F.max("dateTime").alias("latest"),
+        F.sum("enc").alias("enc"),
+        *[
+            F.min(F.when(predicates.all_of(*rule) & enters, cell)).alias(f"cell_{name}")
+            for name, rule in subsets.items()
+        ],
+    )
+
+
 def caught_months(
     captures: DataFrame,
     cols: Sequence[str] = (),
@@ -208,37 +237,43 @@ def caught_months(
     drop: DataFrame | None = None,
     intervals: DataFrame | None = None,
     values: Sequence[str] | None = None,
+) -> DataFrame:
+    """The months of a fish's history straight from captures, see :func:`caught_of_months`."""
+    rule = {"own": (cols, ops, vals)}
+    months = fold_months(captures, rule, species, excluded_tags, values)
+    return caught_of_months(months, "own", drop, intervals)
+
+
+def caught_of_months(
+    months: DataFrame,
+    subset: str,
+    drop: DataFrame | None = None,
+    intervals: DataFrame | None = None,
 ) -> DataFrame:
     """Per fish the months of its history: ``tag``, ``cells``, ``months``, ``intervals``.
 
-    ``cells`` is sorted by month and holds what the wide table shows there. ``months``
+    ``months`` is a fold of captures (:func:`fold_months`). ``cells`` is sorted by month and
+    holds what the wide table shows there. The result's ``months``
     are the columns of the whole table: the months in which any fish of the subset has
-    a cell, undated captures (if any) last. ``intervals`` has the months until the next
+    a cell, undated captures (if any) last. Its ``intervals`` has the months until the next
     sampling month for each of them, if ``intervals`` (see ``month_intervals``) is given.
 
-    Captures are folded to one row per (tag, month) first; the removal rules then work
-    on these rows. That is possible because the cell shows the earliest capture of the
+    The removal rules work on the folded rows. That is possible because the cell shows the
+    earliest capture of the
     subset: it survives the thinning of the month exactly if any other one does. So no
-    row-level join is needed and a fish with very many captures is spread over its
-    months before it meets its fish-level row.
+    row-level join is needed.
 
     Everything about a fish goes into one list. The largest month and the list of
     months are then read from the same aggregation as the result, which Spark runs once.
+    A fold stored by tag needs no shuffle for that.
 
     ``drop``: tags to leave out entirely (see ``gt_once_per_day_tags``). Whole fish
     leave, so this may happen after the folding, on one row per fish.
     """
-    if values is None:
-        values = [c for c in CELL_FILL if c in captures.columns and c != INTERVAL]
-    subset = predicates.all_of(cols, ops, vals)
-    subset = subset & predicates.enters_histories(species, excluded_tags)
-    months = captures.groupBy("tag", "dateYM").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("dateTime").isNull()).alias("untimed"),
-        F.max("dateTime").alias("latest"),
-        F.sum("enc").alias("enc"),
-        F.min(F.when(subset, F.struct(*_order(), "dateTime", *values))).alias("cell"),
-    )
+    kept = f"cell_{subset}"
+    names = months.schema[kept].dataType.names
+    values = [n for n in names if n in CELL_FILL]
+    months = months.withColumn("cell", F.col(kept))
     time = F.col("cell.dateTime")
     survives = F.col("cell").isNotNull() & (
         time.isNull()
@@ -446,11 +481,16 @@ def occasion_labels(caught: DataFrame) -> DataFrame:
 
 
 def interval_vector(caught: DataFrame) -> DataFrame:
-    """Months until the next sampling month, per column of the table."""
-    return (
-        history_cells(caught)
-        .groupBy("j", "dateYM")
-        .agg(F.min("dateMedianDiffMonth").alias("dateMedianDiffMonth"))
+    """Months until the next sampling month, per column of the table.
+
+    Every row carries the columns of the whole table, so any one row has the answer.
+    """
+    columns = F.arrays_zip(F.col("months").alias("m"), F.col("intervals").alias("gap"))
+    one = caught.agg(F.any_value(columns).alias("columns"))
+    return one.select(F.posexplode("columns").alias("p", "c")).select(
+        (F.col("p") + 1).alias("j"),
+        _month_text(F.col("c.m")).alias("dateYM"),
+        F.col("c.gap").alias(INTERVAL),
     )
 
 
@@ -496,18 +536,31 @@ def first_last_frequencies(histories: DataFrame) -> DataFrame:
     )
 
 
-def known_state(long: DataFrame, value: str = "enc") -> DataFrame:
-    """Known-alive indicator of 0/1 histories in long form.
+def known_state(histories: DataFrame, value: str = "enc") -> DataFrame:
+    """Known-alive indicator of 0/1 histories: arrays ``known`` beside ``tag`` and ``months``.
 
     0 before the first encounter, 1 up to the last one, NULL after it (and throughout
-    a history without encounters). A window group is one fish: one row per month.
+    a history without encounters). The array is folded once, to its first and last
+    encounter; no row leaves its place.
     """
-    order = Window.partitionBy("tag").orderBy("j")
-    before = F.max(value).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.max(value).over(order.rowsBetween(0, Window.unboundedFollowing))
-    return long.withColumn(
-        "known", F.when(after == 1, F.when(before == 1, 1).otherwise(0))
+    y = F.col(f"y_{value}")
+    ends = F.aggregate(
+        y,
+        F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("first"), F.lit(0).alias("last")),
+        lambda s, v: F.struct(
+            (s["at"] + 1).alias("at"),
+            F.coalesce(s["first"], F.when(v > 0, s["at"])).alias("first"),
+            F.when(v > 0, s["at"]).otherwise(s["last"]).alias("last"),
+        ),
+    )
+    seen = histories.select("tag", "months", y.alias("_y"), ends.alias("_ends"))
+    known = F.transform(
+        "_y",
+        lambda _, i: F.when(i < F.col("_ends.first"), 0).when(
+            (i <= F.col("_ends.last")) & F.col("_ends.first").isNotNull(), 1
+        ),
     )
+    return seen.select("tag", "months", known.alias("known"))
 
 
 def observation_codes(histories: DataFrame, states: str = "sizeState") -> DataFrame:

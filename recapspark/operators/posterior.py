@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from recapspark.config import PRIOR_PRECISION
 from recapspark.functions import scalar
 from recapspark.functions.quantiles import clean_values, grouped_quantiles
+from recapspark.operators.storage import stored
 
 PARAMETER = ["name", "s_from", "s_to", "t"]
 _NAME = r"^([A-Za-z]\w*)\[(\d+), ?(\d+)(?:, ?(\d+))?\]$"
@@ -266,6 +267,49 @@ def phi_line(both: DataFrame) -> DataFrame:
     )
 
 
+def phi_line_band(both: DataFrame, level: float = 0.95) -> DataFrame:
+    """The line of :func:`phi_line` at every observed survival, with its confidence band.
+
+    The band is that of the fitted mean: the standard error of the line follows from sums per
+    state, one row each, times Student's quantile with two degrees of freedom less than points.
+    A state with fewer than three points has a line but no band.
+    """
+    known = both.filter(F.col("med").isNotNull() & F.col("med_1").isNotNull())
+    sums = known.groupBy("s_from").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.avg("med").alias("_x"),
+        F.avg("med_1").alias("_y"),
+        F.regr_sxx("med_1", "med").alias("_sxx"),
+        F.regr_sxy("med_1", "med").alias("_sxy"),
+        F.regr_syy("med_1", "med").alias("_syy"),
+    )
+    sums = stored(
+        sums.withColumns(
+            {
+                "_slope": F.try_divide("_sxy", "_sxx"),
+                "_t": scalar.student_quantile(F.col("_n") - 2, level),
+            }
+        ),
+        "sums",
+    )
+    rest = F.greatest(F.col("_syy") - F.col("_slope") * F.col("_sxy"), F.lit(0.0))
+    away = F.col("med") - F.col("_x")
+    spread = 1 / F.col("_n") + F.try_divide(away * away, F.col("_sxx"))
+    fit = F.col("_y") + F.col("_slope") * away
+    error = F.when(F.col("_n") > 2, F.sqrt(F.try_divide(rest, F.col("_n") - 2) * spread))
+    # one row per state
+    return known.join(F.broadcast(sums), "s_from").select(
+        "river",
+        "s_from",
+        "t",
+        F.col("med").alias("x"),
+        fit.alias("fit"),
+        error.alias("se"),
+        (fit - F.col("_t") * error).alias("lo"),
+        (fit + F.col("_t") * error).alias("hi"),
+    )
+
+
 def phi_by_year(labelled: DataFrame) -> DataFrame:
     """Survival over the occasions of a year, its last occasion left out."""
     phi = of_parameter(labelled, "betaPhi")

@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recapspark.config import HISTOGRAM_BINS, MODEL_SPECIES
+from recapspark.config import HISTOGRAM_BINS, LEVEL_BLOCK, MODEL_SPECIES
+from recapspark.operators.levels import number_levels
 from recapspark.operators.storage import stored
 
 
@@ -44,15 +45,29 @@ def most_first(per_fish: DataFrame, *by: str) -> DataFrame:
     return per_fish.orderBy(F.desc("n"), *[F.asc_nulls_last(c) for c in ("tag", *by)])
 
 
-def contingency(df: DataFrame, rows: str, columns: str) -> DataFrame:
+def contingency(df: DataFrame, rows: str, columns: str, block: int = LEVEL_BLOCK) -> DataFrame:
     """Two-way counts in long form, with the empty cells of the table as zeros.
 
-    ``columns`` should be the side with fewer levels: its levels, taken from the
-    counts, form one array that is spread over the levels of ``rows``.
+    Levels of both sides are numbered and cut into ranges of ``block``; a task fills the cells of
+    one pair of ranges, so no list of all levels exists anywhere, however many a side has.
     """
-    cells = stored(counts(df, rows, columns), "cells")  # small, and used three times
-    levels = cells.agg(F.array_sort(F.collect_set(columns))).scalar()
-    grid = cells.select(rows).distinct().select(rows, F.explode(levels).alias(columns))
+    cells = stored(counts(df, rows, columns), "cells")  # small, and used several times
+
+    def ranges(column, number):
+        levels, _ = number_levels(cells, column, number)
+        levels = stored(levels.withColumn("_range", F.floor((F.col(number) - 1) / block).cast("int")))
+        last = F.coalesce(levels.agg(F.max("_range")).scalar(), F.lit(-1))
+        return levels.select(column, F.col("_range").alias(f"_{number}")), last
+
+    left, last_left = ranges(rows, "r")
+    right, last_right = ranges(columns, "c")
+
+    def over(last):
+        return F.when(last >= 0, F.sequence(F.lit(0), last))
+
+    left = left.withColumn("_c", F.explode(over(last_right)))
+    right = right.withColumn("_r", F.explode(over(last_left)))
+    grid = left.join(right, ["_r", "_c"]).select(rows, columns)
     return grid.join(cells, [rows, columns], "left").fillna(0, ["n"])
 
 

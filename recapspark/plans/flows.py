@@ -61,6 +61,25 @@ def caught_months(
     )
 
 
+def store_months(store: files.ResultStore, first: DataFrame, second: DataFrame, name: str) -> None:
+    """Fold capture files to (fish, month) and store the fold under ``name``, bucketed by fish.
+
+    Fish with same-day doubles are gone from it. Sampling months go to ``<name>_intervals``. The fold
+    is bounded by the calendar for any fish, so no bucket is heavy through one of them.
+    """
+    d = all_captures(first, second, occasions=False, first_last=False)
+    months = histories.fold_months(d, SUBSETS)
+    gone = dedup.gt_once_per_day_tags(d)
+    store.save(months.join(gone, "tag", "left_anti"), name, by="tag")
+    store.save(prepare.month_intervals(d), f"{name}_intervals")
+
+
+def stored_histories(store: files.ResultStore, name: str, subset: str = "all") -> DataFrame:
+    """Sparse histories of one part of the river system from a stored fold, without a shuffle."""
+    intervals = store.read(f"{name}_intervals")
+    return histories.caught_of_months(store.read(name), subset, intervals=intervals)
+
+
 def history_rows(first: DataFrame, second: DataFrame, subset: str = "all") -> DataFrame:
     """Capture files to the capture rows behind the histories, with their intervals."""
     d = all_captures(first, second, river_number=False, first_last=False)

@@ -6,6 +6,7 @@ query adds its own end.
 
 from __future__ import annotations
 
+from recapspark.sources.schema import CAPTURE_COLUMNS
 from recapspark.sources.standin import CAPTURES_SQL, DRAWS_SQL
 
 
@@ -459,6 +460,12 @@ WHERE a.name = 'betaPhi' AND b.name = 'betaPhiMonthly'""",
     )
 
 
+#: Student's t for 95 %, by degrees of freedom from 1 on.
+STUDENT = [
+    12.706204736, 4.30265273, 3.182446305, 2.776445105, 2.570581836, 2.446911851, 2.364624252,
+    2.306004135, 2.262157163, 2.228138852, 2.20098516, 2.17881283, 2.160368656, 2.144786688,
+    2.131449546, 2.119905299, 2.109815578, 2.10092204, 2.093024054, 2.085963447,
+]
 MEANS = ", ".join(
     [
         six("avg(mean)", "meanPhi"),
@@ -636,6 +643,14 @@ SELECT tag, j, dateYM, enc, Water, state, sizeState,
         for month, cell in [(m, f"dateYM = '{m}'") for m in MONTHS] + [("NA", "dateYM IS NULL")]
     )
     sql["eh_wide_main"] = main + f"SELECT tag, {columns} FROM long GROUP BY tag"
+    kinds = ("tag, j, dateYM, enc, Water, riverN, state, sizeState, "
+             + six("dateMedianDiffMonth", "dateMedianDiffMonth"))
+    sql["eh_store"] = chain(
+        "target", *cells("main"), ("triblong", chain("target", *cells("trib")) + "SELECT * FROM long")
+    ) + (
+        f"SELECT {kinds}, 'main' AS river FROM long"
+        f" UNION ALL SELECT {kinds}, 'trib' AS river FROM triblong"
+    )
     sql["eh_head"] = main + """
 SELECT tag, first, string_agg(CAST(enc AS VARCHAR), ',' ORDER BY j) AS eh
 FROM long JOIN fish USING (tag) GROUP BY tag, first ORDER BY first, tag LIMIT 8"""
@@ -696,7 +711,20 @@ SELECT count(*) FILTER (incomplete) AS nIncomplete, count(*) AS nFish FROM fish"
         "SELECT round(sum(ll), 4) AS loglik, count(*) AS nFish FROM fwd WHERE t = last"
     )
 
+    columns = {c: c for c in CAPTURE_COLUMNS} | {"Date": '"Date"', "Time": '"Time"'}
+    told = []
+    for name, (number, text, kind) in {
+        "Length": (101, "12.5cm", "double"),
+        "Rep": (211, "2.x", "int"),
+        "SpeciesCd": (103, "brown", "int"),
+    }.items():
+        columns[name] = f"CASE WHEN FishNum % {number} <> 0 THEN {name} END AS {name}"
+        told.append(f"CASE WHEN FishNum % {number} = 0 THEN '{name} {text} {kind}' END")
+    sql["csv_problems"] = chain("stand") + (
+        f"SELECT {', '.join(columns.values())}, concat_ws(', ', {', '.join(told)}) AS problems FROM stand"
+    )
     draws = plain(*DRAWS)
+    sql["model_run_store"] = draws + f"SELECT chain, iter, {six('value', 'value')}, {PARAM} FROM draws"
     sql["posterior_draws"] = draws + (
         f"SELECT chain, iter, {six('value', 'value')}, {PARAM} FROM draws"
     )
@@ -770,6 +798,30 @@ FROM db LEFT JOIN pb USING (bin) GROUP BY {PARAM}"""
 SELECT s_from, {six("regr_slope(med_1, med)", "slope")},
   {six("regr_intercept(med_1, med)", "intercept")}, count(*) AS n
 FROM phiboth GROUP BY s_from"""
+    sql["phi_line_band"] = (
+        chain(
+            "target",
+            *labelled(),
+            (
+                "fits",
+                f"""
+SELECT *, ({STUDENT})[CAST(n - 2 AS INT)] AS q FROM (
+  SELECT s_from, count(*) AS n, avg(med) AS mx, regr_sxx(med_1, med) AS sxx,
+    regr_slope(med_1, med) AS b, regr_intercept(med_1, med) AS a,
+    greatest(regr_syy(med_1, med) - regr_slope(med_1, med) * regr_sxy(med_1, med), 0) AS sse
+  FROM phiboth WHERE med IS NOT NULL AND med_1 IS NOT NULL GROUP BY s_from)""",
+            ),
+            (
+                "band",
+                """
+SELECT river, s_from, t, med AS x, a + b * med AS fit, q,
+  CASE WHEN n > 2 THEN sqrt(sse / (n - 2) * (1 / n + pow(med - mx, 2) / sxx)) END AS se
+FROM phiboth JOIN fits USING (s_from) WHERE med IS NOT NULL AND med_1 IS NOT NULL""",
+            ),
+        )
+        + f"SELECT river, s_from, t, x, {six('fit', 'fit')}, {six('se', 'se')},"
+        f" {six('fit - q * se', 'lo')}, {six('fit + q * se', 'hi')} FROM band"
+    )
     sql["phi_by_year"] = lab + f"""
 SELECT river, s_from, year, {six("product(mean)", "phiProd")}, min(dateYM) AS firstDate,
   max(dateYM) AS lastDate

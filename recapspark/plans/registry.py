@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from recapspark.config import SIX_STATE_WEIGHTS
 from recapspark.operators import dedup, growth, histories, hmm, posterior, prepare, tables
-from recapspark.operators.storage import stored
+from recapspark.operators.storage import new_folder, stored
 from recapspark.plans import flows
 from recapspark.sources import files, standin
 from recapspark.sources.schema import CAPTURE_COLUMNS
@@ -130,6 +130,46 @@ def _(spark, sf):
     return d.select("tag", "FishNum", "date", "species", "Length", "Water")
 
 
+#: Fields that the written capture file has wrong, by capture number, and how.
+SPOILED = {"Length": (101, "12.5cm"), "SpeciesCd": (103, "brown"), "Rep": (211, "2.x")}
+
+
+@query("csv_problems")
+def _(spark, sf):
+    """Captures written as CSV with some wrong fields and read back, problems kept."""
+    first, second = standin.capture_files(spark, sf)
+    path = new_folder(spark, "csv")
+    for number, part in enumerate((first, second)):
+        spoiled = part.select(
+            *[
+                F.when(F.pmod("FishNum", F.lit(SPOILED[c][0])) == 0, SPOILED[c][1])
+                .otherwise(F.col(c).cast("string"))
+                .alias(c)
+                if c in SPOILED
+                else F.col(f"`{c}`")
+                for c in (part.columns if number else part.columns[::-1])
+            ]
+        )
+        files.write_csv(spoiled, f"{path}/{number}")
+    back = files.read_captures(spark, [f"{path}/0", f"{path}/1"], rescued="rescued")
+    told = F.transform("rescued.problems", lambda p: F.concat_ws(" ", p["column"], p["value"], p["expected"]))
+    return back.withColumnRenamed("Mark PreCd", "MarkPreCd").select(
+        *CAPTURE_COLUMNS, F.coalesce(F.array_join(F.array_sort(told), ", "), F.lit("")).alias("problems")
+    )
+
+
+@query("model_run_store")
+def _(spark, sf):
+    """Draws stored as runs of two models, the latest run of one read back."""
+    path = new_folder(spark, "runs")
+    draws = _draws(spark, sf)
+    files.save_model_run(draws.filter("chain = 1"), path, "main", "2022-07-26 09")
+    files.save_model_run(draws.filter("chain = 2"), path, "trib", "2022-07-28 11")
+    files.save_model_run(draws, path, "main", "2022-07-27 14")
+    back = files.read_model_run(spark, path, "main")
+    return rounded(back.select("chain", "iter", "value", "name", "s_from", "s_to", "t"), "value")
+
+
 # --- counts and tables -----------------------------------------------------------
 
 
@@ -375,8 +415,23 @@ def _(spark, sf):
 @query("known_state")
 def _(spark, sf):
     dense = histories.encounter_histories(_caught(spark, sf, "main"))
-    long = histories.history_long(dense)
-    return histories.known_state(long).select("tag", "j", "known")
+    known = histories.known_state(dense)
+    return known.select("tag", F.posexplode("known").alias("p", "known")).select(
+        "tag", (F.col("p") + 1).alias("j"), "known"
+    )
+
+
+@query("eh_store")
+def _(spark, sf):
+    """Histories of both rivers from one fold, stored by fish and read by name."""
+    store = files.ResultStore(spark, new_folder(spark, "store"))
+    flows.store_months(store, *standin.capture_files(spark, sf), "months")
+    parts = []
+    for river in ("main", "trib"):
+        dense = histories.encounter_histories(flows.stored_histories(store, "months", river))
+        long = histories.history_long(dense)
+        parts.append(rounded(long, "dateMedianDiffMonth").withColumn("river", F.lit(river)))
+    return parts[0].unionByName(parts[1])
 
 
 @query("interval_vector")
@@ -534,12 +589,19 @@ def _draws(spark, sf) -> DataFrame:
 
 
 def _occasions(spark, sf) -> DataFrame:
-    """Labels and intervals of each river's own months, computed once (one row each)."""
+    """Labels and intervals of each river's own months: both from one fold of the captures."""
+    d = flows.all_captures(
+        *standin.capture_files(spark, sf), occasions=False, river_number=False, first_last=False
+    )
+    rivers = {river: flows.SUBSETS[river] for river in ("main", "trib")}
+    months = histories.fold_months(d, rivers, values=["enc"])
+    months = stored(months.join(dedup.gt_once_per_day_tags(d), "tag", "left_anti"), "months")
+    intervals = stored(prepare.month_intervals(d), "intervals")
     main, trib = (
-        histories.occasion_labels(_caught(spark, sf, river, intervals=True)).withColumn(
-            "river", F.lit(river)
-        )
-        for river in ("main", "trib")
+        histories.occasion_labels(
+            histories.caught_of_months(months, river, intervals=intervals)
+        ).withColumn("river", F.lit(river))
+        for river in rivers
     )
     return stored(main.unionByName(trib))
 
@@ -644,6 +706,12 @@ def _(spark, sf):
     return rounded(posterior.phi_line(_phi_both(spark, sf)), "slope", "intercept")
 
 
+@query("phi_line_band")
+def _(spark, sf):
+    band = posterior.phi_line_band(_phi_both(spark, sf))
+    return rounded(band, "fit", "se", "lo", "hi")
+
+
 @query("phi_by_year")
 def _(spark, sf):
     out = posterior.phi_by_year(_labelled(spark, sf, "betaPhi"))

@@ -83,3 +83,37 @@ def test_locations_and_intervals(spark, tmp_path):
 def test_interval_table_needs_its_columns(spark):
     with pytest.raises(Exception):
         prepare.join_month_intervals(prepared(spark), spark.range(1))
+
+
+def test_problems_are_kept(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Extra,Water,FishNum,Date,Length\nx, R1 ,7,10-06-2020,1\n\ny,NA,oops,,2,more\nz,R2\n"
+                                    "z,R2,8,,long\n")
+    (tmp_path / "b.csv").write_text("Date,Length,Water\n11-06-2020,,R2\n")
+    got = files.read_captures(spark, str(tmp_path), rescued="bad").collect()
+    assert len(got) == 5
+    bad = {}
+    for r in got:
+        if r["bad"]:
+            bad[r["bad"]["file"].rsplit("/", 1)[1], r["bad"]["line"]] = (
+                r["bad"]["row"], [tuple(p) for p in r["bad"]["problems"]])
+    assert bad == {
+        ("a.csv", 4): ("y,NA,oops,,2,more", [(None, None, "5 fields"), ("FishNum", "oops", "bigint")]),
+        ("a.csv", 5): ("z,R2", [(None, None, "5 fields")]),
+        ("a.csv", 6): ("z,R2,8,,long", [("Length", "long", "double")]),
+    }
+    plain = files.read_captures(spark, str(tmp_path))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, [tuple(r)[:-1] for r in got])) or plain.count() == 5
+
+
+def test_lines_of_a_file_in_many_splits(spark, tmp_path):
+    lines = ["FishNum,Date"] + [f"{i if i % 10 else 'x'},d" for i in range(2, 3002)]
+    (tmp_path / "a.csv").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = files.read_captures(spark, str(tmp_path), rescued="bad")
+        assert got.rdd.getNumPartitions() > 1
+        found = {r["bad"]["line"] for r in got.filter("bad IS NOT NULL").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == {i for i in range(2, 3002) if i % 10 == 0}

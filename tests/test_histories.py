@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from recapspark.operators import dedup, growth, histories, tables
 from recapspark.operators.prepare import month_intervals
 from recapspark.plans import flows, registry
+from recapspark.sources import files, standin
 
 MAIN = (["mainTrib"], ["%in%"], [["main"]])
 TRIB = (["mainTrib"], ["%in%"], [["trib"]])
@@ -177,10 +178,50 @@ def test_pivot_captures_fills_absent_cells_only(spark):
     ([0, 1, 0, 1, 0], [0, 1, 1, 1, None]), ([1, 0, 0], [1, None, None]),
     ([0, 0, 1], [0, 0, 1]), ([0, 0], [None, None])])
 def test_known_state(spark, given, want):
-    df = spark.createDataFrame(
-        [("a", j, e) for j, e in enumerate(given)], "tag string, j int, enc int")
-    got = histories.known_state(df).orderBy("j").collect()
-    assert [r["known"] for r in got] == want
+    df = spark.createDataFrame([("a", ["m"] * len(given), given)],
+                               "tag string, months array<string>, y_enc array<int>")
+    known = histories.known_state(df)
+    assert known.first()["known"] == want
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Generate", "Window", "Exchange"))
+
+
+def test_declared_months(spark):
+    h = dense(spark)
+    months = ["2020-05", "2020-06", "2020-07", "2020-09", None]
+    wide = histories.history_wide(h, "sizeState", months)
+    assert wide.columns[1:] == ["date_2020-05", "date_2020-06", "date_2020-07", "date_2020-09", "date_NA"]
+    got = {tuple(r) for r in wide.collect()}
+    assert got == {("a1", 0, 1, 2, 0, 0), ("b2", 0, 3, 0, 3, 0), ("d4", 0, 0, 1, 0, 0), ("f6", 0, 0, 2, 0, 0)}
+    with pytest.raises(Exception, match="declared months: b2 2020-09"):
+        histories.history_wide(h, "sizeState", months[:3]).collect()
+    undated = dense(spark, rows=FISH + [("z9", None, None, 300, "M", 328)])
+    assert {r["date_NA"] for r in histories.history_wide(undated, "enc", months).collect()} == {0, 1}
+    with pytest.raises(Exception, match="declared months: z9"):
+        histories.history_wide(undated, "enc", months[:4]).collect()
+
+
+def test_stored_fold_needs_no_shuffle(spark, tmp_path):
+    first, second = standin.capture_files(spark, SMALL)
+    store = files.ResultStore(spark, str(tmp_path))
+    flows.store_months(store, first, second, "months")
+    for subset in ("main", "all"):
+        caught = flows.stored_histories(store, "months", subset)
+        want = flows.caught_months(first, second, subset, True, True)
+        columns = [c for c in caught.columns if c != "cells"]
+        assert sorted(map(str, caught.select(*columns).collect())) == sorted(
+            map(str, want.select(*columns).collect()))
+        assert caught.select("cells.state").count() == want.count()
+    months = store.read("months")
+    plan = months.groupBy("tag").count().join(months, "tag")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("BroadcastExchange", "")
+    # by name, from another session, and the latest version
+    other = files.ResultStore(spark.newSession(), str(tmp_path))
+    assert other.read("months").count() == months.count() > 0
+    store.save(months.limit(1), "months", by="tag", buckets=2)
+    assert other.read("months").count() == 1 and store.manifest().count() == 3
+    with pytest.raises(KeyError):
+        store.read("nothing")
 
 
 def test_growth_on_fixture(spark):

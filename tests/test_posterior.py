@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from recapspark.functions import scalar
 from recapspark.functions.quantiles import grouped_quantiles
 from recapspark.operators import skew
 from recapspark.operators import posterior, tables
@@ -121,3 +122,22 @@ def test_standin_draws_cover_all_parameters(spark):
     per = d.groupBy(*posterior.PARAMETER, "chain").count()
     assert per.count() == 30
     assert d.count() == d.select(*posterior.PARAMETER, "chain", "iter").distinct().count()
+
+
+def test_student_quantiles(spark):
+    df = spark.range(1, 1200).select("id", scalar.student_quantile(F.col("id")).alias("q"))
+    got = {r["id"]: r["q"] for r in df.collect()}
+    for n, want in {1: 12.7062047362, 2: 4.3026527297, 3: 3.1824463053, 10: 2.2281388520, 30: 2.0422724563,
+                    120: 1.9799304050, 1000: 1.9623390808}.items():
+        assert got[n] == pytest.approx(want, abs=2e-9)
+    values = [got[n] for n in sorted(got)]
+    assert values == sorted(values, reverse=True)
+    assert spark.range(1).select(scalar.student_quantile(F.lit(0))).first()[0] is None
+
+
+def test_contingency_of_very_many_levels(spark):
+    for rows, columns in (("a", "b"), ("b", "a")):
+        many = spark.range(60_000).select(F.col("id").alias("a"), F.pmod("id", F.lit(3)).alias("b"))
+        got = tables.contingency(many, rows, columns)
+        assert got.count() == 180_000 and got.agg(F.sum("n")).first()[0] == 60_000
+        assert got.filter("n = 0").count() == 120_000
