@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by navigable small-world graphs per shard.
 
 Different vectors are dealt to shards by a hash. Each shard gets a hierarchical graph; every vector
-queries every shard. The beam of a shard is widened until an audit of some of its vectors
-against brute force finds enough of their links, and for a single query while its beam holds
-nothing but links. What is found is verified by the cosine in double precision, and linked
+queries every shard. The beam of a shard is widened until an audit against brute force, with
+queries as far from its vectors as a link may be, finds enough of their links, and for a single
+query while its beam holds nothing but links. A shard is only scanned if its graph failed the audit with
+every beam; rows tell recall, beam and scan of their shard. What is found is verified by the cosine in double precision, and linked
 vectors are united.
 
 Vectors that are NULL or zero, or hold NULL or non-finite components, and rows without
@@ -25,8 +26,10 @@ from recapspark.llm.components import connected_components
 from recapspark.operators.storage import stored
 
 LEAST_COSINE = 0.95
-SHARDS = 8  # at least
+SHARDS = 8  # as soon as each has ``LEAST_ROWS``
+LEAST_ROWS = 2_000
 SHARD_ROWS = 250_000  # about, at most
+SHARD_BYTES = 512 << 20  # of a shard's vectors and links, about, at most
 BLOCK_ROWS = 20_000  # queries a task sends to one shard, about
 LINKS = 16  # per node and layer; twice that on the lowest
 BUILD_BEAM = 48
@@ -163,6 +166,7 @@ class Graph:
 
     def __init__(self, x: np.ndarray, seed: int = 1):
         self.x, n = x, len(x)
+        self.searches = 0  # queries answered by the graph
         draw = np.random.default_rng(seed).random(n)
         level = np.floor(-np.log(np.maximum(draw, 1e-12)) / np.log(LINKS)).astype(int)
         order = np.argsort(-level, kind="stable")
@@ -213,10 +217,12 @@ class Graph:
     def near(self, queries, beam):
         return search(self.x, self.layers[-1], queries, self._entries(queries), beam)
 
-    def links_of(self, queries, beam, least):
+    def links_of(self, queries, beam, least, scan=False):
         """``(query, node)`` of all pairs found at ``least`` or nearer.
 
-        Beams that end among links are doubled; one that would see much of the shard becomes a scan.
+        Every query goes through the graph. Beams that end among links are doubled; a beam that
+        would then see much of the shard becomes a scan, for those queries alone. ``scan`` is for
+        shards whose graph did not pass its audit.
         """
         n = len(self.x)
         todo, found = np.arange(len(queries)), []
@@ -225,25 +231,28 @@ class Graph:
             again = []
             for i in range(0, len(todo), size):
                 rows = todo[i : i + size]
-                if beam * LINKS >= n:
+                if scan:
                     q, node = np.nonzero(queries[rows] @ self.x.T >= least)
                     found.append((rows[q], node))
                     continue
                 ids, scores = self.near(queries[rows], beam)
+                self.searches += len(rows)
                 whole = scores[:, -1] < least
                 q, place = np.nonzero((scores >= least) & whole[:, None])
                 found.append((rows[q], ids[q, place]))
                 again.append(rows[~whole])
             todo = np.concatenate(again) if again else todo[:0]
             beam *= 2
+            scan = beam * LINKS >= n
         q, node = (np.concatenate(c) for c in zip(*found)) if found else (todo, todo)
         return q.astype(np.int64), node.astype(np.int64)
 
-    def audited_beam(self, least: float, beam: int = BEAM) -> tuple[int, float]:
-        """Widen the beam until an audit finds ``RECALL`` of links.
+    def audited_beam(self, least: float, beam: int = BEAM) -> tuple[int, float, bool]:
+        """The beam with which the graph finds ``RECALL`` of links, its recall, and whether to scan.
 
         Queries lie as far from some vectors of the shard as a link may be, in random directions:
-        the hardest links, and every shard has them.
+        the hardest links, and every shard has them. Only where no beam short of the whole shard
+        does, the shard is to be scanned.
         """
         n = len(self.x)
         rng = np.random.default_rng(2)
@@ -255,14 +264,15 @@ class Graph:
         queries = cosine * own + np.sqrt(1 - cosine * cosine) * aside
         truth = queries @ self.x.T >= least
         while True:
-            if beam * LINKS >= n:
-                return beam, 1.0
-            q, node = self.links_of(queries, beam, least)
+            ids, scores = self.near(queries, beam)
             hit = np.zeros(truth.shape, bool)
-            hit[q, node] = True
-            recall = (hit & truth).sum() / max(1, truth.sum())
-            if recall >= RECALL:
-                return beam, float(recall)
+            q, place = np.nonzero(scores >= least)
+            hit[q, ids[q, place]] = True
+            # a beam full of links is widened for its query alone, so it misses nothing
+            hit[scores[:, -1] >= least] = True
+            recall = float((hit & truth).sum() / max(1, truth.sum()))
+            if recall >= RECALL or beam >= n:
+                return beam, recall, recall < RECALL
             beam *= 2
 
 
@@ -294,7 +304,7 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build(nodes: DataFrame, least: float) -> DataFrame:
-    """``(width, shard, graph)``: one serialised graph per shard with its audited beam."""
+    """``(width, shard, recall, beam, scan, graph)``: one serialised graph per shard, audited."""
 
     def run(key, table):
         vectors = np.stack(table.column("embedding").to_numpy())
@@ -302,20 +312,20 @@ def build(nodes: DataFrame, least: float) -> DataFrame:
         order = np.argsort(own)
         x = unit(vectors[order])
         graph = Graph(x.astype(np.float32))
-        beam, recall = graph.audited_beam(least - _SLACK)
+        beam, recall, scan = graph.audited_beam(least - _SLACK)
         data = pickle.dumps(
             {"x": x, "node": own[order], "n": table.column("n").to_numpy()[order],
-             "layers": graph.layers, "start": graph.start, "beam": beam}
+             "layers": graph.layers, "start": graph.start, "beam": beam, "scan": scan}
         )
         return pa.table(
             {"width": [key[0].as_py()], "shard": [key[1].as_py()], "recall": [recall],
-             "beam": [beam], "graph": pa.array([data], pa.binary())},
+             "beam": [beam], "scan": [scan], "graph": pa.array([data], pa.binary())},
             schema=pa.schema([("width", pa.int32()), ("shard", pa.int32()), ("recall", pa.float64()),
-                              ("beam", pa.int32()), ("graph", pa.binary())]),
+                              ("beam", pa.int32()), ("scan", pa.bool_()), ("graph", pa.binary())]),
         )
 
     return nodes.groupBy("width", "shard").applyInArrow(
-        run, "width int, shard int, recall double, beam int, graph binary"
+        run, "width int, shard int, recall double, beam int, scan boolean, graph binary"
     )
 
 
@@ -329,10 +339,12 @@ def query(graphs: DataFrame, nodes: DataFrame, blocks: int, shards: int, least:
         parts = pickle.loads(graph.column("graph")[0].as_py())
         index = Graph.__new__(Graph)
         index.x = parts["x"].astype(np.float32)
-        index.layers, index.start = parts["layers"], parts["start"]
+        index.layers, index.start, index.searches = parts["layers"], parts["start"], 0
         vectors = unit(np.stack(queries.column("embedding").to_numpy()))
         ids = queries.column("node").to_numpy()
-        q, node = index.links_of(vectors.astype(np.float32), parts["beam"], least - _SLACK)
+        q, node = index.links_of(
+            vectors.astype(np.float32), parts["beam"], least - _SLACK, parts["scan"]
+        )
         true = np.ones(len(q), bool)
         for i in range(0, len(q), 100_000):
             part = slice(i, i + 100_000)
@@ -371,9 +383,14 @@ def near_duplicates(
     shards: int = SHARDS,
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
-    """``(id, n_links, component)`` for every row of ``vectors``."""
+    """``(id, n_links, component, recall, beam, scanned)`` for every row of ``vectors``.
+
+    The last three tell how the graph of the row's shard did in its audit; NULL for rows in none.
+    """
+    exact = vectors.schema[vector_col].dataType.simpleString() == "array<double>"
+    kind = "array<double>" if exact else "array<float>"
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("embedding")
+        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("embedding")
     )
     finite = F.forall("embedding", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
     valid = F.coalesce(
@@ -384,7 +401,9 @@ def near_duplicates(
     nodes = good.groupBy("embedding").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
     nodes = stored(nodes, "vectors")
     n = nodes.count()
-    shards = max(shards, -(-n // shard_rows))
+    width = nodes.agg(F.max(F.size("embedding"))).first()[0] or 1
+    shard_rows = max(1, min(shard_rows, SHARD_BYTES // (12 * width + 8 * LINKS)))
+    shards = max(min(shards, n // LEAST_ROWS), -(-n // shard_rows), 1)
     blocks = max(1, -(-n // BLOCK_ROWS))
     shard = F.pmod(F.xxhash64("embedding", F.lit(11)), F.lit(shards)).cast("int")
     nodes = nodes.withColumn("shard", shard).withColumn("width", F.size("embedding"))
@@ -393,13 +412,17 @@ def near_duplicates(
     links = found.filter(F.col("b").isNull()).groupBy("a").agg(F.sum("links").alias("links"))
     reached = connected_components(found.filter(F.col("b").isNotNull()).select("a", "b"))
     facts = (
-        nodes.select("embedding", "node", "n")
+        nodes.select("embedding", "node", "n", "width", "shard")
+        .join(graphs.select("width", "shard", "recall", "beam", "scan"), ["width", "shard"])
         .join(links, F.col("node") == F.col("a"), "left")
         .join(reached.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
         .select(
             F.col("embedding").alias("_embedding"),
             (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
             F.coalesce("root", "node").alias("component"),
+            "recall",
+            "beam",
+            F.col("scan").alias("scanned"),
         )
     )
     facts = stored(facts, "facts")
@@ -407,4 +430,7 @@ def near_duplicates(
         "id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "id").alias("component"),
+        "recall",
+        "beam",
+        "scanned",
     )
