@@ -90,15 +90,15 @@ def counts(text: str | None) -> tuple[int, ...]:
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              stratum_col: str = "lang") -> DataFrame:
-    """``(id, stratum, counts...)``, one row per row of ``docs``; whole texts."""
+    """``(id, stratum, mark, counts...)``, one row per row of ``docs``; ``mark`` tells texts apart."""
 
     def run(batches):
         for batch in batches:
             rows = np.array([counts(t.as_py()) for t in batch.column(2)], np.int64)
             columns = [pa.array(c) for c in rows.reshape(len(batch), -1).T]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *columns],
-                names=["id", "stratum", *_COUNTS, *_EXTRA],
+                [batch.column(0), batch.column(1), batch.column(3), *columns],
+                names=["id", "stratum", "mark", *_COUNTS, *_EXTRA],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -106,7 +106,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("id"),
         F.col(stratum_col).cast("string").alias("stratum"),
         F.col(text_col).alias("text"),
-    ).mapInArrow(run, f"id {kind}, stratum string, {_SCHEMA}")
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"),
+    ).mapInArrow(run, f"id {kind}, stratum string, mark long, {_SCHEMA}")
 
 
 def _bins() -> list:
@@ -126,24 +127,44 @@ def _bins() -> list:
     ]
 
 
+def _beta_share(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(1 - x, b, a)
+    tiny = 1e-300
+    c, d = 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    value = d
+    for m in range(1, 100 + 20 * int(math.sqrt(max(a, b)))):
+        for term in (
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+        ):
+            d, c = 1 + term * d, 1 + term / c
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            value *= d * c
+        if abs(d * c - 1) < 1e-14:
+            break
+    front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    return math.exp(front) * value / a
+
+
+def at_most(rejected: int, total: int, rate: float) -> float:
+    """Probability that at most ``rejected`` of ``total`` are, each with probability ``rate``."""
+    return 1.0 if rejected >= total else _beta_share(1 - rate, total - rejected, rejected + 1)
+
+
 def binomial_upper(rejected: int, total: int, error: float) -> float:
     """Largest rate under which ``rejected`` or fewer of ``total`` has probability >= ``error``."""
     if rejected >= total:
         return 1.0
-
-    def below(rate):  # P(X <= rejected)
-        logs = [
-            math.lgamma(total + 1) - math.lgamma(k + 1) - math.lgamma(total - k + 1)
-            + k * math.log(rate) + (total - k) * math.log1p(-rate)
-            for k in range(rejected + 1)
-        ]
-        top = max(logs)
-        return math.exp(top) * sum(math.exp(x - top) for x in logs)
-
     low, high = rejected / total, 1.0
     for _ in range(60):
         middle = (low + high) / 2
-        if middle <= 0 or below(middle) >= error:
+        if middle <= 0 or at_most(rejected, total, middle) >= error:
             low = middle
         else:
             high = middle
@@ -153,13 +174,21 @@ def binomial_upper(rejected: int, total: int, error: float) -> float:
 def choose_cutoff(holdout_good, tune_good, tune_bad, risk: float, error: float) -> int | None:
     """The first rejected bin, or None. Arguments: counts per bin 0..BINS; see the module."""
     total = int(sum(holdout_good))
-    best, gain, rejected = None, 0.0, 0
+    best, gain = None, 0.0
     good, bad = max(1, sum(tune_good)), max(1, sum(tune_bad))
+    # rejected of the holdout at each cutoff; the bound grows with it, so halving finds the last
+    rejected = np.cumsum(np.asarray(holdout_good, np.int64)[::-1])[::-1]
+
+    def certified(cut):
+        n = int(rejected[cut])
+        return total > 0 and n <= risk * total and n < total and at_most(n, total, risk) < error
+
+    low, high = 1, BINS + 1  # certified from ``high`` on
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if certified(middle) else (middle + 1, high)
     tail_good = tail_bad = 0
-    for cut in range(BINS, 0, -1):
-        rejected += int(holdout_good[cut])
-        if total == 0 or rejected / total > risk or binomial_upper(rejected, total, error) > risk:
-            break
+    for cut in range(BINS, high - 1, -1):
         tail_good += tune_good[cut]
         tail_bad += tune_bad[cut]
         found = tail_bad / bad - tail_good / good
@@ -173,7 +202,9 @@ def cutoffs(
 ) -> DataFrame:
     """``(stratum, <rule>...)``: the first rejected bin of every rule, NULL where off.
 
-    ``measured`` is :func:`features`, ``labels`` has ``(id, good)``. Labels are counted per
+    ``measured`` is :func:`features`, ``labels`` has ``(id, good)``. A text votes once per stratum,
+    however many rows have it, good only if no label says otherwise: copies aren't independent
+    trials. Equal texts fall into the same half. Labels are counted per
     stratum, rule and bin before they meet, so a task gets at most a few thousand counts.
     """
     marks = (
@@ -181,11 +212,13 @@ def cutoffs(
         .groupBy("id")
         .agg(F.min(F.col("good").cast("int")).alias("good"))
     )
-    half = F.pmod(F.xxhash64("id"), F.lit(2)).alias("half")
+    half = F.pmod(F.xxhash64("mark"), F.lit(2)).alias("half")
+    votes = measured.join(marks, "id").groupBy("stratum", "mark").agg(
+        F.min("good").alias("good"), *[F.first(c).alias(c) for c in (*_COUNTS, *_EXTRA)]
+    )
     stack = ", ".join(f"'{r}', {r}" for r in RULES)
     table = (
-        measured.join(marks, "id")
-        .select("stratum", half, "good", *_bins())
+        votes.select("stratum", half, "good", *_bins())
         .select("stratum", "half", "good", F.expr(f"stack({len(RULES)}, {stack}) as (rule, bin)"))
         .groupBy("stratum", "half", "good", "rule", "bin")
         .count()
