@@ -43,6 +43,8 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def with_revisits(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     """All columns of ``pages`` and ``_digest, _bytes, _refers, _revisit``.
 
+    Callers pass the columns of a record alone; others could bear a working name.
+
     Digests are counted before they meet the pages. Pages of very frequent digests get the answer by
     broadcast and are spread by id in the shuffle join that serves the others.
     """
@@ -186,7 +188,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     each bundle into a file of its own: the row is the bundle without its last four
     bytes, and these, the magic number that ends every seek table, are the line end.
     """
-    rows = with_revisits(pages, id_col, payload_col).select(
+    rows = with_revisits(pages.select(id_col, url_col, payload_col), id_col, payload_col).select(
         F.col(id_col).alias("id"),
         F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"),
