@@ -22,7 +22,7 @@ def _pages(spark):
     rows = [(1, "u", long), (5, None, long), (3, "x\ny", long), (2, "", "b" * 999), (4, "", "b" * 999),
             (7, "v", other), (6, "v", other), (8, None, None), (9, "w", ""), (10, "z", "line\r\n\r\nWARC/1.1\r\n" * 3),
             (11, "y", "c" * 2000), (11, "y", "c" * 2000)]
-    return spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_digest2", F.lit(1))
+    return spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("_raw", "_digest", "_bytes", "_keep", "record_type", "_n")})
 
 
 def test_archive_round_trip(spark):
@@ -103,6 +103,44 @@ def test_shards_of_one_hot_text(spark):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_splitters_follow_the_sizes(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), i, int(n)) for i, (k, n) in enumerate(zip(rng.integers(-(2**62), 2**62, 3000), rng.pareto(1.2, 3000) * 50 + 1))]
+    rows += [(7, 10_000 + i, 40) for i in range(1500)]
+    sizes = spark.createDataFrame(rows, "key long, id long, size long")
+    total = sum(r[2] for r in rows)
+    got = sharding._splitters(sizes, total, 16, 10**9)  # every row is drawn and counts by its size
+    weight = {}
+    for k, _, n in rows:
+        weight[k] = weight.get(k, 0) + n
+    want, before, part = [], 0, 0
+    for k in sorted(weight):
+        now = -(-before * 16 // total)
+        if now > part:
+            want.append(k)
+            part = now
+        before += weight[k]
+    assert got == want
+    few = sharding._splitters(sizes, total, 16, 500)
+    edges = np.array([-(2**63), *few, 2**63 - 1], float)
+    share = np.histogram([r[0] for r in rows], edges, weights=[r[2] for r in rows])[0] / total
+    hot = 60_000 / total
+    assert len(few) >= 8 and sorted(share)[-2] < max(3 / 16, hot)
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_a_third_of_empty_texts(spark, named):
+    rows = [(i if named else None, "" if i % 2 else None) for i in range(5000)] + [(10_000 + i, f"some text {i} " * 20) for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sharding.shard(docs, ranges=256)
+    by_shard = got.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.max("slot").alias("last")).collect()
+    assert len(by_shard) == 16 and all(r["last"] == r["rows"] - 1 for r in by_shard)
+    sizes = [r["bytes"] for r in by_shard]
+    assert max(sizes) < 1.1 * min(sizes)
+    windows = [r[0] for r in sharding.placed(docs, 256)[0].groupBy("range", "part").count().select("count").collect()]
+    assert max(windows) <= 3 * 15_000 / 256
+
+
 def test_equal_texts_share_a_shard(spark):
     rows = [(i, f"text {i % 500} " * 20) for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -236,12 +274,44 @@ def test_recall_on_a_larger_shard():
     x[1500:] = x[:1500] + rng.normal(size=(1500, 32)) * 0.15
     x = hnsw.unit(x).astype(np.float32)
     graph = hnsw.Graph(x)
-    beam, recall = graph.audited_beam(0.95)
+    beam, recall, scan = graph.audited_beam(0.95)
+    assert not scan
     q, node = graph.links_of(x, beam, 0.95)
     truth = (x @ x.T >= 0.95).sum()
     assert recall >= hnsw.RECALL and len(q) >= 0.97 * truth
 
 
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_given_vectors_go_through_the_graph(spark, folder):
+    vectors = plain.table(spark, "embeddings", f"/root/testdata/{folder}")
+    x = hnsw.unit(np.array([r[0] for r in vectors.select("embedding").distinct().collect()]))
+    shards = max(1, min(hnsw.SHARDS, len(x) // hnsw.LEAST_ROWS))
+    graph = hnsw.Graph(x[: len(x) // shards].astype(np.float32))
+    beam, recall, scan = graph.audited_beam(0.95)
+    assert beam < len(graph.x) and recall >= hnsw.RECALL and not scan
+    q, node = graph.links_of(x.astype(np.float32), beam, 0.95)
+    assert graph.searches >= len(x) and len(q) >= 0.98 * (x @ graph.x.T >= 0.95).sum()
+    told = hnsw.near_duplicates(vectors).select("recall", "beam", "scanned").distinct().collect()
+    assert all(r["recall"] >= hnsw.RECALL and not r["scanned"] for r in told)
+
+
+def test_a_failed_audit_is_told(monkeypatch):
+    rng = np.random.default_rng(4)
+    graph = hnsw.Graph(hnsw.unit(rng.normal(size=(600, 16))).astype(np.float32))
+    graph.layers[-1][:] = -1  # a graph without links finds nothing
+    beam, recall, scan = graph.audited_beam(0.95)
+    assert scan and recall < hnsw.RECALL
+    q, _ = graph.links_of(graph.x, beam, 0.95, scan)
+    assert len(set(q.tolist())) == 600 and graph.searches == 0
+
+
+def test_vectors_in_double_precision(spark):
+    rows = [(1, [1e-46, 0.0, 0.0, 0.0]), (2, [1e300, 0.0, 0.0, 0.0]), (3, [1.0, 0.0, 0.0, 0.0]), (4, [2.0, 0.0, 0.0, 0.0]), (5, [0.0] * 4)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["id"]: (r["n_links"], r["component"]) for r in hnsw.near_duplicates(frame).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     for edges in ([(i, i + 1) for i in range(300)], [(0, i) for i in range(1, 300)],
@@ -282,10 +352,22 @@ def test_pipeline(spark):
 
 
 def test_pipeline_on_odd_rows(spark):
-    docs = plain.odd_docs(spark)
-    for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, SMALL)
-        assert docs.count() >= 0, name
+    names = ("_score", "_spans", "_base", "_size", "_hash", "_copy", "_times", "others", "_clean", "row", "size", "id")
+    plain_docs = plain.odd_docs(spark)
+    docs = plain_docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, SMALL)
+        plain_docs = stage(spark, plain_docs, SMALL)
+        assert docs.columns == columns, name
+        rows, given = docs.collect(), {r["doc_id"] for r in before.collect()}
+        assert {r["doc_id"] for r in rows} <= given
+        for r in rows:
+            assert all(r[n] == (None if r["doc_id"] is None else f"{n}{r['doc_id']}") for n in names), name
+        same = [c for c in columns if c not in names]
+        assert sorted(map(str, docs.select(*same).collect())) == sorted(map(str, plain_docs.collect())), name
+    ended = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
+    assert ended.count() == docs.count() > 5
     empty = plain.odd_docs(spark).limit(0)
     for name, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SMALL)

@@ -292,3 +292,61 @@ def test_queries_on_empty_tables(spark, tmp_path, name):
         plain.table(spark, t).limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
     assert SMALL
+
+
+def test_binomial_tail_at_any_size():
+    from math import comb
+
+    for total in (1, 5, 40, 200):
+        for rejected in range(0, total, max(1, total // 7)):
+            for rate in (0.001, 0.05, 0.3, 0.9):
+                want = sum(comb(total, k) * rate**k * (1 - rate) ** (total - k) for k in range(rejected + 1))
+                assert quality.at_most(rejected, total, rate) == pytest.approx(want, rel=1e-9, abs=1e-13)
+    assert quality.at_most(10**7 // 20, 10**7, 0.05) == pytest.approx(0.5, abs=1e-3)
+
+
+def plain_cutoff(holdout, tune_good, tune_bad, risk, error):
+    best, gain = None, 0.0
+    for cut in range(quality.BINS, 0, -1):
+        n, total = int(sum(holdout[cut:])), int(sum(holdout))
+        if not total or n / total > risk or quality.binomial_upper(n, total, error) > risk:
+            break
+        found = sum(tune_bad[cut:]) / max(1, sum(tune_bad)) - sum(tune_good[cut:]) / max(1, sum(tune_good))
+        if found > gain:
+            best, gain = cut, found
+    return best
+
+
+def test_cutoffs_of_many_labels():
+    rng = np.random.default_rng(8)
+    for size in (0, 30, 1000, 10**7):
+        for _ in range(4):
+            shape = 0.5 ** np.arange(quality.BINS + 1)
+            counts = [rng.multinomial(size, s / s.sum()) for s in (shape, shape, shape[::-1] + 0.01)]
+            assert quality.choose_cutoff(*counts, 0.01, 0.001) == plain_cutoff(*counts, 0.01, 0.001)
+
+
+def test_kept_is_what_a_plain_chooser_says(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = plain.table(spark, "documents", folder), plain.table(spark, "labels", folder)
+    docs = docs.unionByName(docs.filter("doc_id % 3 = 0"))  # copies must not vote again
+    marks = labels.select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("good"))
+    got = {r["id"]: r["kept"] for r in quality.judge(docs, marks).collect()}
+    rows = quality.features(docs).select("id", "stratum", "mark", "n_words", "n_repeat_words", *quality._bins(),
+                                         F.pmod(F.xxhash64("mark"), F.lit(2)).alias("half")).collect()
+    good = {r["id"]: r["good"] for r in marks.collect()}
+    strata, votes = {r["stratum"] for r in rows if r["id"] in good}, {}
+    for r in rows:
+        if r["id"] in good:
+            key = r["stratum"], r["mark"]
+            votes[key] = (votes.get(key, (True, r))[0] and good[r["id"]], r)
+    level = 0.05 / (max(1, len(strata)) * len(quality.RULES))
+    cut = {}
+    for s in strata:
+        for rule in quality.RULES:
+            count = lambda half, is_good: np.bincount([int(r[rule]) for g, r in votes.values() if r["stratum"] == s and r["half"] == half and g == is_good], minlength=quality.BINS + 1)
+            cut[s, rule] = plain_cutoff(count(1, True), count(0, True), count(0, False), 0.05 / len(quality.RULES), level)
+    for r in rows:
+        base = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
+        failed = [q for q in quality.RULES if cut.get((r["stratum"], q)) is not None and r[q] >= cut[r["stratum"], q]]
+        assert got[r["id"]] == (not base and not failed)
