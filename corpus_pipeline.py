@@ -9,11 +9,34 @@ from recapspark.llm import bpe, mixing, queries, secrets, simhash, toxicity
 from recapspark.operators.storage import stored
 
 
+#: Columns that the stages work on; all others travel in one struct, so no name can clash.
+CORE = ("doc_id", "text", "source")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in CORE]
+    return docs.select(*CORE, F.struct(*others).alias("others"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed) -> DataFrame:
+    """The documents again; ``changed`` gives new values of some columns."""
+    return df.select(
+        *[
+            changed[c].alias(c)
+            if c in changed
+            else F.col(c)
+            if c in CORE
+            else F.col("others").getField(c).alias(c)
+            for c in columns
+        ]
+    )
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold."""
-    model = queries.toxicity_model(docs, sf_dir)
-    scored = toxicity.score(docs, model)
-    return scored.filter(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    model = queries.toxicity_model(docs.select("doc_id", "text"), sf_dir)
+    scored = toxicity.score(packed(docs), model)
+    return unpacked(scored.filter(F.col("_score") < toxicity.THRESHOLD), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of rows of a group that share the smallest id one stays. A document without id goes if
     its group has one with an id; groups without any id stay as they are.
     """
-    found = simhash.near_duplicates(docs)
+    found = simhash.near_duplicates(docs.select("doc_id", "text"))
     nameless = F.col("id").isNull() & F.col("component").isNull()
     stay = (
         found.filter((F.col("id") == F.col("component")) | nameless)
@@ -31,35 +54,31 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         .select(F.col("id").alias("_id"), "_keep")
     )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_keep"))
-    kept = docs.withColumn("_hash", simhash.text_hash(F.col("text"))).join(stay, same, "left_semi")
+    hashed = packed(docs).withColumn("_hash", simhash.text_hash(F.col("text")))
+    kept = hashed.join(stay, same, "left_semi")
     named = kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "_hash"])
-    return named.unionByName(kept.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    return unpacked(named.unionByName(kept.filter(F.col("doc_id").isNull())), docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a mark; ``n_chars`` follows the text."""
-    scanned = secrets.scan(docs, secrets.fit(docs))
+    scanned = secrets.scan(packed(docs), secrets.fit(docs.select("doc_id", "text")))
     text = secrets.redact(F.col("text"), F.col("_spans"))
-    found = F.size("_spans") > 0
-    return scanned.withColumn("_clean", text).select(
-        *[
-            F.col("_clean").alias("text")
-            if c == "text"
-            else F.when(found, F.length("_clean")).otherwise(F.col(c)).cast("long").alias(c)
-            if c == "n_chars"
-            else F.col(c)
-            for c in docs.columns
-        ]
-    )
+    cleaned = scanned.withColumn("_clean", text)
+    changed = {"text": F.col("_clean")}
+    if "n_chars" in docs.columns:
+        given = F.col("others").getField("n_chars")
+        changed["n_chars"] = (
+            F.when(F.size("_spans") > 0, F.length("_clean")).otherwise(given).cast("long")
+        )
+    return unpacked(cleaned, docs.columns, **changed)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: left out, once, or twice."""
-    mixed = mixing.mix(docs)
-    times = F.sequence(F.lit(1), F.col("_times"))
-    return (
-        mixed.filter(F.col("_times") > 0).withColumn("_copy", F.explode(times)).select(*docs.columns)
-    )
+    mixed = mixing.mix(packed(docs)).filter(F.col("_times") > 0)
+    copies = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return unpacked(copies, docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
