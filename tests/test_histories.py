@@ -323,8 +323,9 @@ def test_growth_on_the_same_day_is_missing_not_an_error(spark):
 def test_wide_query_holds_every_cell(spark):
     wide = registry.QUERIES["eh_wide_main"](spark, SMALL)
     cells = registry.QUERIES["eh_cells_main"](spark, SMALL).collect()
-    named = sorted({r["dateYM"] for r in cells if r["dateYM"]})
-    assert wide.columns == ["tag", *[f"date_{m}" for m in named], "date_NA"]
+    declared = [f"date_{m or 'NA'}" for m in registry.WIDE_MONTHS]
+    assert wide.columns == ["tag", *declared] and declared[-1] == "date_NA"
+    assert {f"date_{r['dateYM'] or 'NA'}" for r in cells} <= set(declared)
     got = [
         (r["tag"], c, r[c]) for r in wide.collect() for c in wide.columns[1:] if r[c]
     ]
