@@ -10,10 +10,12 @@ Everything is DataFrame expressions. ``spans`` of a text lists what was found as
   explains better than one of ordinary identifiers; of other runs, the stretches between ``/``,
   ``_``, ``=`` and ``-`` of at least ``LEAST`` characters that do.
 
-Both Markov models are first-order over character classes, trained on labelled samples
+Both Markov models are first-order over characters, trained on labelled samples
 (a string and whether it is random). The score of a string is the mean log-likelihood ratio
-per transition. NULL and empty texts have no spans. Rows are independent of each other,
-so repeated rows and other columns do not matter.
+per transition; the shorter the string, the higher the score it needs (``bar``). NULL and empty
+texts have no spans. Rows are independent of each other, so repeated rows and other columns do
+not matter. Places come from sums of piece lengths, so the work of a text grows with its length
+and its number of spans.
 """
 
 from __future__ import annotations
@@ -38,14 +40,16 @@ BASE = {
 }
 # The same matches as above where a shorter one can only be dropped: maximal runs.
 _LONG = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
-#: Runs that the Markov models look at: long enough to be told apart.
-LEAST = 20
+#: Shortest runs and stretches that the Markov models look at.
+LEAST = 12
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}+"
 #: Documents (by hash of id) that ordinary words are learnt from, and generated random strings.
 MAX_SAMPLE_DOCS = 500
 RANDOM_SAMPLES = 3_000
-#: Least mean log-likelihood ratio per transition.
+#: Least mean log-likelihood ratio per transition of a string of at least so many characters;
+#: the shorter a string is, the higher it must be.
 THRESHOLD = 0.5
+SURE = 20
 #: A stretch ends before a part that lowers its sum over the threshold by more than this.
 DROP = 5.0
 
@@ -53,6 +57,89 @@ _SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _CUT = _SYMBOLS.index("/")  # this and the symbols after it part the words of a run
 _START = len(_SYMBOLS)  # row of the first character
 _STATES = len(_SYMBOLS) + 1
+_CHUNK = 1024  # characters of a text that are looked through for one place
+_BLOCK = 256  # numbers that are summed in one go
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _before(numbers: Column, join, zero: int = 0) -> Column:
+    """``zero`` joined with all numbers before each of an array, and last with all of them.
+
+    Block by block, so that the growing arrays stay short.
+    """
+
+    def within(block, first):
+        begin = F.array(first)
+        return F.aggregate(
+            block, begin, lambda acc, n: F.concat(acc, F.array(join(F.element_at(acc, -1), n)))
+        )
+
+    def whole(block):
+        return F.aggregate(block, F.lit(zero), join)
+
+    def over(blocks):
+        firsts = within(F.transform(blocks, whole), F.lit(zero))
+        return _let(
+            firsts,
+            lambda first: F.concat(
+                F.flatten(
+                    F.transform(
+                        blocks,
+                        lambda b, i: F.slice(within(b, F.get(first, i)), 1, F.size(b)),
+                    )
+                ),
+                F.array(F.element_at(first, -1)),
+            ),
+        )
+
+    last = F.floor((F.size(numbers) - 1) / _BLOCK).cast("int")
+    blocks = F.transform(
+        F.sequence(F.lit(0), last), lambda b: F.slice(numbers, b * _BLOCK + 1, _BLOCK)
+    )
+    return F.when(F.size(numbers) > 0, _let(blocks, over)).otherwise(F.array(F.lit(zero)))
+
+
+def _between(chunks: Column, start: Column, stop: Column) -> Column:
+    """Characters ``start`` to ``stop`` of a text given in chunks of ``_CHUNK`` characters."""
+    first = F.floor(start / _CHUNK).cast("int")
+    last = F.floor((stop - 1) / _CHUNK).cast("int")
+    near = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+    return F.when(stop > start, F.substr(near, start % _CHUNK + 1, stop - start)).otherwise("")
+
+
+def _rewritten(text: Column, spans: Column, piece) -> Column:
+    """The text with spans (sorted by start) replaced.
+
+    ``piece(chunks, span, at)`` is what stands for the text from ``at``, the furthest end of all
+    spans before, to the end of the span.
+    """
+
+    def pieces(chunks):
+        ends = F.transform(spans, lambda s: s["end"])
+        return _let(
+            _before(ends, lambda a, b: F.greatest(a, b)),
+            lambda at: F.concat(
+                F.zip_with(
+                    spans,
+                    F.slice(at, 1, F.size(spans)),
+                    lambda s, a: piece(chunks, s, a),
+                ),
+                F.array(F.substr(text, F.element_at(at, -1) + 1)),
+            ),
+        )
+
+    chunks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, F.array_join(_let(chunks, pieces), "")).otherwise(text)
+
+
+def bar(length: Column) -> Column:
+    """Least score of a string of so many characters."""
+    short = F.greatest(F.lit(1.0), F.lit(float(SURE)) / F.greatest(length, F.lit(1)))
+    return short * short * short * THRESHOLD
 
 
 def _code(character: Column) -> Column:
@@ -203,7 +290,9 @@ def stretches(run: Column, table: list[float]) -> Column:
 
     def add(acc, c):
         cut = (c < 0) | (c >= _CUT)
-        better = cut & (acc["at"] - acc["start"] >= LEAST) & (acc["sum"] >= acc["best"])
+        size = acc["at"] - acc["start"]
+        enough = acc["sum"] + size * THRESHOLD >= bar(size) * size
+        better = cut & (size >= LEAST) & enough & (acc["sum"] >= acc["best"])
         best = F.when(better, acc["sum"]).otherwise(acc["best"])
         end = F.when(better, acc["at"]).otherwise(acc["end"])
         fell = (end > 0) & (best - acc["sum"] > DROP)
@@ -223,50 +312,53 @@ def stretches(run: Column, table: list[float]) -> Column:
 
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length(run).alias("end")))
     parts = F.aggregate(codes, begin, add, lambda acc: acc["out"])
-    return F.when(log_ratio(run, table) >= THRESHOLD, whole).otherwise(parts)
+    return (
+        F.when(log_ratio(run, table) >= bar(F.length(run)), whole)
+        .when(run.rlike("[/+_=-]"), parts)
+        .otherwise(none)
+    )
 
 
 def _blanked(text: Column, spans: Column) -> Column:
     """The text with blanks in place of the characters of spans (sorted by start)."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def add(acc, s):
-        at = F.greatest(acc["at"], s["start"])
-        gap = F.substr(text, acc["at"] + 1, at - acc["at"])
-        blanks = F.repeat(F.lit(" "), F.greatest(s["end"] - at, F.lit(0)))
-        return F.struct(
-            F.greatest(at, s["end"]).cast("int").alias("at"),
-            F.concat(acc["out"], gap, blanks).alias("out"),
-        )
+    def piece(chunks, s, at):
+        begin = F.greatest(at, s["start"])
+        blanks = F.repeat(F.lit(" "), F.greatest(s["end"] - begin, F.lit(0)))
+        return F.concat(_between(chunks, at, begin), blanks)
 
-    done = F.aggregate(
-        spans, begin, add, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1))
-    )
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return _rewritten(text, spans, piece)
 
 
 def _placed(kind: str, found: str, gaps: str, keep) -> Column:
     """Spans of the matches in column ``found``, given the texts between them."""
-    begin = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")
+    matches = F.zip_with(
+        F.col(found),
+        F.slice(F.col(gaps), 1, F.size(found)),
+        lambda m, g: F.struct(
+            F.length(g).alias("gap"), F.length(m).alias("size"), keep(m).alias("keep")
+        ),
     )
 
-    def add(acc, pair):
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        span = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
-        spans = F.when(keep(pair["match"]), F.concat(acc["spans"], F.array(span)))
-        return F.struct(end.cast("int").alias("at"), spans.otherwise(acc["spans"]).alias("spans"))
+    def spans(pairs):
+        sizes = F.transform(pairs, lambda p: p["gap"] + p["size"])
+        placed = F.zip_with(
+            pairs,
+            F.slice(_before(sizes, lambda a, b: a + b), 1, F.size(pairs)),
+            lambda p, at: F.struct(
+                (at + p["gap"]).alias("start"),
+                F.lit(KINDS.index(kind)).alias("kind"),
+                (at + p["gap"] + p["size"]).alias("end"),
+                p["keep"].alias("keep"),
+            ),
+        )
+        return F.transform(
+            F.filter(placed, lambda s: s["keep"]),
+            lambda s: F.struct(s["start"], s["kind"], s["end"]),
+        )
 
-    pairs = F.transform(
-        F.col(found),
-        lambda m, i: F.struct(m.alias("match"), F.get(F.col(gaps), i).alias("gap")),
-    )
-    placed = F.aggregate(pairs, begin, add, lambda acc: acc["spans"])
-    return F.transform(
-        placed,
-        lambda s: F.struct(s["start"], F.lit(KINDS.index(kind)).alias("kind"), s["end"]),
-    )
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    return F.when(F.size(found) > 0, _let(matches, spans)).otherwise(none)
 
 
 def _value_length(kind: str):
@@ -342,20 +434,12 @@ def base_only(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, mark: str = "<secret>") -> Column:
     """The text with every stretch covered by spans (sorted by start) replaced by ``mark``."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def add(acc, s):
-        gap = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark)))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).cast("int").alias("at"),
-            new.otherwise(acc["out"]).alias("out"),
-        )
+    def piece(chunks, s, at):
+        new = F.concat(_between(chunks, at, s["start"]), F.lit(mark))
+        return F.when(s["start"] >= at, new).otherwise("")
 
-    done = F.aggregate(
-        spans, begin, add, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1))
-    )
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return _rewritten(text, spans, piece)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:

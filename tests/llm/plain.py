@@ -121,3 +121,44 @@ def repeats(rows, length=100):
 
 def table(spark, name, folder="/root/testdata/sf0.001"):
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+
+
+def markov_spans(text, ratios):
+    """Random runs and stretches of a text outside its base spans, by prefix sums and plain loops."""
+    base = [(a, b) for a, _, b in base_spans(text)]
+    rest = "".join(" " if any(a <= i < b for a, b in base) else c for i, c in enumerate(text or ""))
+    n = len(SYMBOLS)
+
+    def gains(string):
+        codes = [n, *map(SYMBOLS.index, string)]
+        return [ratios[a * (n + 1) + b] for a, b in zip(codes, codes[1:])]
+
+    def least(size):
+        return 0.5 * max(1.0, 20 / size) ** 3
+
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", rest):
+        run, size = m.group(), len(m.group())
+        if size < 12:
+            continue
+        if sum(gains(run)) >= size * least(size):
+            out.append((m.start(), 3, m.end()))
+            continue
+        cuts = [i for i, c in enumerate(run) if c in "/_=-+" and SYMBOLS.index(c) >= SYMBOLS.index("/")]
+        if not any(c in "+/_=-" for c in run):
+            continue
+        start, best = 0, None  # best: (sum above the bar, end)
+        for cut in [*cuts, size]:
+            ratio = sum(gains(run[start:cut]))
+            above = ratio - 0.5 * (cut - start)
+            long = cut - start >= 12 and ratio >= (cut - start) * least(cut - start)
+            if long and above >= (best[0] if best else 0.0):
+                best = (above, cut)
+            if cut == size or above <= 0 or (best and best[0] - above > 5):
+                if best:
+                    out.append((m.start() + start, 3, m.start() + best[1]))
+                start, best = cut + 1, None
+    return out

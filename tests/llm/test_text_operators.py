@@ -136,6 +136,52 @@ def test_secrets_within_longer_runs(spark):
     assert got[5] == texts[5]
 
 
+def test_markov_spans_equal_a_plain_scorer(spark):
+    ratios = secrets.fit(plain.table(spark, "documents", "/root/testdata/sf0.01"))
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    names = "home people documents letters summer value parameter ordinary name X9 2024".split()
+
+    def part():
+        if rng.random() < 0.4:
+            return "".join(rng.choices(letters, k=rng.choice([3, 8, 11, 12, 13, 15, 19, 20, 33])))
+        return rng.choice(names)
+
+    def run():
+        return "".join(part() + rng.choice("/_=-+") for _ in range(rng.randrange(6))) + part()
+
+    texts = [" ".join(run() for _ in range(6)) + rng.choice(["", " é token=abcdefghijkl/0123456789abcdef"]) for _ in range(150)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    scanned = secrets.scan(spark.createDataFrame(rows, plain.DOCS), ratios).select("doc_id", "_spans")
+    short = 0
+    for r in scanned.collect():
+        got = [(s["start"], s["kind"], s["end"]) for s in r["_spans"] if s["kind"] == 3]
+        assert got == plain.markov_spans(texts[r["doc_id"]], ratios)
+        short += sum(b - a < 20 for a, _, b in got)
+    assert short > 10
+
+
+def test_many_spans_in_one_text(spark):
+    """Fifty thousand spans: places, counts and redaction without a growing array per span."""
+    rng = random.Random(2)
+    words = ["%032x" % rng.getrandbits(128) for _ in range(50_000)]
+    text = "é " + " ".join(words)
+    rows = [(1, text, "en", "s", len(text))]
+    ratios = [0.0] * (68 * 68)
+    scanned = secrets.scan(spark.createDataFrame(rows, plain.DOCS), ratios)
+    row = scanned.select("_spans", secrets.redact(F.col("text"), F.col("_spans")).alias("c")).first()
+    assert [(s["start"], s["kind"], s["end"]) for s in row["_spans"]] == [(2 + 33 * i, 2, 34 + 33 * i) for i in range(50_000)]
+    assert row["c"] == "é " + " ".join(["<secret>"] * 50_000)
+
+
+@pytest.mark.parametrize("size", [0, 1, 255, 256, 257, 1000])
+def test_running_sums(spark, size):
+    numbers = [(i * 37) % 11 for i in range(size)]
+    frame = spark.createDataFrame([(numbers,)], "n array<int>")
+    got = frame.select(secrets._before(F.col("n"), lambda a, b: a + b).alias("s")).first()["s"]
+    assert got == [sum(numbers[:i]) for i in range(size + 1)]
+
+
 def test_short_terms_match_with_an_edit():
     model = toxicity.Model({"idiot": 1.0, "trash": 1.0, "scum": 1.0, "moron": 0.5}, frozenset(["crash"]))
     scorer = toxicity.Scorer(model)
