@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recapspark.operators.storage import stored
+
 #: Bound of the labelled sample that lexicon and model are fitted on (documents, by hash of id).
 MAX_TRAIN = 20_000
-MAX_TERMS = 2_000
-MAX_COMMON = 50_000
 THRESHOLD = 0.7
 MIN_ODDS = 8.0  # lower bound of a term's odds ratio
 MIN_FUZZY = 4  # shorter terms match only as they are
@@ -246,10 +246,12 @@ def fit(
     """Lexicon and model from at most ``max_train`` labelled documents that are not held out.
 
     ``labels`` has ``(id, toxic)``; a document with several labels is toxic if one says so.
-    Words are counted once per different text, on Spark; the driver gets the lexicon, the
-    common words and seven numbers per training document, all bounded. The logistic model
-    is fitted on hits of terms learnt from the other half of the texts, so it learns
-    how far terms can be trusted on texts they were not learnt from.
+    Words are counted once per different text. Every word or beginning whose odds ratio is
+    above ``MIN_ODDS`` with confidence is a term, however many there are. A common word that an
+    edit of a term would take for it is exempt; only such words leave Spark, with the terms
+    and seven numbers per training document. The logistic model is fitted on hits of terms learnt
+    from the other half of the texts, so it learns how far terms can be trusted on texts
+    they were not learnt from.
     """
     marks = (
         labels.filter(F.col("id").isNotNull() & F.col("toxic").isNotNull())
@@ -270,7 +272,7 @@ def fit(
         for batch in batches:
             words, row = [], []
             for i, text in enumerate(batch.column(0)):
-                own = {w for w in words_of(text.as_py() or "") if 3 <= len(w) <= 40}
+                own = {w for w in words_of(text.as_py() or "") if len(w) >= 3}
                 own |= {w[:n] + "*" for w in own for n in STEMS if len(w) > n}
                 words += own
                 row += [i] * len(own)
@@ -281,7 +283,7 @@ def fit(
             )
 
     fold = F.pmod(F.xxhash64("sha"), F.lit(2))
-    train = train.withColumn("fold", fold.cast("int"))
+    train = stored(train.withColumn("fold", fold.cast("int")), "train")
     totals = {
         (r["fold"], r["toxic"]): r["n"]
         for r in train.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()
@@ -301,34 +303,36 @@ def fit(
         .withColumn("bad", F.col("n10") + F.col("n11"))
         .withColumn("fine", F.col("n00") + F.col("n01"))
     )
+    table = stored(table, "words")
     marked = F.col("bad") * n_clean > 4 * F.col("fine") * n_toxic
-    candidates = (
-        table.filter((F.col("bad") >= 2) & marked)
-        .orderBy(F.desc("bad"), "word")
-        .limit(2 * MAX_TERMS)
-        .collect()
-    )
-    common = (
-        table.filter((F.col("fine") >= 2) & ~marked)
-        .orderBy(F.desc("fine"), "word")
-        .limit(MAX_COMMON)
-        .collect()
-    )
-    common = frozenset(r["word"] for r in common)
+    usual = (F.col("fine") >= 2) & ~marked
 
     def lexicon(folds) -> Model:
+        b = sum((F.col(f"n1{f}") for f in folds), F.lit(0))
+        c = sum((F.col(f"n0{f}") for f in folds), F.lit(0))
         bad = sum(totals.get((f, 1), 0) for f in folds)
         fine = sum(totals.get((f, 0), 0) for f in folds)
-        terms = {}
-        for r in candidates:
-            b, c = sum(r[f"n1{f}"] for f in folds), sum(r[f"n0{f}"] for f in folds)
-            if b:
-                odds = math.log((b + 0.5) / (bad + 1)) - math.log((c + 0.5) / (fine + 1))
-                sure = odds - 1.64 * math.sqrt(1 / b + 1 / (c + 1))
-                if sure > math.log(MIN_ODDS):
-                    terms[r["word"]] = sure
-        best = sorted(terms, key=lambda w: (-terms[w], w))[:MAX_TERMS]
-        return Model({w: terms[w] / terms[best[0]] for w in best}, common)
+        odds = F.log((b + 0.5) / (bad + 1)) - F.log((c + 0.5) / (fine + 1))
+        sure = odds - 1.64 * F.sqrt(1 / F.greatest(b, F.lit(1)) + 1 / (c + 1))
+        found = (
+            table.filter((F.col("bad") >= 2) & marked & (b > 0))
+            .select("word", sure.alias("sure"))
+            .filter(F.col("sure") > math.log(MIN_ODDS))
+            .collect()
+        )
+        most = max((r["sure"] for r in found), default=1.0)
+        terms = {r["word"]: r["sure"] / most for r in sorted(found)}
+
+        def near(batches):
+            automaton = Scorer(Model(terms, frozenset())).automaton
+            for batch in batches:
+                words = batch.column(0).to_pylist()
+                met = [w for w in words if (found := automaton.match(w)) and found[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(met, pa.string())], names=["word"])
+
+        whole = table.filter(usual & ~F.endswith("word", F.lit("*"))).select("word")
+        exempt = whole.mapInArrow(near, "word string").collect()
+        return Model(terms, frozenset(r["word"] for r in exempt))
 
     apart = {0: lexicon([1]), 1: lexicon([0])}
 

@@ -263,6 +263,23 @@ def test_toxicity_odd_rows(spark):
         assert len(rows) == docs.count() and all(0 <= r["_score"] <= 1 for r in rows)
 
 
+def test_every_term_over_the_odds_is_in_the_lexicon(spark):
+    """More terms than any cap would leave, terms of any length, and only words near a term exempt."""
+    rng = random.Random(6)
+    marked = ["".join(rng.choices("bcdfgkmprtz", k=9)) for _ in range(2_500)] + ["q" * 60]
+    usual = ["".join(rng.choices("aeioulns", k=7)) for _ in range(300)]
+    docs, labels = [], []
+    for i in range(240):
+        toxic = i % 2
+        words = rng.choices(usual, k=40) + (marked if toxic else [marked[0][:-1] + "y"] * 3)
+        docs.append((i, " ".join([f"x{i}", *words])))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "id long, toxic int"))
+    assert set(marked) <= set(model.terms) and not set(usual) & set(model.terms)
+    assert marked[0][:-1] + "y" in model.common and len(model.common) < 20
+
+
 def test_quoted_hits_weigh_less():
     model = toxicity.Model({"worthless": 1.0}, frozenset())
     scorer = toxicity.Scorer(model)
