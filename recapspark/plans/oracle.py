@@ -397,6 +397,70 @@ FROM rawdraws""",
     ),
 )
 PARAM = "name, s_from, s_to, t"
+PRIOR = (
+    "prior",
+    """
+SELECT sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) / sqrt(0.1) AS value
+FROM (SELECT ((k * 7919) % 104729 + 0.5) / 104729 AS u1,
+             ((k * 104723) % 15485863 + 0.5) / 15485863 AS u2
+      FROM (SELECT DISTINCT chain, iter, CAST(iter AS BIGINT) * 2 + chain AS k FROM draws))""",
+)
+#: Deviations of every chain from its mean, as a list in order of its iterations.
+DEVIATIONS = (
+    "deviations",
+    f"""
+SELECT {PARAM}, chain, count(*) AS n, list(x ORDER BY iter) AS xs
+FROM (SELECT *, value - avg(value) OVER (PARTITION BY {PARAM}, chain) AS x FROM draws)
+GROUP BY {PARAM}, chain""",
+)
+
+
+def covariances(lags: str) -> tuple[tuple[str, str], ...]:
+    """Covariances at lags 0 to an expression over ``n``, then as a list per chain."""
+    return (
+        DEVIATIONS,
+        (
+            "cov",
+            f"""
+SELECT {PARAM}, chain, n, lag,
+  CASE WHEN lag < n THEN list_dot_product(xs[1:n - lag], xs[lag + 1:n]) / n ELSE 0 END AS c
+FROM (SELECT *, CAST(unnest(range(0, {lags} + 1)) AS INT) AS lag FROM deviations)""",
+        ),
+        (
+            "acf",
+            f"SELECT {PARAM}, chain, n, list(c ORDER BY lag) AS r FROM cov GROUP BY {PARAM}, chain, n",
+        ),
+    )
+
+
+#: Autoregressions of rising order, from the covariances.
+MOST = "least(CAST(floor(10 * log10(n)) AS INT), n - 2)"
+RECURSION = (
+    "ar",
+    f"""
+SELECT {PARAM}, chain, n, r, 0 AS p, r[1] AS v, CAST([] AS DOUBLE[]) AS a FROM acf
+UNION ALL
+SELECT {PARAM}, chain, n, r, p + 1, v * (1 - k * k),
+  list_append(list_transform(range(1, p + 1), lambda j: a[j] - k * a[p + 1 - j]), k)
+FROM (SELECT *, (r[p + 2]
+        - coalesce(list_sum(list_transform(range(1, p + 1), lambda j: a[j] * r[p - j + 2])), 0)) / v AS k
+      FROM ar WHERE p < {MOST})""",
+)
+
+
+def density(source: str, keys: str) -> str:
+    """Kernel density of a table of values at quarters of the bandwidth."""
+    by = f"{keys}, " if keys else ""
+    group = f"GROUP BY {keys}" if keys else ""
+    match = " AND ".join(f"w.{k} IS NOT DISTINCT FROM d.{k}" for k in keys.split(", ")) if keys else "true"
+    own = "".join(f"d.{k}, " for k in keys.split(", ")) if keys else ""
+    return f"""
+SELECT {by}h, cell + away AS pt, sum(c / (n * h) * exp(-pow(away / 4, 2) / 2) / sqrt(2 * pi())) AS density
+FROM (SELECT {own}h, n, CAST(round(value / h * 4) AS BIGINT) AS cell, count(*) AS c
+      FROM {source} d JOIN (SELECT {by}count(*) AS n, 1.06 * stddev_samp(value) * pow(count(*), -0.2) AS h
+                            FROM {source} {group}) w ON {match}
+      GROUP BY ALL) CROSS JOIN (SELECT unnest(range(-16, 17)) AS away)
+GROUP BY {by}h, pt"""
 
 
 def plain(*steps: tuple[str, str]) -> str:
@@ -651,6 +715,19 @@ SELECT tag, j, dateYM, enc, Water, state, sizeState,
         f"SELECT {kinds}, 'main' AS river FROM long"
         f" UNION ALL SELECT {kinds}, 'trib' AS river FROM triblong"
     )
+    sql["eh_bundle_main"] = main + " UNION ALL ".join(
+        f"""
+SELECT tag, '{name}' AS matrix, first, last,
+  string_agg(coalesce(CAST({column} AS VARCHAR), 'NA'), ',' ORDER BY j) AS cells
+FROM long JOIN fish USING (tag) GROUP BY tag, first, last"""
+        for name, column in {
+            "eh": "enc", "riverMatrix": "Water", "riverNMatrix": "riverN",
+            "stateMatrix": "state", "sizeStateMatrix": "sizeState",
+        }.items()
+    )
+    sql["median_dates_given"] = chain("iv") + f"""
+SELECT tag, FishNum, dateYM, occ, {six("dateMedianDiff", "dateMedianDiff")},
+  {six("dateMedianDiffMonth", "dateMedianDiffMonth")} FROM tagged LEFT JOIN iv USING (dateYM)"""
     sql["eh_head"] = main + """
 SELECT tag, first, string_agg(CAST(enc AS VARCHAR), ',' ORDER BY j) AS eh
 FROM long JOIN fish USING (tag) GROUP BY tag, first ORDER BY first, tag LIMIT 8"""
@@ -760,14 +837,7 @@ FROM (SELECT {PARAM}, sum(n) AS total, avg(n) AS size, var_samp(m) AS b,
       GROUP BY {PARAM})"""
     sql["prior_overlap"] = plain(
         *DRAWS,
-        (
-            "prior",
-            """
-SELECT sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) / sqrt(0.1) AS value
-FROM (SELECT ((k * 7919) % 104729 + 0.5) / 104729 AS u1,
-             ((k * 104723) % 15485863 + 0.5) / 15485863 AS u2
-      FROM (SELECT DISTINCT chain, iter, CAST(iter AS BIGINT) * 2 + chain AS k FROM draws))""",
-        ),
+        PRIOR,
         (
             "pb",
             f"""SELECT bin, n / sum(n) OVER () AS share
@@ -781,6 +851,25 @@ FROM (SELECT {PARAM}, floor(value / 0.1) AS bin, count(*) AS n FROM draws GROUP
     ) + f"""
 SELECT {PARAM}, {six("sum(least(db.share, coalesce(pb.share, 0)))", "overlap")}
 FROM db LEFT JOIN pb USING (bin) GROUP BY {PARAM}"""
+    sql["posterior_autocovariance"] = plain(*DRAWS, *covariances("10")) + (
+        f"SELECT {PARAM}, chain, n, lag, {six('c', 'covariance')} FROM cov"
+    )
+    sql["posterior_neff_spectral"] = plain(*DRAWS, *covariances(MOST), RECURSION).replace(
+        "WITH", "WITH RECURSIVE", 1
+    ) + f"""
+SELECT {PARAM}, round(sum(eff), 3) AS nEff FROM (
+  SELECT {PARAM}, chain, arg_min(n * (r[1] * n / (n - 1)) * pow(1 - coalesce(list_sum(a), 0), 2)
+      / (v * n / (n - p - 1)), n * ln(v) + 2 * p) AS eff
+  FROM ar GROUP BY {PARAM}, chain) GROUP BY {PARAM}"""
+    sql["prior_density_overlap"] = plain(
+        *DRAWS, PRIOR, ("post", density("draws", PARAM)), ("around", density("prior", ""))
+    ) + f"""
+SELECT {PARAM}, {six("sum(least(density, coalesce(l, 0) * (1 - x + f) + coalesce(r, 0) * (x - f)) * h / 4)", "overlap")}
+FROM (SELECT *, floor(x) AS f FROM (
+        SELECT *, pt * h / (SELECT max(h) FROM around) AS x FROM post))
+LEFT JOIN (SELECT pt AS lf, density AS l FROM around) ON lf = f
+LEFT JOIN (SELECT pt - 1 AS rf, density AS r FROM around) ON rf = f
+GROUP BY {PARAM}"""
     lab = chain("target", *labelled())
     sql["posterior_labelled"] = lab + (
         f"SELECT {PARAM}, mean, sd, lo, med, hi, dateYM, year, month, river FROM lab"

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recapspark.config import SIX_STATE_WEIGHTS
-from recapspark.operators import dedup, growth, histories, hmm, posterior, prepare, tables
+from recapspark.operators import (
+    dedup, diagnostics, growth, histories, hmm, posterior, prepare, tables,
+)
 from recapspark.operators.storage import new_folder, stored
 from recapspark.plans import flows
 from recapspark.sources import files, standin
@@ -434,6 +436,37 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+#: Matrices of the bundle of histories, and the columns of the long table they show.
+MATRICES = {
+    "eh": "enc", "riverMatrix": "Water", "riverNMatrix": "riverN", "stateMatrix": "state",
+    "sizeStateMatrix": "sizeState",
+}
+
+
+@query("eh_bundle_main")
+def _(spark, sf):
+    """All matrices of the bundle, a row per fish and matrix, with first and last occasion."""
+    bundle = flows.history_bundle(*standin.capture_files(spark, sf), "main")
+    out = None
+    for name in MATRICES:
+        cells = [F.col(f"`{c}`").cast("string") for c in bundle[name].columns if c != "tag"]
+        row = F.array_join(F.array(*cells), ",", "NA")
+        part = bundle[name].select("tag", F.lit(name).alias("matrix"), row.alias("cells"))
+        out = part if out is None else out.unionByName(part)
+    return out.join(bundle["firstLast"], "tag")
+
+
+@query("median_dates_given")
+def _(spark, sf):
+    """Month medians written as CSV, read back, and joined to the captures they came from."""
+    d = _tagged(spark, sf)
+    path = new_folder(spark, "medians")
+    files.write_csv(prepare.month_intervals(d), path)
+    joined = prepare.join_month_intervals(d, files.read_month_intervals(spark, path))
+    out = joined.select("tag", "FishNum", "dateYM", "occ", "dateMedianDiff", "dateMedianDiffMonth")
+    return rounded(out, "dateMedianDiff", "dateMedianDiffMonth")
+
+
 @query("interval_vector")
 def _(spark, sf):
     out = histories.interval_vector(_caught(spark, sf, "main", intervals=True))
@@ -671,6 +704,26 @@ def _(spark, sf):
     )
 
 
+@query("posterior_autocovariance")
+def _(spark, sf):
+    found = diagnostics.autocovariance(_draws(spark, sf), 10)
+    keys = [*posterior.PARAMETER, "chain", "n"]
+    each = found.select(*keys, F.posexplode("covariances").alias("lag", "covariance"))
+    return rounded(each, "covariance")
+
+
+@query("posterior_neff_spectral")
+def _(spark, sf):
+    out = diagnostics.n_eff_spectral(_draws(spark, sf))
+    return out.withColumn("nEff", F.round("nEff", 3))
+
+
+@query("prior_density_overlap")
+def _(spark, sf):
+    draws = _draws(spark, sf)
+    return rounded(diagnostics.density_overlap(draws, posterior.prior_draws(draws)), "overlap")
+
+
 @query("posterior_labelled")
 def _(spark, sf):
     runs, occasions = _runs(spark, sf), _occasions(spark, sf)
