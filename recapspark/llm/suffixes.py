@@ -19,6 +19,12 @@ equal anchors. Neighbouring windows with the same anchor form a run; only runs t
 4. An anchor with more than ``crowded`` contents is taken apart: each of its windows travels
    alone, with its own hash as anchor.
 
+Runs meet by anchor, but those of anchors with ``heavy`` runs or more meet by anchor and content, so a
+phrase that a third of all documents share, each time in other surroundings, spreads over all tasks;
+how many contents it has is counted afterwards. Which anchors are heavy is found from the documents whose
+hash is divisible by ``sample``. It only decides where a run travels: an anchor that the
+sample misses meets in one task, with the same result.
+
 A NULL text is empty. A NULL id comes after all others. Rows with equal id are one
 document as far as order goes: a string at the same place in both is not earlier. No rows in, no
 rows out.
@@ -37,6 +43,8 @@ from recapspark.operators.storage import stored
 LENGTH = 100
 GRAM = 24
 CROWDED = 50_000
+HEAVY = 4_000
+SAMPLE = 64
 BUFFER_BYTES = 1 << 20  # bytes hashed at once
 BLOCK_BYTES = 2 << 20  # bytes of one transform
 _LAST = (1 << 63) - 1
@@ -129,7 +137,7 @@ def _settle(anchor, content, doc, start) -> tuple[np.ndarray, np.ndarray]:
 
 
 # kinds of rows
-_OPEN, _COVERED, _DIFFERS, _CROWDED = range(4)
+_OPEN, _COVERED, _DIFFERS, _CROWDED, _SPREAD = range(5)
 _ROW = pa.schema(
     [("key", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()),
      ("start", pa.int64()), ("size", pa.int32()), ("kind", pa.int32())]
@@ -191,9 +199,45 @@ def _all_runs(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("doc", "tag", "text").mapInArrow(run, _ROW_SQL)
 
 
+def _heavy_anchors(docs: DataFrame, length: int, heavy: int, sample: int) -> DataFrame:
+    """Anchors with about ``heavy`` runs or more, judged by the documents of the sample."""
+    part = docs.filter(F.pmod("tag", F.lit(sample)) == 0)
+    counted = _all_runs(part, length).filter(F.col("kind") == _OPEN).groupBy("key")
+    return stored(
+        counted.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * sample >= heavy).select("key"),
+        "heavy",
+    )
+
+
+def _spread_heavy(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """The open runs of heavy anchors marked. Spark broadcasts the anchors only if they are few."""
+    named = heavy.select(F.col("key").alias("_key"))
+    marked = rows.join(named, F.col("key") == F.col("_key"), "left")
+    spread = F.col("_key").isNotNull() & (F.col("kind") == _OPEN)
+    return marked.withColumn("kind", F.when(spread, _SPREAD).otherwise(F.col("kind"))).drop("_key")
+
+
+def _judge_spread(rows: DataFrame, crowded: int) -> DataFrame:
+    """Runs whose anchors were spread, now by the number of contents of their anchor."""
+    heads = rows.filter(F.col("kind") == _SPREAD)
+    # one row per heavy anchor
+    counts = heads.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_contents"))
+    several = counts.filter("_contents > 1")
+    kind = F.when(F.col("_contents") > crowded, _CROWDED).otherwise(_DIFFERS)
+    judged = heads.join(several, F.col("key") == F.col("_key")).withColumn("kind", kind)
+    return rows.filter(F.col("kind") != _SPREAD).union(judged.select(*rows.columns))
+
+
 def _compare_runs(rows: DataFrame, crowded: int) -> DataFrame:
-    """Runs brought together by anchor: what is covered, and what must be looked at."""
-    spread = F.when(F.col("kind") == _OPEN, F.col("key")).otherwise(F.xxhash64("doc", "start"))
+    """Runs brought together by anchor: what is covered, and what must be looked at.
+
+    Of marked runs the first of every content stay marked.
+    """
+    spread = (
+        F.when(F.col("kind") == _OPEN, F.col("key"))
+        .when(F.col("kind") == _SPREAD, F.xxhash64("key", "content"))
+        .otherwise(F.xxhash64("doc", "start"))
+    )
 
     def run(batches):
         table = pa.Table.from_batches(list(batches), _ROW)
@@ -211,6 +255,7 @@ def _compare_runs(rows: DataFrame, crowded: int) -> DataFrame:
         contents = counts[which]
         several = heads[contents > 1]
         kinds[several] = np.where(contents[contents > 1] > crowded, _CROWDED, _DIFFERS)
+        kinds[heads[c["kind"][heads] == _SPREAD]] = _SPREAD
         keep = kinds >= 0
         c["kind"] = kinds
         yield _rows(*(c[n][keep] for n in _ROW.names))
@@ -454,6 +499,8 @@ def repeats(
     text_col: str = "text",
     length: int = LENGTH,
     crowded: int = CROWDED,
+    heavy: int = HEAVY,
+    sample: int = SAMPLE,
 ) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept)`` per row; ``kept`` are the bytes that stay."""
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
@@ -463,7 +510,13 @@ def repeats(
         F.pmod(F.xxhash64(text), F.lit(1 << 31)).cast("int").alias("tag"),
         text.alias("text"),
     )
-    rows = stored(_compare_runs(_all_runs(keyed, length), crowded), "runs")
+    found = _all_runs(keyed, length)
+    anchors = _heavy_anchors(keyed, length, heavy, sample)
+    if anchors.isEmpty():
+        rows = stored(_compare_runs(found, crowded), "runs")
+    else:
+        rows = stored(_compare_runs(_spread_heavy(found, anchors), crowded), "runs")
+        rows = _judge_spread(rows, crowded)
     covered = rows.filter(F.col("kind") == _COVERED).select("doc", "tag", "start", "size")
     covered = covered.union(_cover(_cut(keyed, rows, length), length))
     per_doc = covered.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(

@@ -323,15 +323,45 @@ def test_crowded_blocks(spark):
         assert plain.components(range(len(fps)), edges) == want
 
 
-@pytest.mark.parametrize("crowded", [50_000, 1])
-def test_repeats(spark, docs, crowded):
+@pytest.mark.parametrize(
+    "options", [{}, {"crowded": 1}, {"heavy": 2, "sample": 1}, {"heavy": 3, "sample": 2, "crowded": 1}]
+)
+def test_repeats(spark, docs, options):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want = _by_key((i, *x) for (i, _), x in zip(rows, plain.repeats(rows)))
-    got = suffixes.repeats(docs, crowded=crowded).collect()
+    got = suffixes.repeats(docs, **options).collect()
     got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got]
     assert _by_key(got) == want
 
 
+def test_heavy_anchor_is_spread(spark):
+    """One phrase in every document, each time between other words, and one passage in many."""
+    rng = np.random.default_rng(12)
+    phrase = "a phrase shared by all of them, long, yet shorter than what counts as a repeat"
+    words = ["".join(chr(97 + x) for x in rng.integers(0, 26, 9)) for _ in range(3000)]
+    passage = " ".join(words[:20])
+    rows = []
+    for i in range(400):
+        some = [words[j] for j in rng.integers(20, 3000, 24)]
+        text = " ".join([*some[:12], phrase, *some[12:]])
+        rows.append((i, f"{text} {passage}" if i % 3 == 0 else text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keyed = docs.select(
+        F.col("doc_id").alias("doc"), F.lit(0).alias("tag"), F.col("text").cast("binary").alias("text")
+    )
+    anchors = suffixes._heavy_anchors(keyed, suffixes.LENGTH, 150, 1)
+    assert anchors.count() > 0
+    marked = suffixes._spread_heavy(suffixes._all_runs(keyed, suffixes.LENGTH), anchors).cache()
+    open_, spread = (marked.filter(F.col("kind") == k) for k in (suffixes._OPEN, suffixes._SPREAD))
+    assert open_.join(anchors, "key").count() == 0
+    assert spread.join(anchors, "key", "left_anti").count() == 0 and spread.count() >= 150
+    want = _by_key((i, *x) for (i, _), x in zip(rows, plain.repeats(rows)))
+    for options in ({}, {"heavy": 150, "sample": 1}, {"heavy": 150, "sample": 1, "crowded": 50}):
+        got = suffixes.repeats(docs, **options).collect()
+        got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got]
+        assert _by_key(got) == want
+
+
 def test_bounded_prefixes():
     rng = np.random.default_rng(8)
     for size, letters in ((300, 2), (500, 3), (400, 20)):
