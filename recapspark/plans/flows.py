@@ -92,11 +92,11 @@ def history_bundle(
 ) -> dict[str, DataFrame]:
     """Everything about the histories of one part of the river system, by name.
 
-    Stores the histories once; the tables start from there. ``eh`` and the matrices of
+    Stores the histories once, sparse and dense; the tables start from there. ``eh`` and the matrices of
     river, river number, state and size state are wide, one row per fish.
     """
     caught = stored(caught_months(first, second, subset, True, True))
-    dense = histories.encounter_histories(caught)
+    dense = stored(histories.encounter_histories(caught), "histories")
     rows = history_rows(first, second, subset)
     wide = {
         "eh": "enc",
