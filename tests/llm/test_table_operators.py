@@ -389,3 +389,28 @@ def test_queries_on_empty_tables(spark, tmp_path, name):
     run = corpus_pipeline.run if name == "pipeline" else queries.QUERIES[name]
     assert run(spark, str(tmp_path)).count() == 0
     assert secrets and simhash and toxicity
+
+
+def test_graphs_hold_vectors_once_and_queries_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "QUERY_ROWS", 300)
+    monkeypatch.setattr(hnsw, "PAIR_ROWS", 50)
+    monkeypatch.setattr(hnsw, "SPREAD_ROWS", 100)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(800, 16))
+    x = np.concatenate([x, x[:400] + 0.05 * rng.normal(size=(400, 16))]).astype(np.float32)
+    frame = spark.createDataFrame(
+        [(i, v.tolist(), 1, 16, 0) for i, v in enumerate(x)],
+        "node long, embedding array<float>, n long, width int, shard int",
+    )
+    graphs = hnsw.build(frame, 0.95).localCheckpoint()
+    # a float vector, its links, id and count; no second vector in doubles, no empty upper layers
+    assert len(graphs.first()["graph"]) < len(x) * (4 * 16 + 8 * hnsw.LINKS + 64)
+    found = hnsw.query(graphs, frame, 1, 1, 0.95).collect()
+    unit = hnsw.unit(x)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = {r["a"]: r["links"] for r in found if r["b"] is None}
+    want = {i: int(n) for i, n in enumerate(near.sum(1)) if n}
+    assert sum(got.values()) >= 0.98 * sum(want.values()) and all(n <= want[i] for i, n in got.items())
+    ends = {r["a"] for r in found if r["b"] is not None} | {r["b"] for r in found if r["b"] is not None}
+    assert ends == set(got)
