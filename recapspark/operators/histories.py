@@ -19,6 +19,8 @@ from recapspark.operators.skew import CAPTURE_SPREAD, attach_facts
 
 #: Sorts behind every ``yyyy-MM``; stands for the month of undated captures.
 UNDATED = "~"
+#: Stands for all months that a declared wide table has no column for.
+OTHER = "other"
 _NO_TIME = "9999-12-31 23:59:59.999999"
 
 INTERVAL = "dateMedianDiffMonth"
@@ -409,7 +411,9 @@ def history_wide(
 
     ``months`` declares the columns, None standing for undated captures (``date_NA``); no
     job is needed to learn them. A declared month that nobody was caught in shows the fill value.
-    A captured cell outside of them stops the query with an error that names the fish and the month.
+    A captured cell outside of them stops the query with an error that names the fish and the month,
+    unless ``OTHER`` is declared: then ``date_other`` lists those cells as ``month:value``, in month
+    order, comma-joined; NULL if there are none.
 
     Without ``months`` the columns are data: all months of the first history (every history
     has the same), so ``histories`` should be stored by then.
@@ -425,21 +429,35 @@ def history_wide(
             ],
         )
     own = F.transform("months", lambda m: F.coalesce(m, F.lit(UNDATED)))
-    declared = F.array(*[F.lit(m or UNDATED) for m in months]).cast("array<string>")
+    named = [m or UNDATED for m in months if m != OTHER]
+    declared = F.array(*map(F.lit, named)).cast("array<string>")
     fill = F.lit(CELL_FILL.get(value))
-    caught = F.filter(F.arrays_zip(own.alias("m"), F.col("y_enc").alias("e")), lambda c: c["e"] > 0)
-    outside = F.filter(F.transform(caught, lambda c: c["m"]), lambda m: ~F.array_contains(declared, m))
-    message = F.concat_ws(" ", F.lit("captured outside the declared months:"), "tag", F.get(outside, F.lit(0)))
+    cells = F.arrays_zip(own.alias("m"), F.col("y_enc").alias("e"), F.col(f"y_{value}").alias("v"))
+    outside = F.filter(cells, lambda c: (c["e"] > 0) & ~F.array_contains(declared, c["m"]))
+    month = F.get(F.transform(outside, lambda c: c["m"]), F.lit(0))
+    message = F.concat_ws(" ", F.lit("captured outside the declared months:"), "tag", month)
+    text = F.transform(
+        outside, lambda c: F.concat(c["m"], F.lit(":"), F.coalesce(c["v"].cast("string"), F.lit("NA")))
+    )
+    tag = F.col("tag")
+    if OTHER not in months:
+        tag = F.when(F.size(outside) > 0, F.raise_error(message)).otherwise(tag).alias("tag")
+
     def shown(month):
         place = F.array_position(own, month).cast("int")
         return F.when(place > 0, F.get(f"y_{value}", place - 1)).otherwise(fill)
 
     return histories.select(
-        F.when(F.size(outside) > 0, F.raise_error(message)).otherwise(F.col("tag")).alias("tag"),
+        tag,
         F.transform(declared, shown).alias("_shown"),
+        F.nullif(F.array_join(text, ","), F.lit("")).alias("_other"),
     ).select(
         "tag",
-        *[F.get("_shown", F.lit(i)).alias(f"date_{m or 'NA'}") for i, m in enumerate(months)],
+        *[
+            (F.col("_other") if m == OTHER else F.get("_shown", F.lit(named.index(m or UNDATED))))
+            .alias(f"date_{m or 'NA'}")
+            for m in months
+        ],
     )
 
 

@@ -476,8 +476,8 @@ SELECT {by}, {digits("avg(value)", "mean")}, {digits("stddev_samp(value)", "sd")
 FROM {source} GROUP BY {by}"""
 
 
-#: Columns of the wide table: all calendar months of the orders.
-MONTHS = [f"{year}-{month:02}" for year in range(1995, 2002) for month in range(1, 13)][:80]
+#: Columns of the wide table: all calendar months of the orders. Cells of any other go to one column.
+MONTHS = [f"{year}-{month:02}" for year in range(1992, 2002) for month in range(1, 13)]
 
 
 def labelled() -> tuple[tuple[str, str], ...]:
@@ -706,7 +706,10 @@ SELECT tag, j, dateYM, enc, Water, state, sizeState,
         f' AS "date_{month}"'
         for month, cell in [(m, f"dateYM = '{m}'") for m in MONTHS] + [("NA", "dateYM IS NULL")]
     )
-    sql["eh_wide_main"] = main + f"SELECT tag, {columns} FROM long GROUP BY tag"
+    months = ", ".join(f"'{m}'" for m in MONTHS)
+    other = f"""string_agg(dateYM || ':' || coalesce(CAST(sizeState AS VARCHAR), 'NA'), ','
+  ORDER BY dateYM) FILTER (enc = 1 AND dateYM NOT IN ({months})) AS date_other"""
+    sql["eh_wide_main"] = main + f"SELECT tag, {columns}, {other} FROM long GROUP BY tag"
     kinds = ("tag, j, dateYM, enc, Water, riverN, state, sizeState, "
              + six("dateMedianDiffMonth", "dateMedianDiffMonth"))
     sql["eh_store"] = chain(

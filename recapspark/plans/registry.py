@@ -31,8 +31,10 @@ CLEAN_OUT = [
     "dateMedianDiff", "dateMedianDiffMonth",
 ]
 DELTA = (0.5, 0.3, 0.2)
-#: Columns of the wide table: the months of the orders, and captures without a date.
-WIDE_MONTHS = [f"{y}-{m:02}" for y in range(1995, 2002) for m in range(1, 13)][:80] + [None]
+#: Columns of the wide table: the months of the orders, any other month, and captures without a date.
+WIDE_MONTHS = [
+    *[f"{y}-{m:02}" for y in range(1992, 2002) for m in range(1, 13)], histories.OTHER, None,
+]
 
 
 def query(name: str):

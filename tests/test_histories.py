@@ -335,3 +335,16 @@ def test_wide_query_holds_every_cell(spark):
         if r["sizeState"] is not None
     ]
     assert want and sorted(got) == sorted(want)
+
+
+def test_wide_table_lists_cells_of_other_months(spark):
+    df = spark.createDataFrame(
+        [("a", ["1980-01", "1990-05", "2003-01", None], [1, 0, 1, 1], [2, 0, None, 3]),
+         ("b", ["1980-01", "1990-05", "2003-01", None], [0, 1, 0, 0], [0, 1, 0, 0])],
+        "tag string, months array<string>, y_enc array<int>, y_sizeState array<int>",
+    )
+    wide = histories.history_wide(df, "sizeState", ["1990-05", histories.OTHER, None])
+    assert wide.columns == ["tag", "date_1990-05", "date_other", "date_NA"]
+    assert {tuple(r) for r in wide.collect()} == {("a", 0, "1980-01:2,2003-01:NA", 3), ("b", 1, None, 0)}
+    assert {f"{y}-{m:02}" for y in range(1992, 2002) for m in range(1, 13)} < set(registry.WIDE_MONTHS)
+    assert histories.OTHER in registry.WIDE_MONTHS
