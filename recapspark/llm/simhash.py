@@ -110,7 +110,7 @@ def near_pairs(
     )
     full = stored(
         keyed.groupBy("table", "key").count().filter(F.col("count") > crowded).drop("count"),
-        "crowded",
+        "crowded", len(masks) * fps.count() // max(1, crowded or 1),
     )
     sparse = keyed
     some = not full.isEmpty()
@@ -162,12 +162,13 @@ def near_duplicates(
     components of the same smallest id apart. No rows in, no rows out.
     """
     rows = stored(with_fingerprint(docs, id_col, text_col), "fingerprints")
-    first = stored(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    n = rows.count()
+    first = stored(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct", n)
     pairs = near_pairs(first.select("fp"), blocks=blocks, crowded=crowded)
     reached = connected_components(pairs)
     rooted = first.join(reached, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = stored(rooted.join(named, "root").select("fp", "component", "root"), "components")
+    named = stored(rooted.join(named, "root").select("fp", "component", "root"), "components", n)
     return rows.join(named, "fp").select("id", "hash", "fp", "component", "root")
