@@ -558,27 +558,24 @@ def known_state(histories: DataFrame, value: str = "enc") -> DataFrame:
     """Known-alive indicator of 0/1 histories: arrays ``known`` beside ``tag`` and ``months``.
 
     0 before the first encounter, 1 up to the last one, NULL after it (and throughout
-    a history without encounters). The array is folded once, to its first and last
+    a history without encounters). The array is three runs, laid out from its first and last
     encounter; no row leaves its place.
     """
-    y = F.col(f"y_{value}")
-    ends = F.aggregate(
-        y,
-        F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("first"), F.lit(0).alias("last")),
-        lambda s, v: F.struct(
-            (s["at"] + 1).alias("at"),
-            F.coalesce(s["first"], F.when(v > 0, s["at"])).alias("first"),
-            F.when(v > 0, s["at"]).otherwise(s["last"]).alias("last"),
-        ),
+    y = F.transform(f"y_{value}", lambda v: F.coalesce(v > 0, F.lit(False)))
+    seen = histories.select("tag", "months", y.alias("_y"))
+    n, first = F.size("_y"), F.array_position("_y", True).cast("int")
+    behind = F.array_position(F.reverse("_y"), True).cast("int") - 1
+    ends = seen.select(
+        "tag", "months", n.alias("n"), first.alias("_first"),
+        F.when(first > 0, behind).otherwise(n).alias("_behind"),
     )
-    seen = histories.select("tag", "months", y.alias("_y"), ends.alias("_ends"))
-    known = F.transform(
-        "_y",
-        lambda _, i: F.when(i < F.col("_ends.first"), 0).when(
-            (i <= F.col("_ends.last")) & F.col("_ends.first").isNotNull(), 1
-        ),
+    before = F.greatest(F.col("_first") - 1, F.lit(0))
+    known = F.concat(
+        F.array_repeat(F.lit(0), before),
+        F.array_repeat(F.lit(1), F.col("n") - F.col("_behind") - before),
+        F.array_repeat(F.lit(None).cast("int"), F.col("_behind")),
     )
-    return seen.select("tag", "months", known.alias("known"))
+    return ends.select("tag", "months", known.alias("known"))
 
 
 def observation_codes(histories: DataFrame, states: str = "sizeState") -> DataFrame:

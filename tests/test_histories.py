@@ -348,3 +348,16 @@ def test_wide_table_lists_cells_of_other_months(spark):
     assert {tuple(r) for r in wide.collect()} == {("a", 0, "1980-01:2,2003-01:NA", 3), ("b", 1, None, 0)}
     assert {f"{y}-{m:02}" for y in range(1992, 2002) for m in range(1, 13)} < set(registry.WIDE_MONTHS)
     assert histories.OTHER in registry.WIDE_MONTHS
+
+
+def test_known_state_does_not_work_per_cell(spark):
+    df = spark.createDataFrame(
+        [("a", [], [0, 1, 0, 1, 0]), ("b", [], [0, 0]), ("c", [], [1]), ("d", [], [None, 1, None]), ("e", [], [])],
+        "tag string, months array<string>, y_enc array<int>",
+    )
+    known = histories.known_state(df)
+    assert {r["tag"]: r["known"] for r in known.collect()} == {
+        "a": [0, 1, 1, 1, None], "b": [None, None], "c": [1], "d": [0, 1, None], "e": [],
+    }
+    plan = known._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lambdafunction(") == 1 and "aggregate(" not in plan
