@@ -11,8 +11,9 @@ equal anchors. Neighbouring windows with the same anchor form a run; only runs t
 1. Runs with the same anchor and content: all but the first are covered as a whole. Each
    task settles its own repeats before the shuffle, so a frequent passage sends one row per task.
 2. Anchors with one content only are unique and done with.
-3. The first runs of anchors with several contents differ somewhere. Their text is cut out, brought
-   together by anchor, and the Burrows-Wheeler transform of a block of such texts is searched
+3. The first runs of anchors with several contents differ somewhere. Their text is cut out and brought
+   together by anchor. What cannot be in an equal window, as no other run has the same bytes around the
+   anchor, is left out (``may_repeat``); the Burrows-Wheeler transform of a block of the rest is searched
    breadth-first: level by level a backward step finds all places where neighbouring suffixes have a
    common prefix of just that length, until ``LENGTH``. What is then undivided are the
    windows that occur more than once.
@@ -47,6 +48,7 @@ HEAVY = 4_000
 SAMPLE = 64
 BUFFER_BYTES = 1 << 20  # bytes hashed at once
 BLOCK_BYTES = 2 << 20  # bytes of one transform
+PARTS = 4  # strings that stand for the windows of a run
 _LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -75,6 +77,50 @@ class _Powers:
                 setattr(self, name, np.multiply.accumulate(powers))
 
 
+def _prefix_sums(data: np.ndarray, powers: _Powers) -> np.ndarray:
+    """Hash sums of all prefixes; ``powers`` must have grown to ``len(data)``."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers.up[: len(data)], out=sums[1:])
+    return sums
+
+
+def _grams(sums: np.ndarray, powers: _Powers, gram: int) -> np.ndarray:
+    """Hash of the ``gram`` bytes at every place."""
+    return _mixed((sums[gram:] - sums[:-gram]) * powers.down[: len(sums) - gram], 0)
+
+
+def least_places(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``width`` neighbouring values have the least one, the leftmost of equals.
+
+    ``(first, place)``: from each ``first`` up to the next one, windows that begin there share the place.
+    """
+    least, span = values, 1
+    while span < width:
+        step = min(span, width - span)
+        least = np.minimum(least[:-step], least[step:])
+        span += step
+    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    last = np.append(first[1:], len(least)) - 1
+    least = least[first]
+    place = first + width - 1  # a smaller value has just come in
+    rise = np.flatnonzero(np.append(True, least[1:] > least[:-1]))  # or the smallest has gone
+    around = np.lib.stride_tricks.sliding_window_view(values, width)[first[rise]]
+    place[rise] = first[rise] + (around == least[rise, None]).argmax(1)
+    tied = np.flatnonzero(last > place)
+    if len(tied):  # behind the place, later equals of its value take over one after another
+        size = last[tied] - place[tied] + width - 1
+        of = np.repeat(tied, size)
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + place[of] + 1
+        equal = values[at] == least[of]
+        of, at = of[equal], at[equal]
+        begin = np.where(np.append(True, of[1:] != of[:-1]), place[of], np.append(0, at[:-1])) + 1
+        used = begin <= last[of]
+        first, place = np.append(first, begin[used]), np.append(place, at[used])
+        order = np.argsort(first)
+        first, place = first[order], place[order]
+    return first, place
+
+
 def runs(data: np.ndarray, ends: np.ndarray, powers: _Powers, length: int = LENGTH, gram: int = GRAM):
     """``(anchor hash, content hash, start, stop)`` of all runs in documents laid end to end.
 
@@ -84,28 +130,16 @@ def runs(data: np.ndarray, ends: np.ndarray, powers: _Powers, length: int = LENG
     if n < length:
         return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
     powers.grow(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers.up[:n], out=sums[1:])
-    h = _mixed((sums[gram:] - sums[:-gram]) * powers.down[: n - gram + 1], 0)
-    value, place, span = h, np.arange(len(h), dtype=np.int32), 1
-    while span < width:
-        step = min(span, width - span)
-        a, b = value[:-step], value[step:]
-        later = b < a
-        value = np.where(later, b, a)
-        place = np.where(later, place[step:], place[:-step])
-        span += step
-    starts = np.arange(len(place))
-    end = np.repeat(ends, np.diff(ends, prepend=0))[: len(place)]
-    inside = starts + length <= end
-    starts, place = starts[inside], place[inside]
-    if not len(starts):
-        return runs(data[:0], ends[:0], powers, length, gram)
-    new = np.ones(len(starts), bool)
-    new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts)) - 1
-    begin, stop, at = starts[first], starts[last] + length, place[first].astype(np.int64)
+    sums = _prefix_sums(data, powers)
+    h = _grams(sums, powers, gram)
+    first, at = least_places(h, width)
+    last = np.append(first[1:], len(h) - width + 1) - 1
+    # the windows of a run begin less than a window apart, so only one document can have whole ones
+    own = np.searchsorted(ends, last, "right")
+    begin = np.maximum(first, (ends - np.diff(ends, prepend=0))[own])
+    stop = np.minimum(last + length, ends[own])
+    inside = begin + length <= stop
+    begin, stop, at = begin[inside], stop[inside], at[inside]
     content = (sums[stop] - sums[begin]) * powers.down[begin]
     shape = ((at - begin) * 1024 + (stop - begin)).astype(np.uint64)
     return h[at], _mixed(content + shape * np.uint64(_INVERSE), 0x51ED270B), begin, stop
@@ -290,8 +324,7 @@ def _cut(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
                     else:
                         piece = np.frombuffer(text[a : a + n], np.uint8)
                         powers.grow(n + 1)
-                        sums = np.zeros(n + 1, np.uint64)
-                        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * powers.up[:n], out=sums[1:])
+                        sums = _prefix_sums(piece, powers)
                         m = n - length + 1
                         h = _mixed((sums[length:] - sums[:m]) * powers.down[:m], 0x2545F491)
                         pieces = [(int(x), a + j, length) for j, x in enumerate(h.view(np.int64))]
@@ -329,17 +362,18 @@ def _pieces(key, cut, doc, tag, start):
 
 
 def sorted_suffixes(text: np.ndarray, order: int = 128) -> np.ndarray:
-    """Suffixes sorted by their first ``order`` bytes (at least); equal ones by place.
+    """Suffixes sorted by their first ``order`` bytes (at least).
 
-    Ranks by eight bytes are doubled; only suffixes that still share a rank are sorted again.
+    Ranks by eight bytes are doubled; only suffixes that still share a rank are sorted again. Equal
+    ones may come in any order: the transform looks at no more than ``order`` bytes.
     """
     n = len(text)
-    padded = np.zeros(n + 8, np.uint64)
-    padded[:n] = text
-    packed = np.zeros(n, np.uint64)
-    for i in range(8):
-        packed = (packed << np.uint64(8)) | padded[i : i + n]
-    suffixes = np.argsort(packed, kind="stable")
+    packed = np.zeros(n + 8, np.uint64)
+    packed[:n] = text
+    for span in (1, 2, 4):
+        packed[:-span] = (packed[:-span] << np.uint64(8 * span)) | packed[span:]
+    packed = packed[:n]
+    suffixes = np.argsort(packed)
     ordered = packed[suffixes]
     new = np.ones(n, bool)
     new[1:] = ordered[1:] != ordered[:-1]
@@ -355,13 +389,13 @@ def sorted_suffixes(text: np.ndarray, order: int = 128) -> np.ndarray:
             break
         own = suffixes[rows]
         beyond = own + span
-        following = np.where(beyond < n, rank[np.minimum(beyond, n - 1)], -1)
-        again = np.lexsort((own, following, rank[own]))
-        own, following, group = own[again], following[again], rank[own][again]
+        following = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
+        both = rank[own] * (n + 1) + following  # below 2**63 for any text that fits
+        again = np.argsort(both)
+        own, both = own[again], both[again]
         suffixes[rows] = own
-        new[rows[1:]] |= (following[1:] != following[:-1]) & (group[1:] == group[:-1])
-        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        rank[own] = head[rows]
+        new[rows[1:]] |= both[1:] != both[:-1]
+        rank[own] = np.maximum.accumulate(np.where(new[rows], rows, 0))
         span *= 2
     return suffixes
 
@@ -402,6 +436,48 @@ def bounded_prefixes(text: np.ndarray, suffixes: np.ndarray, length: int) -> np.
     return known[:n]
 
 
+def may_repeat(pieces: list[bytes], anchor: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+    """``(piece, begin, stop)``: of every piece what may hold a window that another piece has, too.
+
+    Equal windows have their anchor at the same place. All windows that begin at least ``a`` and less than
+    ``b`` bytes before it hold the ``length - (b - 1 - a)`` bytes from ``a`` bytes before it on. ``PARTS`` such
+    strings stand for all windows of a piece; where no other piece of the anchor has the string,
+    those windows occur once. Pieces without their anchor (windows on their own) are kept whole.
+    """
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    powers = _Powers()
+    powers.grow(len(data) + 1)
+    sums = _prefix_sums(data, powers)
+    anchor = np.asarray(anchor).view(np.uint64)
+    hits = np.flatnonzero(_grams(sums, powers, gram) == np.repeat(anchor, sizes)[: len(data) - gram + 1])
+    piece = np.searchsorted(ends, hits, "right")
+    inside = hits + gram <= ends[piece]
+    piece, which = np.unique(piece[inside], return_index=True)
+    at = hits[inside][which]
+    edges = np.linspace(0, length - gram + 1, PARTS + 1).astype(np.int64)
+    low, high = ends.copy(), begins.copy()
+    for a, b in zip(edges[:-1], edges[1:]):
+        begin, stop = at - a, at + length - b + 1
+        held = (begin >= begins[piece]) & (stop <= ends[piece])
+        of, begin, stop = piece[held], begin[held], stop[held]
+        content = (sums[stop] - sums[begin]) * powers.down[begin]
+        content = _mixed(content, 0x3C6EF372) ^ anchor[of] * np.uint64(_BASE)
+        _, group, count = np.unique(content, return_inverse=True, return_counts=True)
+        several = count[group] > 1
+        of, place = of[several], at[held][several]
+        low[of] = np.minimum(low[of], place - b + 1)
+        high[of] = np.maximum(high[of], place - a + length)
+    alone = np.ones(len(pieces), bool)
+    alone[piece] = False
+    low = np.where(alone, begins, np.maximum(low, begins))
+    high = np.where(alone, ends, np.minimum(high, ends))
+    kept = np.flatnonzero(high - low >= length)
+    return kept, (low - begins)[kept], (high - begins)[kept]
+
+
 def repeated_windows(pieces: list[bytes], doc, start, length: int = LENGTH):
     """``(piece, offset)`` of the windows of ``length`` bytes that also start earlier."""
     text = np.frombuffer(b"".join(p + bytes([_GAP]) for p in pieces), np.uint8)
@@ -409,19 +485,21 @@ def repeated_windows(pieces: list[bytes], doc, start, length: int = LENGTH):
     ends = np.cumsum(sizes)
     suffixes = sorted_suffixes(text, max(128, length))
     begins = bounded_prefixes(text, suffixes, length)
-    group = np.cumsum(begins)
-    piece = np.searchsorted(ends, suffixes, "right")
+    shared = ~(begins & np.append(begins[1:], True))  # the others have no equal
+    group, suffixes = np.cumsum(begins)[shared], suffixes[shared]
+    piece = np.repeat(np.arange(len(sizes)), sizes)[suffixes]
     offset = suffixes - (ends - sizes)[piece]
     whole = offset + length < sizes[piece]
     group, piece, offset = group[whole], piece[whole], offset[whole]
+    if not len(group):
+        return piece, offset
     of, at = np.asarray(doc)[piece], np.asarray(start)[piece] + offset
-    order = np.lexsort((at, of, group))
-    new = np.ones(len(order), bool)
-    new[1:] = group[order][1:] != group[order][:-1]
-    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    later = (of[order] > of[head]) | (at[order] > at[head])
-    rows = order[later]
-    return piece[rows], offset[rows]
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    size = np.diff(first, append=len(group))
+    least = np.repeat(np.minimum.reduceat(of, first), size)  # the document of the first window
+    place = np.minimum.reduceat(np.where(of == least, at, np.iinfo(at.dtype).max), first)
+    later = (of > least) | (at > np.repeat(place, size))
+    return piece[later], offset[later]
 
 
 def _cover(pieces: DataFrame, length: int) -> DataFrame:
@@ -432,10 +510,10 @@ def _cover(pieces: DataFrame, length: int) -> DataFrame:
         """Rows in blocks of whole anchors of about ``BLOCK_BYTES``."""
         order = np.argsort(table.column("key").to_numpy(), kind="stable")
         key = table.column("key").to_numpy()[order]
-        cuts = table.column("cut").combine_chunks()
+        sizes = pc.binary_length(table.column("cut")).to_numpy()[order].tolist()
         begin, held = 0, 0
         for i in range(len(order)):
-            held += len(cuts[int(order[i])].as_buffer())
+            held += sizes[i]
             if held >= BLOCK_BYTES and (i + 1 == len(order) or key[i + 1] != key[i]):
                 yield order[begin : i + 1]
                 begin, held = i + 1, 0
@@ -456,16 +534,22 @@ def _cover(pieces: DataFrame, length: int) -> DataFrame:
         table = pa.Table.from_batches(batches)
         done = table.filter(pc.equal(table.column("kind"), _COVERED))
         if done.num_rows:
-            size = np.array([len(x.as_buffer()) for x in done.column("cut")], np.int32)
+            size = pc.binary_length(done.column("cut")).to_numpy()
             yield out(*(done.column(n).to_numpy() for n in ("doc", "tag", "start")), size)
         table = table.filter(pc.equal(table.column("kind"), _OPEN))
         if not table.num_rows:
             return
-        doc, tag, start = (table.column(n).to_numpy() for n in ("doc", "tag", "start"))
+        key, doc, tag, start = (table.column(n).to_numpy() for n in ("key", "doc", "tag", "start"))
         cuts = table.column("cut").combine_chunks()
         for rows in blocks(table):
             pieces = [cuts[int(i)].as_py() for i in rows]
-            piece, offset = repeated_windows(pieces, doc[rows], start[rows], length)
+            which, begin, stop = may_repeat(pieces, key[rows], length)
+            if not len(which):
+                continue
+            pieces = [pieces[i][a:b] for i, a, b in zip(which, begin, stop)]
+            rows = rows[which]
+            places = start[rows] + begin
+            piece, offset = repeated_windows(pieces, doc[rows], places, length)
             if not len(piece):
                 continue
             order = np.lexsort((offset, piece))
@@ -474,23 +558,31 @@ def _cover(pieces: DataFrame, length: int) -> DataFrame:
             new[1:] = (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1)
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(piece)) - 1
-            row = rows[piece[first]]
+            of = piece[first]
+            row = rows[of]
             yield out(
-                doc[row], tag[row], start[row] + offset[first], offset[last] - offset[first] + length
+                doc[row], tag[row], places[of] + offset[first], offset[last] - offset[first] + length
             )
 
     return pieces.repartition(spread).mapInArrow(run, "doc long, tag int, start long, size int")
 
 
-def merged(stretches) -> list[tuple[int, int]]:
-    """Maximal stretches ``(start, stop)`` from ``(start, size)`` in any order."""
-    out: list[list[int]] = []
-    for start, size in sorted(stretches):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], start + size)
-        else:
-            out.append([start, start + size])
-    return [tuple(x) for x in out]
+def merged(row: np.ndarray, start: np.ndarray, size: np.ndarray, sizes: np.ndarray):
+    """Maximal stretches ``(row, start, stop)``, in order, from ``(row, start, size)`` in any order.
+
+    ``sizes`` are the lengths of the texts of all rows.
+    """
+    if not len(row):
+        return tuple(np.empty(0, np.int64) for _ in range(3))
+    shift = np.cumsum(sizes + 1) - (sizes + 1)  # texts end to end, a gap after each
+    begin = start + shift[row]
+    order = np.argsort(begin)
+    begin, row = begin[order], row[order]
+    stop = np.maximum.accumulate(begin + size[order])
+    first = np.flatnonzero(np.append(True, begin[1:] > stop[:-1]))
+    last = np.append(first[1:], len(begin)) - 1
+    row = row[first]
+    return row, begin[first] - shift[row], stop[last] - shift[row]
 
 
 def repeats(
@@ -530,21 +622,26 @@ def repeats(
 
     def run(batches):
         for batch in batches:
-            sizes, removed, spans, kept = [], [], [], []
-            for text, found in zip(batch.column(2), batch.column(3)):
-                text = text.as_buffer().to_pybytes()
-                gone = merged((s["start"], s["size"]) for s in found.as_py()) if found.is_valid else []
-                at, parts = 0, []
-                for a, b in gone:
+            sizes = pc.binary_length(batch.column(2)).to_numpy().astype(np.int64)
+            each = pc.fill_null(pc.list_value_length(batch.column(3)), 0).to_numpy()
+            found = batch.column(3).flatten()
+            start, size = (found.field(n).to_numpy().astype(np.int64) for n in ("start", "size"))
+            row, begin, stop = merged(np.repeat(np.arange(len(each)), each), start, size, sizes)
+            spans = np.bincount(row, minlength=len(sizes))
+            ends = np.cumsum(spans).tolist()
+            begin, stop = begin.tolist(), stop.tolist()
+            removed, kept, i = [], [], 0
+            for text, end in zip(batch.column(2), ends):
+                text, at, parts = memoryview(text.as_buffer()), 0, []
+                for a, b in zip(begin[i:end], stop[i:end]):
                     parts.append(text[at:a])
                     at = b
                 parts.append(text[at:])
-                sizes.append(len(text))
-                removed.append(sum(b - a for a, b in gone))
-                spans.append(len(gone))
                 kept.append(b"".join(parts))
+                removed.append(len(text) - len(kept[-1]))
+                i = end
             yield pa.RecordBatch.from_arrays(
-                [batch.column(4), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()),
+                [batch.column(4), pa.array(sizes), pa.array(removed, pa.int64()),
                  pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )

@@ -379,6 +379,57 @@ def test_bounded_prefixes():
             assert (got == want)[~short].all()
 
 
+def test_transform_sees_only_what_may_repeat():
+    """Runs of one anchor: few share a window of 100 bytes; the others need no transform."""
+    rng = np.random.default_rng(21)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    phrase, left, right = letters(40), letters(200), letters(200)
+    texts = [letters(150) + phrase + letters(150) for _ in range(300)]
+    for i in range(40):  # shared: some bytes to the left and to the right, often too few
+        a, b = (int(x) for x in rng.integers(0, 90, 2))
+        texts.append(letters(150) + left[200 - a :] + phrase + right[:b] + letters(150))
+    found = [], [], [], []
+    for i, text in enumerate(texts):
+        data = np.frombuffer(text, np.uint8)
+        key, _, begin, stop = suffixes.runs(data, np.array([len(data)]), suffixes._Powers())
+        for out, x in zip(found, (key, np.full(len(key), i), begin, [text[a:b] for a, b in zip(begin, stop)])):
+            out.extend(x)
+    cuts = found[3] + [found[3][0][:100]] * 2  # windows on their own, under a key that is no anchor
+    anchor = np.array([*found[0], 5, 5], np.uint64)
+    doc, start = np.array([*found[1], 900, 901]), np.array([*found[2], 0, 0])
+
+    def windows(cuts, anchor, doc, start):
+        out = set()
+        for key in np.unique(anchor):
+            own = np.flatnonzero(anchor == key)
+            piece, offset = suffixes.repeated_windows([cuts[i] for i in own], doc[own], start[own])
+            out |= set(zip(doc[own][piece].tolist(), (start[own][piece] + offset).tolist()))
+        return out
+
+    which, begin, stop = suffixes.may_repeat(cuts, anchor)
+    less = [cuts[i][a:b] for i, a, b in zip(which, begin, stop)]
+    want = windows(cuts, anchor, doc, start)
+    assert len(want) > 100 and (901, 0) in want
+    assert windows(less, anchor[which], doc[which], start[which] + begin) == want
+    assert len(cuts) > 2000 and sum(map(len, less)) < 0.1 * sum(map(len, cuts))
+
+
+def test_least_places():
+    rng = np.random.default_rng(22)
+    for kinds, size, width in [(1, 300, 77), (2, 400, 77), (3, 90, 7), (50, 500, 77), (10**9, 500, 77), (4, 77, 77), (5, 60, 1)]:
+        for values in (rng.integers(0, kinds, size), np.resize(rng.integers(0, kinds, 5), size)):
+            first, place = suffixes.least_places(values.astype(np.uint64), width)
+            got = np.repeat(place, np.diff(first, append=size - width + 1))
+            assert got.tolist() == [i + int(values[i : i + width].argmin()) for i in range(size - width + 1)]
+
+
+def test_merged_stretches():
+    row, start, size = np.array([0, 0, 2, 0, 2, 3]), np.array([5, 0, 0, 12, 4, 0]), np.array([3, 5, 9, 2, 2, 1])
+    got = [x.tolist() for x in suffixes.merged(row, start, size, np.array([14, 0, 9, 8]))]
+    assert got == [[0, 0, 2, 3], [0, 12, 0, 0], [8, 14, 9, 1]]
+    assert all(len(x) == 0 for x in suffixes.merged(row[:0], start[:0], size[:0], np.array([3])))
+
+
 @pytest.mark.parametrize("name", ["op1_secrets", "op2_bpe", "op3_quality_rules", "op5_suffix_array", "op9_toxicity", "op10_simhash"])
 def test_queries_on_empty_tables(spark, tmp_path, name):
     for t in ("documents", "labels"):
